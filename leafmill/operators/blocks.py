@@ -39,8 +39,20 @@ def line_blocks(docs: DataFrame, text="text") -> DataFrame:
     return docs.withColumn("blocks", typed)
 
 
+def explode_rows(df: DataFrame, items, *keys) -> DataFrame:
+    """One row per array element, keys kept.
+
+    An outer generator plus a null test: an inner one would make the optimizer infer a
+    size test on the array and push it through the projections that build the array, which
+    computes every document twice.
+    """
+    rows = df.select(*keys, F.inline_outer(items))
+    first_field = rows.columns[len(keys)]
+    return rows.filter(F.col(first_field).isNotNull())
+
+
 def explode_blocks(df: DataFrame, *keys: str, blocks: str = "blocks") -> DataFrame:
-    return df.select(*keys, F.inline(blocks))
+    return explode_rows(df, blocks, *keys)
 
 
 def map_text(blocks, fn) -> Column:

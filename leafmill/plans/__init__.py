@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["blocks"]
+FAMILIES = ["blocks", "web"]
 
 
 def _merge(package: str, attribute: str) -> dict:

@@ -94,3 +94,71 @@ def given_title(doc_id: Column, text: Column, source: Column) -> Column:
         .when(doc_id % 3 == 1, F.substring_index(text, "\n", 1))
         .otherwise(source)
     )
+
+
+# ----- pages ------------------------------------------------------------------------------
+# The given pages have few kinds of markup; by page_id these parts are put around and into them.
+SHARE_BAR = '<div class="share-bar"><a href="#">Share</a> <a href="/mail">Email</a></div>'
+RELATED = (
+    '<div class="relatedStories"><p>A second story that has nothing to do with this page, told at length.</p></div>'
+)
+EXTRA = (
+    "<h2>What happened next:</h2><p>See <a href=\"report.html?x=1\">the full report</a> , which the council of the"
+    " town had asked for, and the long reply.</p><blockquote><p>We asked for a bridge that would last, and we were"
+    " given one.</p></blockquote><ul><li>The first point was about the price of the stone, which had risen.</li>"
+    "<li>Short</li></ul><div>The plan is now before the council, and a vote is due in the spring of the year."
+    "</div><p class=\"promo\">Sign up for our weekly letter and never miss a story from the town again.</p>"
+    "<div class=\"links\"><a href=\"/a\">One link with words</a> <a href=\"//cdn.example.com/b\">Another link</a></div>"
+    "<h3>Related reading</h3><p>Photo: the old bridge</p>"
+)
+HEAD_META = (
+    '<meta property="og:title" content="The Bridge &amp; The Town"><meta name="author" content="Jane Field">'
+    '<meta property="article:published_time" content="2024-03-02T10:00:00Z">'
+    '<meta name="description" content="How a town of three thousand people paid for a new bridge.">'
+)
+BYLINE = '<span class="byline">By Sam Hill and Kim Lake</span><time>2 March</time>'
+CHALLENGE = "<title>Checking your browser before access</title>"
+TAGS = r"<[^>]*>"
+
+
+def page_words(html: Column) -> Column:
+    """Words of the page inside its paragraphs, fit for a JSON string."""
+    body = F.regexp_replace(html, r"(?is)<script.*?</script>|<style.*?</style>|<title.*?</title>", "")
+    body = F.replace(body, F.lit("<p>"), F.lit("\\n\\n"))
+    body = F.regexp_replace(F.regexp_replace(body, TAGS, " "), r"""[\n\t\r"]""", " ")
+    return body
+
+
+def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.sources.corpus import read_pages
+
+    p, h = F.col("page_id"), F.col("html")
+
+    def put(where, before, after, text, cond):
+        # one reference to html, so later filters do not multiply the chain of steps
+        new = F.concat(F.lit(before), text, F.lit(after))
+        return F.replace(F.col("html"), F.lit(where), F.when(cond, new).otherwise(F.lit(where)))
+
+    df = read_pages(spark, sf_dir).withColumn("plain", page_words(h))
+    steps = [
+        put("</h1>", "</h1>" + BYLINE + SHARE_BAR, "", F.lit(""), p % 3 == 0),
+        put("</article>", EXTRA + RELATED, "</article>", F.lit(""), p % 2 == 0),
+        put("<article>", '<main class="post-content"><article>', "", F.lit(""), p % 5 == 1),
+        put("</article>", "</article>", "</main>", F.lit(""), p % 5 == 1),
+        put("<article>", '<div class="entry-body">', "", F.lit(""), p % 5 == 2),
+        put("</article>", "</div>", "", F.lit(""), p % 5 == 2),
+        put("<article>", '<article class="available-content"><div class="body markup">', "", F.lit(""), p % 11 == 3),
+        put("</head>", HEAD_META, "</head>", F.lit(""), p % 4 == 1),
+        put(
+            "</head>", '<script type="application/ld+json">{"@type":"Article","articleBody":"', '"}</script></head>',
+            F.col("plain"), p % 4 == 2,
+        ),
+        put(
+            "</head>", '<script>var d={"body_html" : "<p>', '<\\/p>"};</script></head>',
+            F.replace(F.col("plain"), F.lit("\\n\\n"), F.lit("</p><p>")), p % 4 == 3,
+        ),
+        put("</head>", CHALLENGE, "</head>", F.lit(""), p % 10 == 7),
+    ]
+    for step in steps:
+        df = df.withColumn("html", step)
+    return df.drop("plain")
