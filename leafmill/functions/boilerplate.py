@@ -14,8 +14,9 @@ from leafmill.functions.text import (
     has_any,
     let,
     n_contained,
-    n_matching,
+    one_of,
     starts_any,
+    strings,
     words,
 )
 
@@ -101,18 +102,24 @@ def tokens(c) -> Column:
 
 
 def social_share(c) -> Column:
-    low = F.lower(col(c))
-    hits = n_matching(
-        [(low == t) | low.contains(" " + t) | low.startswith(t + " ") for t in R.SOCIAL_TOKENS]
-    )
-    return (F.length(col(c)) <= 220) & ((hits >= 2) | starts_any(low, R.SOCIAL_STARTS))
+    def judge(low):
+        hits = F.filter(
+            strings(R.SOCIAL_TOKENS),
+            lambda t: (low == t)
+            | low.contains(F.concat(F.lit(" "), t))
+            | low.startswith(F.concat(t, F.lit(" "))),
+        )
+        return (F.size(hits) >= 2) | starts_any(low, R.SOCIAL_STARTS)
+
+    hint = F.lower(col(c)).rlike(any_of(R.SOCIAL_TOKENS + R.SOCIAL_STARTS))
+    return F.when((F.length(col(c)) <= 220) & hint, let(F.lower(col(c)), judge)).otherwise(F.lit(False))
 
 
 def ad_tech(c, heading: Column) -> Column:
     c = col(c)
     low = F.lower(c)
     return (F.length(c) <= 180) & (
-        low.isin(R.AD_EXACT)
+        one_of(low, R.AD_EXACT)
         | (has_any(low, R.AD_TOKENS) & ((words(c) <= 8) | (heading & (F.length(c) <= 80))))
     )
 
@@ -143,8 +150,8 @@ def action_utility(c, heading: Column) -> Column:
 
     def judge(toks):
         n = F.size(toks)
-        actions = F.size(F.filter(toks, lambda t: t.isin(R.ACTION_TOKENS)))
-        utilities = F.size(F.filter(toks, lambda t: t.isin(R.UTILITY_TOKENS)))
+        actions = F.size(F.filter(toks, lambda t: one_of(t, R.ACTION_TOKENS)))
+        utilities = F.size(F.filter(toks, lambda t: one_of(t, R.UTILITY_TOKENS)))
         mostly_short = F.size(F.filter(toks, lambda t: F.length(t) > 14)) <= 1
         return (n > 0) & (
             (mostly_short & (actions >= 2))
@@ -159,29 +166,30 @@ def action_utility(c, heading: Column) -> Column:
 
 def site_info(c) -> Column:
     low = F.lower(col(c))
-    return (F.length(col(c)) <= 260) & (
-        (n_contained(low, R.SITE_INFO_PHRASES) >= 2)
-        | starts_any(low, ["site information", "site index"])
+    judged = let(
+        low,
+        lambda x: (n_contained(x, R.SITE_INFO_PHRASES) >= 2)
+        | starts_any(x, ["site information", "site index"]),
     )
+    hint = low.rlike(any_of(R.SITE_INFO_PHRASES))
+    return F.when((F.length(col(c)) <= 260) & hint, judged).otherwise(F.lit(False))
 
 
 def nav_line(c) -> Column:
+    """At least three parts by the first separator that gives three, three of them short."""
     c = col(c)
 
-    def short_parts(sep):
-        parts = F.split(c, sep.replace("|", r"\|"), -1)
-        return F.size(parts), F.size(
-            F.filter(
-                parts,
-                lambda p: (F.trim(p) != "") & (F.length(F.trim(p)) <= 22) & (words(p) <= 3),
-            )
+    def judge(text):
+        splits = F.transform(
+            F.expr(r"array(' \\| ', ' · ', ' • ', ' / ')"), lambda sep: F.split(text, sep)
+        )
+        parts = F.try_element_at(F.filter(splits, lambda p: F.size(p) >= 3), F.lit(1))
+        short = F.filter(
+            parts, lambda p: (F.trim(p) != "") & (F.length(F.trim(p)) <= 22) & (words(p) <= 3)
         )
+        return F.coalesce(F.size(short) >= 3, F.lit(False))
 
-    picked = F.lit(0)
-    for sep in reversed(R.NAV_SEPARATORS):
-        n, short = short_parts(sep)
-        picked = F.when(n >= 3, short).otherwise(picked)
-    return F.when((F.length(c) <= 220) & c.rlike(r" [|·•/] "), picked >= 3).otherwise(F.lit(False))
+    return F.when((F.length(c) <= 220) & c.rlike(" [|·•/] "), let(c, judge)).otherwise(F.lit(False))
 
 
 def media_credit(c, heading: Column) -> Column:
@@ -220,7 +228,10 @@ def boilerplate_rules(text, heading: Column) -> dict[str, Column]:
 
 
 def is_boilerplate(text, heading: Column) -> Column:
-    return reduce(lambda a, b: a | b, boilerplate_rules(text, heading).values())
+    """Any rule.  Only the prefix rule applies above 360 characters, so long text stops there."""
+    named = boilerplate_rules(text, heading)
+    prefix = named.pop("hard_prefix")
+    return prefix | ((F.length(col(text)) <= 360) & reduce(lambda a, b: a | b, named.values()))
 
 
 def is_stop_heading(text, heading: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,11 +70,6 @@ def between(c, low: int, high: int) -> Column:
     return col(c).between(low, high)
 
 
-def n_matching(conditions) -> Column:
-    """How many of the conditions hold."""
-    return reduce(lambda a, b: a + b, [c.cast("int") for c in conditions])
-
-
 def starts_any(c, phrases) -> Column:
     return col(c).rlike("^" + any_of(phrases))
 
@@ -86,7 +79,18 @@ def has_any(c, phrases) -> Column:
 
 
 def n_contained(c, phrases) -> Column:
-    return n_matching([col(c).contains(p) for p in phrases])
+    """How many of the phrases occur in the text."""
+    return F.size(F.filter(strings(phrases), lambda p: col(c).contains(p)))
+
+
+def strings(values) -> Column:
+    """Constant array of strings, built from one SQL literal."""
+    quoted = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+    return F.expr(f"array({quoted})")
+
+
+def one_of(c, values) -> Column:
+    return col(c).rlike("^" + any_of(values) + "$")
 
 
 def blank_to_null(c) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import boilerplate as B
 from leafmill.functions import rules as R
-from leafmill.functions.text import blank_to_null, col, dedupe_key, let, norm, starts_any, token_key, url_host, words
+from leafmill.functions.text import blank_to_null, col, dedupe_key, let, norm, one_of, starts_any, token_key, url_host, words
 from leafmill.operators import blocks as K
 from leafmill.operators.html import attribute, decode_entities, has_class, marker_has, page_elements
 from leafmill.sources.corpus import title_from_url
@@ -115,7 +115,7 @@ def without(els, removed) -> Column:
             e.withField("raw_len", less("raw_len"))
             .withField("raw_link", less("raw_link"))
             .withField("n_p", less("n_p", lambda r: r.tag == "p"))
-            .withField("n_h", less("n_h", lambda r: r.tag.isin(HEADING_TAGS)))
+            .withField("n_h", less("n_h", lambda r: one_of(r.tag, HEADING_TAGS)))
             .withField("n_li", less("n_li", lambda r: r.tag == "li"))
         )
 
@@ -177,7 +177,7 @@ def pruned_by_class(e) -> Column:
 
 def pruned_by_density(e) -> Column:
     n = text_len(e)
-    return e.tag.isin(R.STRUCTURAL_TAGS) & (
+    return one_of(e.tag, R.STRUCTURAL_TAGS) & (
         (n == 0) | ((link_density(e, 0.0) > PRUNE_DENSITY) & (n < PRUNE_MAX_CHARS))
     )
 
@@ -264,7 +264,7 @@ def prepare(pages: DataFrame, *carry: str) -> DataFrame:
     df = df.withColumn("_divs", F.filter("els3", lambda e: (e.tag == "div") & (text_len(e) >= 40)))
     block = F.filter(
         "els3",
-        lambda e: (e.tag.isin(HEADING_TAGS + ["p", "pre"]) & (e.quote == 0))
+        lambda e: (one_of(e.tag, HEADING_TAGS + ["p", "pre"]) & (e.quote == 0))
         | (e.tag.isin("li", "blockquote") & (e.quote == 1))
         | (
             (e.tag == "div")
@@ -326,7 +326,7 @@ def container_blocks(container, prune: bool = True) -> Column:
 def candidates(df: DataFrame) -> DataFrame:
     """``ranked``: containers by score; ``chosen``: the first four that do not repeat one another."""
     found = F.filter(
-        "els2", lambda e: e.tag.isin(CANDIDATE_TAGS) & (text_len(e) >= CANDIDATE_MIN_CHARS)
+        "els2", lambda e: one_of(e.tag, CANDIDATE_TAGS) & (text_len(e) >= CANDIDATE_MIN_CHARS)
     )
     rows = F.transform(
         found,
@@ -366,7 +366,7 @@ def candidates(df: DataFrame) -> DataFrame:
     )
     best = F.array_sort(
         F.transform(
-            F.filter("els2", lambda e: e.tag.isin(CANDIDATE_TAGS) & (text_len(e) > 0)),
+            F.filter("els2", lambda e: one_of(e.tag, CANDIDATE_TAGS) & (text_len(e) > 0)),
             lambda e: F.struct(
                 (-container_score(e)).alias("neg_score"), e.open.alias("open"), e.end.alias("end"),
                 text_len(e).alias("n"), e.tag.alias("tag"), e.cls.alias("cls"), e.id.alias("id"),

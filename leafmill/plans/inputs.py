@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.functions.text import strings
 from leafmill.operators.blocks import line_blocks
 from leafmill.sources.corpus import read_documents
 
@@ -48,7 +49,7 @@ NOISE_LINES = [
 
 
 def noise_at(index: Column, lines=NOISE_LINES) -> Column:
-    return F.element_at(F.array(*[F.lit(s) for s in lines]), (index % len(lines) + 1).cast("int"))
+    return F.element_at(strings(lines), (index % len(lines) + 1).cast("int"))
 
 
 def noisy_text(doc_id: Column, text: Column) -> Column:
