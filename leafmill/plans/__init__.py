@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["blocks", "web"]
+FAMILIES = ["blocks", "web", "sentences"]
 
 
 def _merge(package: str, attribute: str) -> dict:

@@ -163,3 +163,50 @@ def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     for step in steps:
         df = df.withColumn("html", step)
     return df.drop("plain")
+
+
+# ----- documents with headings, citations and abbreviations --------------------------------
+LINE_TAILS = [
+    "", " As shown [12, 13].", " (Smith et al., 2019).", " Dr. Hall met the U.S. team, e.g. in May.",
+    " See (see Jones 2001; Lee 2003) for more¹².", " It cost (12) or (3, 4) in 2004 (about 1990).",
+    " Visit https://example.org/a_b?x=1), or example.com/news.", " Mr. A. B. Cole, Ph.D. said so [a] [3b].",
+]
+
+
+def cited_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line blocks with a tail after each line, a heading before every fifth, references in every fourth document."""
+    doc = F.col("doc_id")
+    lines = F.transform(
+        F.split("text", "\n"),
+        lambda line, i: F.concat(
+            F.when(i % 5 == 0, F.concat(F.lit("Part "), (i / 5 + 1).cast("int").cast("string"), F.lit("\n"))).otherwise(""),
+            line,
+            noise_at(doc + i, LINE_TAILS),
+        ),
+    )
+    refs = F.when(doc % 4 == 0, "\n6. References\nSmith, J. 2001. A book.\nConclusion\nLast words.").otherwise(
+        "\nConclusion and outlook\nFirst words.\nLast words."
+    )
+    docs = read_documents(spark, sf_dir).withColumn("text", F.concat(F.array_join(lines, "\n"), refs))
+    return line_blocks(docs).select(
+        "doc_id", "source", F.concat(F.lit("Report "), doc.cast("string")).alias("title"), "blocks"
+    )
+
+
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading positions from events: (event_id, user_id, doc_id, block, offset, k)."""
+    from leafmill.sources.corpus import read_table
+
+    k = F.get_json_object("props", "$.k").cast("int")
+    return (
+        read_table(spark, sf_dir, "events")
+        .withColumn("k", k)
+        .select(
+            "event_id",
+            "user_id",
+            F.floor(F.col("event_id") / 10).cast("long").alias("doc_id"),
+            (F.col("k") % 10).alias("block"),
+            (F.floor("value") % 200).cast("int").alias("offset"),
+            "k",
+        )
+    )
