@@ -20,8 +20,8 @@ REFERENCE_HEADINGS = [
     "references and notes", "notes and references", "literature cited",
 ]
 SHIELD_STEPS = [
-    r"(?<=(?<![\p{L}\d])(?:[A-Z]\.){1,12}[A-Z])\.(?=(?:[A-Z]\.)*+(?![\p{L}\d]))",
-    r"(?<=(?<![\p{L}\d])[A-Z])\.(?=(?:[A-Z]\.)++(?![\p{L}\d]))",
+    r"(?<=(?<![\p{L}\d])(?:[A-Z][.․]){1,12}[A-Z])\.(?=(?:[A-Z][.․])*+(?![\p{L}\d]))",
+    r"(?<=(?<![\p{L}\d])[A-Z])\.(?=(?:[A-Z][.․])++(?![\p{L}\d]))",
     r"(?i)(?<=(?<![\p{L}\d])e)\.(?=g\.(?![\p{L}\d]))",
     r"(?i)(?<=(?<![\p{L}\d])i)\.(?=e\.(?![\p{L}\d]))",
     r"(?i)(?<=(?<![\p{L}\d])(?:e․g|i․e|etc|mr|mrs|ms|dr|prof|sr|jr|vs|no))\.(?![\p{L}\d])",

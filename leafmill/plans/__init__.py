@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["blocks", "web", "sentences"]
+FAMILIES = ["blocks", "web", "sentences", "paged"]
 
 
 def _merge(package: str, attribute: str) -> dict:

@@ -210,3 +210,54 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
             "k",
         )
     )
+
+
+# ----- paged documents ----------------------------------------------------------------------
+FRONT_LINES = [
+    "Journal of Harbour Studies 12",
+    "Bridges and Towns in the North",
+    "Jane Field, Sam Hill and Kim Lake",
+    "Department of Rivers, Harbour University",
+    "Abstract",
+    "We show that the bridge was safe and that the town could pay for it over many years.",
+]
+PAGE_TAILS = [
+    "Journal of Harbour Studies 12",
+    "3 JANE FIELD AND SAM HILL",
+    "1 Supplementary note with the data is available at the town hall of Harbour.",
+    "Page 3 of 9",
+    "arXiv:2401.01234v2 [cs.CL] 12 Jan 2024",
+    "Figure 2: The bridge seen from the north side of the river.",
+    "12 14 15.5 17% 0.0 18 21 22 23.1 24 25 26 total",
+    "user: how long is the bridge",
+    "the inter-",
+    "(and so on",
+    "17",
+    "con­tent with the well‐",
+]
+
+
+def paged_text(doc: Column, text: Column) -> Column:
+    """Front lines on every third document, a tail line after every fourth line."""
+    lines = F.transform(
+        F.split(text, "\n"),
+        lambda line, i: F.when(
+            i % 4 == 3, F.concat(line, F.lit("\n"), noise_at(doc + (i / 4).cast("int"), PAGE_TAILS))
+        ).otherwise(line),
+    )
+    front = F.when(doc % 3 == 0, F.lit("\n".join(FRONT_LINES) + "\n")).otherwise("")
+    return F.concat(front, F.array_join(lines, "\n"))
+
+
+def paged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, text, given_title)."""
+    docs = read_documents(spark, sf_dir)
+    given = F.when(F.col("doc_id") % 2 == 0, F.concat("source", F.lit(".pdf"))).otherwise(
+        F.concat(F.lit("A short note from "), F.col("source"))
+    )
+    return docs.select(
+        "doc_id", "source", paged_text(F.col("doc_id"), F.col("text")).alias("text"), given.alias("given_title")
+    )
+
+
+PAGE_SIZE = 8
