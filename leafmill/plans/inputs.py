@@ -261,3 +261,29 @@ def paged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAGE_SIZE = 8
+
+
+# ----- clean-up ------------------------------------------------------------------------------
+def model_rewrite(p: Column, rule: Column) -> Column:
+    """A deterministic stand-in for a model, by rule number."""
+    n = F.length(p)
+    return (
+        F.when(rule == 1, F.regexp_replace(p, r"\s+", "  "))
+        .when(rule == 2, F.substr(p, F.lit(1), n - F.floor(n / 3).cast("int")))
+        .when(rule == 3, F.regexp_replace(p, r"\s*\[[^\]]*\]", ""))
+        .when(rule == 4, F.regexp_replace(p, r"^([^\p{Lu}]*)\p{Lu}\S*\s*", "$1"))
+        .when(rule == 5, F.lit("<READ_DROP_PARAGRAPH>"))
+        .when(rule == 6, F.concat(F.lit("- "), p))
+        .otherwise(p)
+    )
+
+
+def model_paragraphs(doc: Column, chunk: Column, paras: Column) -> Column:
+    """Rule by chunk and position; some chunks repeat a neighbour or lose a paragraph."""
+    c = (doc * 5 + chunk) % 11
+    plain = F.transform(
+        paras, lambda p, i: model_rewrite(p, F.when(c < 5, 0).otherwise((doc + chunk + i) % 7))
+    )
+    return F.when((c == 3) & (F.size(paras) > 1), F.slice(plain, F.lit(1), F.size(paras) - 1)).when(
+        (c == 4) & (F.size(paras) > 1), F.transform(paras, lambda p: F.element_at(paras, 1))
+    ).otherwise(plain)
