@@ -151,7 +151,7 @@ ss AS (SELECT d.doc_id, d.source, coalesce(s, '') AS src FROM documents d LEFT J
 SUMMARY_HEAD = D.lit(
     "Summarise this article from its text only, in one short overview and three bullet points.\nOverview:\nKey points:\nTitle: Report "
 )
-RESP = f"""r AS (SELECT doc_id, chunk, paras, list_aggregate(paras, 'string_agg', CASE chunk % 3 WHEN 0 THEN {D.lit(C.BREAK)} WHEN 1 THEN chr(10) || ' ' || chr(10) ELSE chr(10) END) AS t FROM chunks),
+RESP = f"""r AS (SELECT doc_id, chunk, paras, CASE chunk % 3 WHEN 0 THEN list_aggregate(paras, 'string_agg', {D.lit(C.BREAK)}) WHEN 1 THEN list_aggregate(paras, 'string_agg', chr(10) || ' ' || chr(10)) ELSE list_aggregate(paras, 'string_agg', chr(10)) END AS t FROM chunks),
 q AS (SELECT *, list_filter(list_transform(string_split(t, {D.lit(C.BREAK)}), lambda p: {para('p')}), lambda p: p <> '') AS x, list_filter(list_transform(string_split_regex(t, '\\n\\s*\\n+'), lambda p: {para('p')}), lambda p: p <> '') AS y FROM r),
 z AS (SELECT doc_id, chunk, CASE WHEN len(x) = len(paras) THEN x WHEN len(y) = len(paras) THEN y ELSE []::varchar[] END AS got FROM q)
 SELECT doc_id, chunk, len(got) AS n, coalesce(list_aggregate(got, 'string_agg', '|'), '') AS text FROM z"""

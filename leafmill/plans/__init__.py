@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["blocks", "web", "sentences", "paged", "cleanup"]
+FAMILIES = ["blocks", "web", "sentences", "paged", "cleanup", "library"]
 
 
 def _merge(package: str, attribute: str) -> dict:
