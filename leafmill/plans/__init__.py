@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["blocks", "web", "sentences", "paged", "cleanup", "library", "layout"]
+FAMILIES = ["blocks", "web", "sentences", "paged", "cleanup", "library", "layout", "streams"]
 
 
 def _merge(package: str, attribute: str) -> dict:
