@@ -309,10 +309,17 @@ def assemble(lines) -> Column:
     )
 
 
+FIRST_WORDS = r"^(?:[^A-Za-z]*[A-Za-z][^\s,.;:!?)]*){1,6}"
+
+
 def body_sentence(c) -> Column:
+    """Starts like a sentence: a capital word, then at least two lower-case ones among the first four."""
     ws = F.filter(
         F.transform(
-            F.regexp_extract_all(col(c), F.lit(r"[A-Za-z][^\s,.;:!?)]*"), F.lit(0)),
+            # quotes only may be dropped, so a few more than four words are looked at
+            F.regexp_extract_all(
+                F.regexp_extract(col(c), FIRST_WORDS, 0), F.lit(r"[A-Za-z][^\s,.;:!?)]*"), F.lit(0)
+            ),
             lambda w: F.regexp_replace(w, r"""^["'“”(\[]+|["'“”(\[]+$""", ""),
         ),
         lambda w: w != "",
@@ -344,27 +351,34 @@ def metadata_prefix(c, title) -> Column:
 def split_prefix(c, title) -> Column:
     """struct(prefix, body) at the first word where a metadata-like prefix ends and prose starts, else null."""
     c = col(c)
-    ws = F.split(c, " ")
+    # only the first 36 words can end a prefix; the rest of the text is cut off by position
+    ws = F.slice(F.split(c, " ", 38), 1, 37)
 
-    def at(i):
-        prefix = F.regexp_replace(F.array_join(F.slice(ws, F.lit(1), i), " "), r"^[,;:\-–—]+|[,;:\-–—]+$", "")
-        body = F.regexp_replace(
-            F.array_join(F.slice(ws, i + 1, F.size(ws)), " "), r"^[ ,;:\-–—]+", ""
+    def at(ws_, i):
+        head = F.array_join(F.slice(ws_, F.lit(1), i), " ")
+        return let(
+            head,
+            lambda h: F.struct(
+                F.regexp_replace(F.trim(h), r"^[,;:\-–—]+|[,;:\-–—]+$", "").alias("prefix"),
+                F.regexp_replace(F.substr(c, F.length(h) + 2), r"^[ ,;:\-–—]+", "").alias("body"),
+            ),
         )
-        return F.struct(prefix.alias("prefix"), body.alias("body"))
 
     def fits(s):
-        # cheap tests first; the last one is the costly one
+        # cheap tests on the short prefix first; the one that reads the whole body comes last
         return (
             F.length(s.prefix).between(12, 320)
             & (F.length(s.body) >= 45)
             & s.body.rlike(r"^[^A-Za-z]*[A-Z]")
-            & ~prose(s.prefix)
             & body_sentence(s.body)
-            & prose(s.body)
+            & ~prose(s.prefix)
             & metadata_prefix(s.prefix, title)
+            & prose(s.body)
         )
 
-    tries = F.transform(F.sequence(F.lit(2), F.least(F.size(ws), F.lit(36)) - 1), at)
+    def search(ws_):
+        ends = F.sequence(F.lit(2), F.least(F.size(ws_), F.lit(36)) - 1)
+        return F.try_element_at(F.filter(F.transform(ends, lambda i: at(ws_, i)), fits), F.lit(1))
+
     gate = (F.length(c) >= 80) & (words(c) >= 8)
-    return F.when(gate, F.try_element_at(F.filter(tries, fits), F.lit(1)))
+    return F.when(gate, let(ws, search))

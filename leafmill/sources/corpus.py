@@ -17,12 +17,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer partitions than the session has cores.
+
+    Text work is heavy per row, and a small file is one task.  A corpus of many files has more
+    partitions than cores already and is left as it is, without an exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
