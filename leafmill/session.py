@@ -21,7 +21,7 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cpus: int | str = "*", name: str = "leafmill") -> SparkSession:
+def local_session(cpus: int | str = "*", name: str = "leafmill", **settings: str) -> SparkSession:
     """Single-machine session for tests and the benchmark."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -33,15 +33,25 @@ def local_session(cpus: int | str = "*", name: str = "leafmill") -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
     )
+    for key, value in settings.items():
+        builder = builder.config(key.replace("__", "."), value)
     spark = configure(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+_own_roots: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and state; a local one only when the session names none."""
+    """Shared folder for checkpoints and state, as the session names it in spark.checkpoint.dir.
+
+    Only where the session names none (tests, a single machine) a folder of our own is used.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="leafmill-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    app = spark.sparkContext.applicationId
+    if app not in _own_roots:
+        _own_roots[app] = tempfile.mkdtemp(prefix="leafmill-checkpoint-")
+    return _own_roots[app]
