@@ -39,7 +39,7 @@ def test_validator_reasons(spark):
     assert reason(spark, [a], [a.replace("Jane Field ", "")]) == "important_token_loss"
     names = "In May the mayor Jane Field met Sam Hill and Kim Lake of Harbour to plan the work."
     assert reason(spark, [names], [names.replace("Lake ", "")]) == "paragraph_token_loss"
-    assert reason(spark, [b], ["Monday arrives quickly although nobody really expects anything important."]) == "paragraph_content_loss"
+    assert reason(spark, [b], ["Workers on Monday seldom notice anything truly important anyway, nobody does."]) == "paragraph_content_loss"
     assert reason(spark, [a], ["- " + a]) == "suspicious_formatting"
     assert reason(spark, [a, b], [a, b]) is None
 
