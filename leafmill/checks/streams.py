@@ -15,7 +15,23 @@ j AS (SELECT l.user_id, l.lookup_id, l.ms, l.package, l.sig, t.ms AS tms, t.pack
 GOOD = "tp = package AND ts = sig AND ms - tms <= 21600000"
 PLAIN_BLOCKS = f"""{blocks_of('documents')}, nb AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, pos, type, text AS raw, {D.collapse("translate(text, chr(160), ' ')")} AS text FROM blocks)"""
 
+SESSIONS = f"""WITH RECURSIVE {EV}, q AS (SELECT user_id, k % 3 AS fresh, k * 2 AS size, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM ev),
+w AS (SELECT DISTINCT user_id, 0::bigint AS n, 0::bigint AS session, 0::bigint AS steps, 0::bigint AS stalled, 0::bigint AS blocks, 0::bigint AS chars, false AS closed FROM q
+  UNION ALL SELECT user_id, n, session, steps, stalled, blocks, chars, steps >= 10 OR stalled >= 2 FROM (
+    SELECT q.user_id, q.n, w.session + w.closed::int AS session, CASE WHEN w.closed THEN 1 ELSE w.steps + 1 END AS steps, CASE WHEN q.fresh > 0 THEN 0 WHEN w.closed THEN 1 ELSE w.stalled + 1 END AS stalled,
+      CASE WHEN w.closed THEN 0 ELSE w.blocks END + q.fresh AS blocks, CASE WHEN w.closed THEN 0 ELSE w.chars END + CASE WHEN q.fresh > 0 THEN q.size ELSE 0 END AS chars
+    FROM w JOIN q ON q.user_id = w.user_id AND q.n = w.n + 1))
+SELECT user_id, session, steps, blocks, chars FROM w WHERE closed AND chars >= 120"""
+FRAGMENTS = """WITH RECURSIVE f AS (SELECT conv_id || ':' || turn AS response_id, list_transform(range(0, length(text), 40), lambda p, i: CASE (i - 1) % 4 WHEN 1 THEN substr(text, 1, least(p + 40, length(text)))
+    WHEN 3 THEN substr(text, greatest(p - 9, 1), least(p + 40, length(text)) - greatest(p - 9, 1) + 1) ELSE substr(text, p + 1, least(p + 40, length(text)) - p) END) AS ps FROM conversations WHERE role = 'assistant' AND length(text) > 0),
+w AS (SELECT response_id, ps, 0 AS n, '' AS t FROM f UNION ALL SELECT response_id, ps, n + 1, CASE WHEN trim(ps[n + 1]) = '' THEN t WHEN trim(t) = '' THEN ps[n + 1] WHEN starts_with(ps[n + 1], t) THEN ps[n + 1] WHEN ends_with(t, ps[n + 1]) THEN t
+    ELSE t || substr(ps[n + 1], coalesce(list_max(list_filter(range(1, least(length(t), length(ps[n + 1])) + 1), lambda m: ends_with(t, substr(ps[n + 1], 1, m)))), 0) + 1) END FROM w WHERE n < len(ps))
+SELECT response_id, t AS text FROM w WHERE n = len(ps)"""
+
 CHECKS = {
+    "t03_capture_sessions": SESSIONS,
+    "t07_fragment_assembly": FRAGMENTS,
+    "t07_fragment_stream": FRAGMENTS,
     "s02_plain_documents": f"""WITH src AS (SELECT doc_id, {GIVEN_TITLE} AS given, text FROM documents), {paragraphs('src')},
  p1 AS (SELECT s.doc_id, nullif(trim({D.sub('s.given', r'\s+', ' ')}), '') AS given, p.text AS first FROM src s LEFT JOIN paras p ON p.doc_id = s.doc_id AND p.pos = 0),
  p2 AS (SELECT *, coalesce(CASE WHEN given IS NOT NULL THEN {D.token_key('first')} = {D.token_key('given')} ELSE {D.plain_title('first')} END, false) AS take FROM p1),

@@ -5,6 +5,7 @@ from leafmill.functions import rules as R
 from leafmill.functions.rules import any_of
 from leafmill.operators import html as H
 from leafmill.operators import web as W
+from leafmill.operators.sentences import AUTHOR_STOP_WORDS
 from leafmill.plans import inputs as I
 
 NO_POSSESSIVE = {"article": W.ARTICLE_BODY.replace("*+", "*"), "body": W.BODY_HTML.replace("*+", "*")}
@@ -246,7 +247,16 @@ a2 AS (SELECT *, {KEY220} AS k2 FROM a1 WHERE started = 1 AND NOT ({D.starts('lo
    OR (contains(host, 'siam.org') AND {D.starts('lower(text)', R.ANCHOR_STOPS_BY_HOST['siam.org'])})) AND (starts_with(tag, 'h') OR {USABLE}))
 SELECT page_id, op AS pos, {SHAPED} FROM a2 WHERE k2 <> '' QUALIFY row_number() OVER (PARTITION BY page_id, k2 ORDER BY op) = 1"""
 
+FIRST = "list_filter(list_transform(string_split_regex({}, '(?i)\\s*(?:,|;|\\band\\b|&)\\s*'), lambda p: trim(p)), lambda p: p <> '')[1]"
+NAME_WORDS = "list_transform(string_split_regex(nm, '\\s+'), lambda w: regexp_replace(w, '^[.,;]+|[.,;]+$', '', 'g'))"
+AUTHORS = f"""WITH meta AS ({METADATA}),
+a AS (SELECT page_id, pos, text, {FIRST.format('text')} AS nm, {FIRST.format("regexp_replace(text, '(?i)^by\\s+', '')")} AS byname FROM (SELECT page_id, pos, {D.collapse('text')} AS text FROM meta)),
+b AS (SELECT page_id, pos, CASE WHEN regexp_matches(text, '(?i)^by .+$') THEN byname WHEN NOT {D.has('lower(text)', AUTHOR_STOP_WORDS)} AND length(nm) BETWEEN 4 AND 60 AND NOT regexp_matches(nm, '[@:]')
+   AND len({NAME_WORDS}) BETWEEN 2 AND 5 AND len(list_filter({NAME_WORDS}, lambda w: NOT regexp_matches(w, '^\\p{{Lu}}'))) = 0 THEN nm END AS author FROM a)
+SELECT p.page_id, (SELECT arg_min(author, pos) FROM b WHERE b.page_id = p.page_id AND author IS NOT NULL) AS author FROM pages p"""
+
 CHECKS = {
+    "n10_authors": AUTHORS,
     "s01_page_scan": f"SELECT page_id, url, {URL_TITLE} AS title, length(html) AS n_chars FROM pages",
     "w01_live_text": f"WITH {TOKENS} SELECT page_id, trim(string_agg(piece, '' ORDER BY pos)) AS text FROM tokens GROUP BY page_id",
     "w02_tag_events": f"WITH {TOKENS} SELECT page_id, pos, kind, tag, level, end_pos, depth, parent, live, quote, piece FROM tokens",
