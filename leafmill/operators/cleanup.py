@@ -20,8 +20,8 @@ from leafmill.operators.blocks import explode_rows
 # --- fixed values: clean-up profiles, tokens, lists ---
 PROMPT_VERSION = 11
 SUMMARY_PROMPT_VERSION = 2
-BREAK = "<READ_PARAGRAPH_BREAK>"
-DROP = "<READ_DROP_PARAGRAPH>"
+BREAK = "<PARAGRAPH_BREAK>"
+DROP = "<DROP_PARAGRAPH>"
 
 
 @dataclass(frozen=True)
@@ -226,7 +226,7 @@ def summary_prompt(title, source_text, kind="article") -> Column:
     )
 
 
-def split_response(response, expected) -> Column:
+def split_response(response, expected, token: str = BREAK) -> Column:
     """Paragraphs of a response: by the break token, else by blank lines, only if the count fits."""
     t = F.replace(F.replace(col(response), F.lit("\r\n"), F.lit("\n")), F.lit("```"), F.lit(""))
 
@@ -234,7 +234,7 @@ def split_response(response, expected) -> Column:
         return F.filter(F.transform(F.split(text, pattern), paragraph), lambda p: p != "")
 
     def choose(text):
-        by_token, by_blank = parts(text, BREAK), parts(text, r"\n\s*\n+")
+        by_token, by_blank = parts(text, token), parts(text, r"\n\s*\n+")
         none = F.slice(F.array(F.lit("")), 1, 0)
         return F.when(F.size(by_token) == expected, by_token).when(F.size(by_blank) == expected, by_blank).otherwise(none)
 
@@ -321,11 +321,9 @@ def protected_tokens(c) -> Column:
 
 
 def content_tokens(c) -> Column:
-    kept = F.filter(
-        runs(F.lower(col(c)), CONTENT_RUN),
-        lambda t: (F.length(t) >= 3) & ~F.array_contains(strings(STOP_WORDS), t),
-    )
-    return F.array_distinct(kept)
+    """Distinct words of three characters or more without stop words (one hashed set difference)."""
+    long_words = F.filter(runs(F.lower(col(c)), CONTENT_RUN), lambda t: F.length(t) >= 3)
+    return F.array_except(long_words, strings(STOP_WORDS))
 
 
 def similarity(a, b) -> Column:

@@ -272,7 +272,7 @@ def model_rewrite(p: Column, rule: Column) -> Column:
         .when(rule == 2, F.substr(p, F.lit(1), n - F.floor(n / 3).cast("int")))
         .when(rule == 3, F.regexp_replace(p, r"\s*\[[^\]]*\]", ""))
         .when(rule == 4, F.regexp_replace(p, r"^([^\p{Lu}]*)\p{Lu}\S*\s*", "$1"))
-        .when(rule == 5, F.lit("<READ_DROP_PARAGRAPH>"))
+        .when(rule == 5, F.lit("<DROP_PARAGRAPH>"))
         .when(rule == 6, F.concat(F.lit("- "), p))
         .otherwise(p)
     )
