@@ -4,6 +4,19 @@ from leafmill.checks import duck as D
 from leafmill.checks.sentences import CITED
 from leafmill.operators import cleanup as C
 
+# --- fixed values: written here once more, so that a wrong list in the operator shows; a test compares both ---
+IGNORED_IMPORTANT = (
+    "share comments comment print email copy link facebook twitter linkedin reddit whatsapp telegram safeframe container "
+    "advertisement adchoices related the this that these those"
+).split()
+IGNORED_PROTECTED = (
+    "a an and as at be but by for from if in into is it its of on or so than that the their there these this those to was we "
+    "were while with you your after before during when where why how however meanwhile although because since today tomorrow "
+    "yesterday share comments comment print email copy link facebook twitter linkedin reddit whatsapp telegram safeframe "
+    "container related latest read more photo photos image images credit credits caption captions source sources "
+    "advertisement adchoices newsletter subscribe"
+).split()
+
 
 def para(x):
     return D.collapse(f"translate({x}, chr(160), ' ')")
@@ -43,14 +56,14 @@ ONE = f"WITH RECURSIVE {BASE}, {packed(C.WEB, 'w')}, chunks AS (SELECT * FROM w_
 
 
 def important(x):
-    keep = f"length(t) >= 2 AND {D.rx('t', C.IMPORTANT)} AND NOT {D.in_list('lower(t)', C.IGNORED_IMPORTANT)}"
-    return f"list_distinct(list_filter(regexp_extract_all({x}, {D.lit(C.WORD_RUN)}), lambda t: {keep})[1:64])"
+    keep = f"length(t) >= 2 AND {D.rx('t', C.IMPORTANT)} AND NOT {D.in_list('lower(t)', IGNORED_IMPORTANT)}"
+    return f"list_distinct(list_filter(regexp_extract_all({x}, {D.lit(C.WORD_RUN)}), lambda t: {keep}))"
 
 
 def protected(x):
-    keep = f"length(t) >= 3 AND {D.rx('t', C.PROTECTED)} AND NOT {D.in_list('lower(t)', C.IGNORED_PROTECTED)}"
+    keep = f"length(t) >= 3 AND {D.rx('t', C.PROTECTED)} AND NOT {D.in_list('lower(t)', IGNORED_PROTECTED)}"
     bare = D.sub("t", r"^['’.\-]+|['’.\-]+$")
-    return f"list_distinct(list_filter(list_transform(regexp_extract_all({x}, {D.lit(C.NAME_RUN)}), lambda t: {bare}), lambda t: {keep})[1:64])"
+    return f"list_distinct(list_filter(list_transform(regexp_extract_all({x}, {D.lit(C.NAME_RUN)}), lambda t: {bare}), lambda t: {keep}))"
 
 
 def content(x):

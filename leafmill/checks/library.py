@@ -18,7 +18,7 @@ acts3 AS (SELECT event_id, user_id, event_type, at_ms, k, page_id, source_label,
 acts AS (SELECT *, {KEY} AS key FROM acts3)"""
 HIST = f"""{ACTS},
 h0 AS (SELECT * FROM acts WHERE event_type = 'view' QUALIFY row_number() OVER (PARTITION BY user_id, key ORDER BY at_ms DESC, event_id DESC) = 1),
-hist AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at_ms DESC, event_id DESC) AS rank FROM h0 QUALIFY rank <= 20)"""
+hist AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at_ms DESC, event_id DESC) AS rank FROM h0)"""
 LIST = """ad AS (SELECT *, event_id % 2 AS par, CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS was_done FROM acts WHERE event_type = 'purchase'
    QUALIFY row_number() OVER (PARTITION BY user_id, key, event_id % 2 ORDER BY at_ms DESC, event_id DESC) = 1),
 marks AS (SELECT user_id, key, arg_max(k % 2, at_ms) AS done FROM acts WHERE event_type = 'signup' GROUP BY ALL),
@@ -32,13 +32,16 @@ BM = """bm AS (SELECT event_id, user_id, title, 'https://example.org/b/' || page
 def upsert(source, label):
     return f"""alive AS (SELECT b.* FROM {source} b WHERE NOT EXISTS (SELECT 1 FROM {source} l WHERE l.user_id = b.user_id AND l.{label} = b.{label} AND l.block = b.block
    AND abs(l.off - b.off) < 4 AND (l.created_at, l.event_id) > (b.created_at, b.event_id))),
-bms AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, event_id DESC) AS rank FROM alive QUALIFY rank <= 200)"""
+bms AS (SELECT * FROM alive)"""
 
 
 STORE = """st0 AS (SELECT * FROM acts WHERE event_type IN ('view', 'purchase', 'error') QUALIFY row_number() OVER (PARTITION BY user_id, source_label ORDER BY at_ms DESC, event_id DESC) = 1),
 store AS (SELECT user_id, source_label, at_ms AS modified_at, (k + 1)::bigint * 1000000 AS bytes, k * 20 AS chars,
    (CASE WHEN kind = 'PDF' THEN k % 9 + k % 3 >= 1 AND k * 20 >= 200 ELSE k % 9 >= 3 AND k * 20 >= 800 END)::int AS usable FROM st0)"""
-KNOWN = "known AS (SELECT user_id, source_label FROM hist UNION SELECT user_id, source_label FROM rl)"
+FULL = f"{BM}, {upsert('bm', 'full_label')}"
+LAST = "lst AS (SELECT user_id, arg_max(source_label, {'a': at_ms, 'e': event_id}) AS source_label FROM acts GROUP BY user_id)"
+KNOWN = f"""{FULL}, {LAST}, known AS (SELECT user_id, source_label FROM hist UNION SELECT user_id, full_label FROM bms
+  UNION SELECT user_id, source_label FROM rl UNION SELECT user_id, source_label FROM lst)"""
 SNIP = "substr(lower(" + D.collapse("snippet") + "), 1, 48)"
 SPAN = f"""{POS},
 nb AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS block, text FROM blocks),
@@ -60,9 +63,9 @@ CHECKS = {
    CASE WHEN NOT regexp_matches(source_label, '//www\\.') AND len(string_split({D.url_host('source_label')}, '.')) = 2 THEN replace(source_label, '://', '://www.') END AS www FROM acts""",
     "j02_www_groups": f"""SELECT regexp_replace({D.url_host('url')}, '^www\\.', '') AS host, count(*) AS pages,
    sum((regexp_replace(url, '//www\\.', '//', 'g') LIKE '%//www.%' OR 'www.' || {D.url_host("regexp_replace(url, '//www\\.', '//', 'g')")} = 'www.' || {D.url_host('url')})::int) AS kept_www FROM pages GROUP BY 1""",
-    "j03_history": f"WITH {HIST} SELECT user_id, key, title, source_label, at_ms AS opened_at, rank FROM hist",
+    "j03_history": f"WITH {HIST} SELECT user_id, key, title, source_label, at_ms AS opened_at FROM hist",
     "j04_reading_list": f"WITH {ACTS}, {LIST} SELECT user_id, key, title, summary, added_at, is_done FROM rl",
-    "j05_bookmarks": f'WITH {ACTS}, {BM}, {upsert("bm", "source_label")} SELECT user_id, source_label, block, off AS "offset", event_id, rank FROM bms',
+    "j05_bookmarks": f'WITH {ACTS}, {BM}, {upsert("bm", "source_label")} SELECT user_id, source_label, block, off AS "offset", event_id FROM bms',
     "j06_nearest_bookmarks": f"""WITH {ACTS}, {BM}, t AS (SELECT event_id AS target_id, user_id, 'https://example.org/b/' || page_id % 5 AS source_label, block, off, 'a passage number ' || k % 5 || ' on page' AS ts FROM acts WHERE event_type = 'view'),
  c AS (SELECT target_id, b.off AS boff, abs(b.off - t.off) AS d, b.created_at, b.event_id FROM t JOIN (SELECT *, {SNIP} AS sn FROM bm) b USING (user_id, source_label, block)
    WHERE abs(b.off - t.off) <= 12 OR (length(sn) >= 16 AND length(ts) >= 16 AND (starts_with(sn, ts) OR starts_with(ts, sn))))
@@ -76,16 +79,21 @@ CHECKS = {
     "j10_bookmark_search": f"""WITH {ACTS}, {BM}, q AS (SELECT *, max(created_at) OVER (PARTITION BY user_id, source_label) AS group_latest FROM bm WHERE contains(lower(snippet), 'passage number 3 on  page') OR contains(lower(title), 'passage number 3 on  page') OR contains(lower(label), 'passage number 3 on  page'))
  SELECT user_id, source_label, (source_label = 'https://example.org/b/2')::int AS is_current, group_latest, block, off AS "offset", event_id FROM q""",
     "j11_reading_list_split": f"WITH {ACTS}, {LIST} SELECT user_id, sum(1 - is_done) AS to_read, sum(is_done) AS done FROM rl GROUP BY user_id",
-    "j12_delete_cascade": f"""WITH {HIST}, {LIST}, {STORE}, gone AS (SELECT DISTINCT user_id, source_label FROM acts WHERE event_type = 'error'),
+    "j12_delete_cascade": f"""WITH {HIST}, {LIST}, {STORE}, {FULL}, {LAST}, gone AS (SELECT DISTINCT user_id, source_label FROM acts WHERE event_type = 'error'),
  cleared AS (SELECT * FROM gone WHERE NOT EXISTS (SELECT 1 FROM rl WHERE rl.user_id = gone.user_id AND rl.source_label = gone.source_label)),
- hl AS (SELECT h.* FROM hist h ANTI JOIN gone g USING (user_id, source_label)), fl AS (SELECT s.* FROM store s ANTI JOIN cleared c USING (user_id, source_label))
+ hl AS (SELECT h.* FROM hist h ANTI JOIN gone g USING (user_id, source_label)), fl AS (SELECT s.* FROM store s ANTI JOIN cleared c USING (user_id, source_label)),
+ bl AS (SELECT b.* FROM bms b WHERE NOT EXISTS (SELECT 1 FROM cleared c WHERE c.user_id = b.user_id AND c.source_label = b.full_label)),
+ m AS (SELECT *, {PROG_CANON} AS canon FROM acts), al AS (SELECT user_id, canon AS key FROM m UNION SELECT user_id, source_label FROM m),
+ ck AS (SELECT user_id, {PROG_CANON} AS key FROM cleared UNION SELECT user_id, source_label FROM cleared), pl AS (SELECT a.* FROM al a ANTI JOIN ck USING (user_id, key))
  SELECT u.user_id, (SELECT count(*) FROM hl WHERE hl.user_id = u.user_id) AS history_left, (SELECT count(*) FROM fl WHERE fl.user_id = u.user_id) AS files_left,
-  coalesce((SELECT arg_min(source_label, rank) FROM hl WHERE hl.user_id = u.user_id), (SELECT arg_max(source_label, {{'a': added_at, 'k': key}}) FROM rl WHERE rl.user_id = u.user_id)) AS last_opened
- FROM (SELECT DISTINCT user_id FROM acts) u""",
+  (SELECT count(*) FROM bl WHERE bl.user_id = u.user_id) AS bookmarks_left, (SELECT count(*) FROM pl WHERE pl.user_id = u.user_id) AS progress_left,
+  CASE WHEN NOT EXISTS (SELECT 1 FROM gone g WHERE g.user_id = u.user_id AND g.source_label = u.source_label) THEN u.source_label ELSE
+   coalesce((SELECT arg_min(source_label, rank) FROM hl WHERE hl.user_id = u.user_id), (SELECT arg_max(source_label, {{'a': added_at, 'k': key}}) FROM rl WHERE rl.user_id = u.user_id)) END AS last_opened
+ FROM lst u""",
     "j13_protected_keys": f"WITH {HIST}, {LIST}, {KNOWN} SELECT user_id, source_label FROM known",
     "j14_orphans": f"WITH {HIST}, {LIST}, {STORE}, {KNOWN} SELECT user_id, count(*) AS removed, sum(bytes) AS freed FROM store ANTI JOIN known USING (user_id, source_label) GROUP BY user_id",
-    "j15_retention": f"""WITH {ACTS}, {LIST}, {STORE}, tot AS (SELECT user_id, count(*) AS files, sum(bytes) AS total FROM store GROUP BY 1),
- loose AS (SELECT s.*, row_number() OVER w - 1 AS n, sum(bytes) OVER w - bytes AS b FROM store s ANTI JOIN rl USING (user_id, source_label) WINDOW w AS (PARTITION BY user_id ORDER BY modified_at, source_label ROWS UNBOUNDED PRECEDING))
+    "j15_retention": f"""WITH {HIST}, {LIST}, {STORE}, {KNOWN}, tot AS (SELECT user_id, count(*) AS files, sum(bytes) AS total FROM store GROUP BY 1),
+ loose AS (SELECT s.*, row_number() OVER w - 1 AS n, sum(bytes) OVER w - bytes AS b FROM store s ANTI JOIN known USING (user_id, source_label) WINDOW w AS (PARTITION BY user_id ORDER BY modified_at, source_label ROWS UNBOUNDED PRECEDING))
  SELECT user_id, source_label, modified_at, bytes FROM loose JOIN tot USING (user_id) WHERE files - n > 24 OR total - b > 96 * 1024 * 1024""",
     "j17_cache_lookup": f"""WITH {ACTS}, {STORE}, ok AS (SELECT * FROM store WHERE usable = 1 AND chars % 40 <> 20), v AS (SELECT user_id, source_label, max(at_ms) AS t, {CANON} AS canon FROM acts WHERE event_type = 'view' GROUP BY user_id, source_label),
  alt AS (SELECT a.user_id, a.source_label, arg_max(b.source_label, b.t) AS other FROM v a JOIN v b ON a.user_id = b.user_id AND a.canon = b.canon AND a.source_label <> b.source_label GROUP BY ALL)

@@ -62,6 +62,9 @@ IGNORED_PROTECTED = [
     "during", "when", "where", "why", "how", "however", "meanwhile", "although", "because",
     "since", "today", "tomorrow", "yesterday", "share", "comments", "comment", "print", "email",
     "copy", "link", "facebook", "twitter", "linkedin", "reddit", "whatsapp", "telegram",
+    "safeframe", "container", "related", "latest", "read", "more", "photo", "photos", "image",
+    "images", "credit", "credits", "caption", "captions", "source", "sources", "advertisement",
+    "adchoices", "newsletter", "subscribe",
 ]
 STOP_WORDS = [
     "the", "and", "that", "with", "from", "this", "have", "were", "their", "there", "about",
@@ -79,7 +82,6 @@ MARKERS = {
     ],
     "PDF": ["arxiv:", "accepted for", "page ", "copyright", "all rights reserved"],
 }
-TOKEN_LIMIT = 64
 WORD_RUN = r"\d[\d,.:/%-]*\d|[\p{L}\p{N}_]+"
 IMPORTANT = r"^(?:[A-Z][a-z]+|[A-Z]{2,}|\d[\d,.:/%-]*)$"
 NAME_RUN = r"[\p{L}\p{N}_'’.\-]+"
@@ -304,20 +306,22 @@ def runs(c, pattern: str) -> Column:
 
 
 def important_tokens(c) -> Column:
+    """All distinct names, acronyms and numbers of the text."""
     kept = F.filter(
         runs(c, WORD_RUN),
         lambda t: (F.length(t) >= 2) & t.rlike(IMPORTANT) & ~F.array_contains(strings(IGNORED_IMPORTANT), F.lower(t)),
     )
-    return F.array_distinct(F.slice(kept, 1, TOKEN_LIMIT))
+    return F.array_distinct(kept)
 
 
 def protected_tokens(c) -> Column:
+    """All distinct capitalised or mixed-case words of the text that are not on the list of ignored ones."""
     bare = F.transform(runs(c, NAME_RUN), lambda t: F.regexp_replace(t, r"^['’.\-]+|['’.\-]+$", ""))
     kept = F.filter(
         bare,
         lambda t: (F.length(t) >= 3) & t.rlike(PROTECTED) & ~F.array_contains(strings(IGNORED_PROTECTED), F.lower(t)),
     )
-    return F.array_distinct(F.slice(kept, 1, TOKEN_LIMIT))
+    return F.array_distinct(kept)
 
 
 def content_tokens(c) -> Column:

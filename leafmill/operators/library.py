@@ -14,14 +14,10 @@ from leafmill.functions.text import col, collapse, token_key
 from leafmill.operators.blocks import peel_plain_text
 
 # --- fixed values: limits of the library ---
-HISTORY_KEPT = 20
-BOOKMARKS_KEPT = 200
 OFFSET_TOLERANCE = 3
 MATCH_TOLERANCE = 12
 SNIPPET_PREFIX, SNIPPET_MIN = 48, 16
 SPAN_PREFIX, SPAN_CHARS = 96, 220
-STORE_FILES = 24
-STORE_BYTES = 96 * 1024 * 1024
 QUALITY_MARGIN = 160
 
 
@@ -82,16 +78,19 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(best.alias("_r")).select(*keys, "_r.*")
 
 
-def top(rows: DataFrame, user: str, order: list, k: int) -> DataFrame:
+def top(rows: DataFrame, user: str, order: list, k: int | None) -> DataFrame:
+    """All rows, or the first ``k`` of each user with their ``rank``."""
+    if k is None:
+        return rows
     w = Window.partitionBy(user).orderBy(*order)
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 # ----- history and reading list --------------------------------------------------------------
-def history(opens: DataFrame) -> DataFrame:
-    """Latest open per user and key, newest twenty per user."""
+def history(opens: DataFrame, kept: int | None = None) -> DataFrame:
+    """Latest open per user and key; the newest ``kept`` of each user if a number is given."""
     rows = latest(opens.withColumn("key", entry_key()), ["user_id", "key"], ["opened_at", "event_id"])
-    return top(rows, "user_id", [F.desc("opened_at"), F.desc("event_id")], HISTORY_KEPT)
+    return top(rows, "user_id", [F.desc("opened_at"), F.desc("event_id")], kept)
 
 
 def reading_list_upsert(existing: DataFrame, added: DataFrame) -> DataFrame:
@@ -107,6 +106,11 @@ def reading_list_upsert(existing: DataFrame, added: DataFrame) -> DataFrame:
     )
 
 
+def reading_list_remove(entries: DataFrame, gone: DataFrame) -> DataFrame:
+    """Entries without the (user, key) pairs of ``gone``."""
+    return entries.join(gone.select("user_id", "key").distinct(), ["user_id", "key"], "left_anti")
+
+
 def set_done(entries: DataFrame, marks: DataFrame) -> DataFrame:
     """Entries with the last done mark of their (user, key) applied."""
     last = latest(marks, ["user_id", "key"], ["at"]).select("user_id", "key", F.col("done").alias("_done"))
@@ -116,9 +120,11 @@ def set_done(entries: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 # ----- bookmarks -----------------------------------------------------------------------------
-def bookmark_upsert(bookmarks: DataFrame) -> DataFrame:
+def bookmark_upsert(bookmarks: DataFrame, kept: int | None = None) -> DataFrame:
     """A bookmark goes when a later one of the same user, source and block lies less than 4 characters away.
 
+    All others stay, or the newest ``kept`` of each user if a number is given.
+
     Each offset keeps its latest row; that row is announced to the offsets around it, and
     survives if nothing later was announced at its own.  Linear, no pairs.
     """
@@ -131,11 +137,28 @@ def bookmark_upsert(bookmarks: DataFrame) -> DataFrame:
         .agg(F.max("t").alias("t"))
     )
     alive = at.join(heard, [*place, "offset"]).filter(F.struct("created_at", "event_id") == F.col("t")).drop("t")
-    return top(alive, "user_id", [F.desc("created_at"), F.desc("event_id")], BOOKMARKS_KEPT)
+    return top(alive, "user_id", [F.desc("created_at"), F.desc("event_id")], kept)
+
+
+BOOKMARK = ["user_id", "source_label", "block", "offset", "created_at"]
+
+
+def bookmark_delete(bookmarks: DataFrame, gone: DataFrame) -> DataFrame:
+    """Bookmarks without those named by all five identifying columns."""
+    return bookmarks.join(gone.select(*BOOKMARK).distinct(), BOOKMARK, "left_anti")
+
+
+def rename_label(label, chars: int | None = None) -> Column:
+    """White space collapsed, null if nothing is left; the first ``chars`` characters if a number is given."""
+    text = F.trim(collapse(label))
+    return F.nullif(F.trim(F.substring(text, 1, chars)) if chars else text, F.lit(""))
 
 
-def rename_label(label) -> Column:
-    return F.nullif(F.trim(F.substring(collapse(label), 1, 80)), F.lit(""))
+def bookmark_rename(bookmarks: DataFrame, renames: DataFrame, chars: int | None = None) -> DataFrame:
+    """Bookmarks with the last new label given for their five identifying columns: ``renames`` has those, new_label and at."""
+    last = renames.groupBy(*BOOKMARK).agg(F.max_by("new_label", "at").alias("_new"), F.lit(True).alias("_named"))
+    label = F.when(F.col("_named"), rename_label("_new", chars)).otherwise(F.col("label"))
+    return bookmarks.join(last, BOOKMARK, "left").withColumn("label", label).drop("_new", "_named")
 
 
 def nearest_bookmark(targets: DataFrame, bookmarks: DataFrame) -> DataFrame:
@@ -240,8 +263,8 @@ def orphan_report(store: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
-def evictions(store: DataFrame, known: DataFrame, max_files=STORE_FILES, max_bytes=STORE_BYTES, cell_ms=86_400_000) -> DataFrame:
-    """Unprotected files to remove, oldest first, until the user is inside both limits.
+def evictions(store: DataFrame, known: DataFrame, max_files: int, max_bytes: int, cell_ms=86_400_000) -> DataFrame:
+    """Unprotected files to remove, oldest first, until the user is inside both limits, which the caller sets.
 
     File i of the eviction order goes if what is left before it still exceeds a limit.  The
     running sums have two levels, time cells and files inside a cell, so one user's store is
@@ -253,8 +276,9 @@ def evictions(store: DataFrame, known: DataFrame, max_files=STORE_FILES, max_byt
     )
     cells = loose.groupBy("user_id", "cell").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"))
     earlier = Window.partitionBy("user_id").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(
-        "user_id", "cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"),
+    # the totals of a user reach the files through the cells, which are many for a busy user
+    cells = cells.join(totals, "user_id").select(
+        "user_id", "cell", "files", "total", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"),
         F.coalesce(F.sum("b").over(earlier), F.lit(0)).alias("b0"),
     )
     inside = (
@@ -263,7 +287,7 @@ def evictions(store: DataFrame, known: DataFrame, max_files=STORE_FILES, max_byt
     loose = loose.withColumn("n1", F.count(F.lit(1)).over(inside)).withColumn(
         "b1", F.coalesce(F.sum("bytes").over(inside), F.lit(0))
     )
-    rows = loose.join(cells, ["user_id", "cell"]).join(totals, "user_id")
+    rows = loose.join(cells, ["user_id", "cell"])
     over = (F.col("files") - F.col("n0") - F.col("n1") > max_files) | (
         F.col("total") - F.col("b0") - F.col("b1") > max_bytes
     )

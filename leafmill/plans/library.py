@@ -11,11 +11,15 @@ from leafmill.operators import web as W
 from leafmill.operators.blocks import explode_rows, line_blocks
 from leafmill.operators.cleanup import numbered_blocks
 from leafmill.plans.inputs import cited_blocks, positions, rich_pages
+from leafmill.session import written
 from leafmill.sources.corpus import document_kind, read_documents, read_pages, read_table, session_is_pdf, split_oversize
 
 
 def acts(spark, sf):
-    """Events with the page they are about and the label under which the page was opened."""
+    """Events with the page they are about and the label under which the page was opened.
+
+    Written once: a query uses it for every kind of event.
+    """
     pages = read_table(spark, sf, "pages").select("page_id", "url")
     k = F.get_json_object("props", "$.k").cast("int")
     ev = read_table(spark, sf, "events").withColumn("k", k).withColumn("at", epoch_ms("ts"))
@@ -29,22 +33,23 @@ def acts(spark, sf):
         .otherwise(base)
     )
     rows = ev.join(pages, "page_id").withColumn("source_label", label)
-    return rows.select(
+    rows = rows.select(
         "event_id", "user_id", "event_type", "at", "k", "page_id", "source_label", document_kind("source_label").alias("kind"),
         F.concat(F.lit("Page "), (F.col("page_id") % 40).cast("string")).alias("title"),
         F.concat(F.lit("About "), (F.col("page_id") % 25).cast("string")).alias("summary"),
         (F.floor("value") % 200).cast("int").alias("offset"), (F.col("k") % 10).alias("block"),
     )
+    return written(rows, "acts")
 
 
-def opens(spark, sf):
-    return acts(spark, sf).filter("event_type = 'view'").select(
+def opens(a):
+    return a.filter("event_type = 'view'").select(
         "event_id", "user_id", "title", "summary", "kind", "source_label", F.col("at").alias("opened_at")
     )
 
 
-def bookmarks(spark, sf):
-    rows = acts(spark, sf).filter("event_type = 'click'")
+def bookmarks(a):
+    rows = a.filter("event_type = 'click'")
     return rows.select(
         "event_id", "user_id", "title",
         F.concat(F.lit("https://example.org/b/"), (F.col("page_id") % 5).cast("string")).alias("source_label"),
@@ -57,23 +62,23 @@ def bookmarks(spark, sf):
     )
 
 
-def _adds(spark, sf, parity):
-    return acts(spark, sf).filter(f"event_type = 'purchase' and event_id % 2 = {parity}").select(
+def _adds(a, parity):
+    return a.filter(f"event_type = 'purchase' and event_id % 2 = {parity}").select(
         "event_id", "user_id", "title", "summary", "kind", "source_label", F.col("at").alias("added_at"),
         F.when(F.col("k") % 3 == 0, 1).otherwise(0).alias("is_done"),
     )
 
 
-def reading_list(spark, sf):
-    entries = J.reading_list_upsert(_adds(spark, sf, 0), _adds(spark, sf, 1))
-    marks = acts(spark, sf).filter("event_type = 'signup'").select(
+def reading_list(a):
+    entries = J.reading_list_upsert(_adds(a, 0), _adds(a, 1))
+    marks = a.filter("event_type = 'signup'").select(
         "user_id", J.entry_key().alias("key"), "at", (F.col("k") % 2).alias("done")
     )
     return J.set_done(entries, marks)
 
 
-def store(spark, sf):
-    rows = acts(spark, sf).filter("event_type in ('view', 'purchase', 'error')").select(
+def store(a):
+    rows = a.filter("event_type in ('view', 'purchase', 'error')").select(
         "user_id", "source_label", "kind", F.col("at").alias("modified_at"), "event_id", "k"
     )
     one = J.latest(rows, ["user_id", "source_label"], ["modified_at", "event_id"])
@@ -85,7 +90,8 @@ def store(spark, sf):
 
 
 def source_keys(spark, sf):
-    rows = acts(spark, sf).select("source_label").distinct()
+    a = acts(spark, sf)
+    rows = a.select("source_label").distinct()
     return rows.select(
         "source_label", J.canonical_source("source_label").alias("canonical"), J.browser_identity("source_label").alias("identity"),
         J.www_variant("source_label").alias("www"),
@@ -103,24 +109,28 @@ def www_groups(spark, sf):
 
 
 def history_rows(spark, sf):
-    return J.history(opens(spark, sf)).select("user_id", "key", "title", "source_label", "opened_at", "rank")
+    a = acts(spark, sf)
+    return J.history(opens(a)).select("user_id", "key", "title", "source_label", "opened_at")
 
 
 def reading_list_rows(spark, sf):
-    return reading_list(spark, sf).select("user_id", "key", "title", "summary", "added_at", "is_done")
+    a = acts(spark, sf)
+    return reading_list(a).select("user_id", "key", "title", "summary", "added_at", "is_done")
 
 
 def bookmark_rows(spark, sf):
-    return J.bookmark_upsert(bookmarks(spark, sf)).select("user_id", "source_label", "block", "offset", "event_id", "rank")
+    a = acts(spark, sf)
+    return J.bookmark_upsert(bookmarks(a)).select("user_id", "source_label", "block", "offset", "event_id")
 
 
 def nearest_bookmarks(spark, sf):
-    targets = acts(spark, sf).filter("event_type = 'view'").select(
+    a = acts(spark, sf)
+    targets = a.filter("event_type = 'view'").select(
         "user_id", F.concat(F.lit("https://example.org/b/"), (F.col("page_id") % 5).cast("string")).alias("source_label"), "block",
         F.col("event_id").alias("target_id"), "offset",
         F.concat(F.lit("a passage number "), (F.col("k") % 5).cast("string"), F.lit(" on page")).alias("snippet"),
     )
-    return J.nearest_bookmark(targets, bookmarks(spark, sf)).select("target_id", "offset")
+    return J.nearest_bookmark(targets, bookmarks(a)).select("target_id", "offset")
 
 
 def bookmark_spans(spark, sf):
@@ -148,14 +158,23 @@ def section_enrichment(spark, sf):
     )
 
 
-def history_overview(spark, sf):
-    h = J.history(opens(spark, sf))
-    marks = J.bookmark_upsert(
-        bookmarks(spark, sf).join(acts(spark, sf).select("event_id", F.col("source_label").alias("full")), "event_id")
-        .withColumn("source_label", F.col("full")).drop("full")
+def full_bookmarks(a):
+    """Bookmarks under the label of their document."""
+    marks = bookmarks(a).drop("source_label").join(a.select("event_id", "source_label"), "event_id")
+    return J.bookmark_upsert(marks)
+
+
+def last_labels(a):
+    return J.latest(a.select("user_id", "source_label", "at", "event_id"), ["user_id"], ["at", "event_id"]).select(
+        "user_id", "source_label"
     )
-    counts = marks.groupBy("user_id", "source_label").agg(F.count(F.lit(1)).alias("bookmarks"))
-    listed = reading_list(spark, sf).select("user_id", "source_label", F.lit(1).alias("listed")).distinct()
+
+
+def history_overview(spark, sf):
+    a = acts(spark, sf)
+    h = J.history(opens(a))
+    counts = full_bookmarks(a).groupBy("user_id", "source_label").agg(F.count(F.lit(1)).alias("bookmarks"))
+    listed = reading_list(a).select("user_id", "source_label", F.lit(1).alias("listed")).distinct()
     return (
         h.join(counts, ["user_id", "source_label"], "left")
         .join(listed, ["user_id", "source_label"], "left")
@@ -167,58 +186,67 @@ def history_overview(spark, sf):
 
 
 def bookmark_search(spark, sf):
-    rows = J.bookmark_groups(bookmarks(spark, sf), "Passage number 3 on  PAGE", "https://example.org/b/2")
+    a = acts(spark, sf)
+    rows = J.bookmark_groups(bookmarks(a), "Passage number 3 on  PAGE", "https://example.org/b/2")
     return rows.select("user_id", "source_label", "is_current", "group_latest", "block", "offset", "event_id")
 
 
 def reading_list_split(spark, sf):
-    return reading_list(spark, sf).groupBy("user_id").agg(
+    a = acts(spark, sf)
+    return reading_list(a).groupBy("user_id").agg(
         F.sum(1 - F.col("is_done")).alias("to_read"), F.sum("is_done").alias("done")
     )
 
 
-def _deleted(spark, sf):
-    gone = acts(spark, sf).filter("event_type = 'error'").select("user_id", "source_label").distinct()
-    keep = reading_list(spark, sf).select("user_id", "source_label").distinct()
-    return gone, gone.join(keep, ["user_id", "source_label"], "left_anti")
-
-
 def delete_cascade(spark, sf):
-    gone, cleared = _deleted(spark, sf)
-    h = J.history(opens(spark, sf))
-    left = h.join(gone, ["user_id", "source_label"], "left_anti")
-    files = store(spark, sf).join(cleared, ["user_id", "source_label"], "left_anti")
+    """History items deleted by error events: files, bookmarks and progress of their sources go too, unless the
+    reading list keeps the source; a last-opened source that is gone is replaced."""
+    a = acts(spark, sf)
+    source = ["user_id", "source_label"]
+    gone = a.filter("event_type = 'error'").select(*source).distinct()
+    listed = reading_list(a)
+    cleared = gone.join(listed.select(*source).distinct(), source, "left_anti")
+    left = J.history(opens(a)).join(gone, source, "left_anti")
+    files = store(a).join(cleared, source, "left_anti")
+    marks = full_bookmarks(a).join(cleared, source, "left_anti")
+    keys = cleared.select("user_id", F.explode(J.progress_keys("source_label")).alias("key")).distinct()
+    progress = J.progress_table(a).join(keys, ["user_id", "key"], "left_anti")
     newest = left.groupBy("user_id").agg(F.max_by("source_label", F.struct("opened_at", "event_id")).alias("from_history"))
-    first = reading_list(spark, sf).groupBy("user_id").agg(
-        F.max_by("source_label", F.struct("added_at", "key")).alias("from_list")
-    )
-    users = acts(spark, sf).select("user_id").distinct()
+    first = listed.groupBy("user_id").agg(F.max_by("source_label", F.struct("added_at", "key")).alias("from_list"))
+    last = last_labels(a).join(gone.withColumn("is_gone", F.lit(True)), source, "left")
     n = lambda t, c: t.groupBy("user_id").agg(F.count(F.lit(1)).alias(c))
-    return (
-        users.join(n(left, "history_left"), "user_id", "left").join(n(files, "files_left"), "user_id", "left")
-        .join(newest, "user_id", "left").join(first, "user_id", "left")
-        .select(
-            "user_id", F.coalesce("history_left", F.lit(0)).alias("history_left"),
-            F.coalesce("files_left", F.lit(0)).alias("files_left"), F.coalesce("from_history", "from_list").alias("last_opened"),
-        )
+    out = last
+    for table, name in ((left, "history_left"), (files, "files_left"), (marks, "bookmarks_left"), (progress, "progress_left")):
+        out = out.join(n(table, name), "user_id", "left")
+    return out.join(newest, "user_id", "left").join(first, "user_id", "left").select(
+        "user_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("history_left", "files_left", "bookmarks_left", "progress_left")],
+        F.when(F.col("is_gone"), F.coalesce("from_history", "from_list")).otherwise(F.col("source_label")).alias("last_opened"),
     )
 
 
-def _known(spark, sf):
-    return J.known_sources(J.history(opens(spark, sf)), reading_list(spark, sf))
+def _known(a):
+    """Sources that protect a stored document: history, bookmarks, reading list, last opened."""
+    return J.known_sources(J.history(opens(a)), full_bookmarks(a), reading_list(a), last_labels(a))
 
 
 def protected_keys(spark, sf):
-    return _known(spark, sf)
+    return _known(acts(spark, sf))
 
 
 def orphans(spark, sf):
-    return J.orphan_report(store(spark, sf), _known(spark, sf))
+    a = acts(spark, sf)
+    return J.orphan_report(store(a), _known(a))
+
+
+# limits of the retention query: parameters of the caller
+STORE_FILES = 24
+STORE_BYTES = 96 * 1024 * 1024
 
 
 def retention(spark, sf):
-    listed = reading_list(spark, sf).select("user_id", "source_label").distinct()
-    return J.evictions(store(spark, sf), listed)
+    """Files outside the limits: those of error events are protected by nothing else than their other mentions."""
+    a = acts(spark, sf)
+    return J.evictions(store(a), _known(a), STORE_FILES, STORE_BYTES)
 
 
 def usability(spark, sf):
@@ -230,17 +258,19 @@ def usability(spark, sf):
 
 
 def cache_lookup(spark, sf):
-    requests = acts(spark, sf).filter("event_type = 'view'").select("user_id", "source_label").distinct()
-    known = J.latest(opens(spark, sf), ["user_id", "source_label"], ["opened_at", "event_id"]).select(
+    a = acts(spark, sf)
+    requests = a.filter("event_type = 'view'").select("user_id", "source_label").distinct()
+    known = J.latest(opens(a), ["user_id", "source_label"], ["opened_at", "event_id"]).select(
         "user_id", "source_label", (-F.col("opened_at")).alias("order")
     )
-    # stored documents of odd length are missing, so that the fallback is used
-    kept = store(spark, sf).filter("chars % 40 <> 20")
+    # all files stay; those whose length leaves 20 over 40 count as unusable, so that the fallback is used
+    kept = store(a).withColumn("usable", F.when(F.col("chars") % 40 == 20, 0).otherwise(F.col("usable")))
     return J.lookup(requests, kept, known)
 
 
 def progress_rows(spark, sf):
-    moves = acts(spark, sf)
+    a = acts(spark, sf)
+    moves = a
     table = J.progress_table(moves)
     requests = moves.filter("event_type = 'view'").select("user_id", "source_label").distinct()
     return J.read_progress(requests, table)
@@ -248,11 +278,12 @@ def progress_rows(spark, sf):
 
 def last_opened(spark, sf):
     """Preferred stored document (of the last event), else the newest history row that has one."""
-    files = store(spark, sf).filter("usable = 1").select("user_id", "source_label")
-    last = J.latest(acts(spark, sf).select("user_id", "source_label", "at", "event_id"), ["user_id"], ["at", "event_id"])
+    a = acts(spark, sf)
+    files = store(a).filter("usable = 1").select("user_id", "source_label")
+    last = last_labels(a)
     preferred = last.join(files, ["user_id", "source_label"]).select("user_id", F.col("source_label").alias("preferred"))
-    h = J.history(opens(spark, sf)).join(files, ["user_id", "source_label"])
-    newest = h.groupBy("user_id").agg(F.min_by("source_label", "rank").alias("newest"))
+    h = J.history(opens(a)).join(files, ["user_id", "source_label"])
+    newest = h.groupBy("user_id").agg(F.max_by("source_label", F.struct("opened_at", "event_id")).alias("newest"))
     return last.select("user_id").join(preferred, "user_id", "left").join(newest, "user_id", "left").select(
         "user_id", F.coalesce("preferred", "newest").alias("document")
     )
@@ -289,7 +320,8 @@ def window_union(spark, sf):
 
 
 def document_kinds(spark, sf):
-    rows = acts(spark, sf).select("source_label").distinct()
+    a = acts(spark, sf)
+    rows = a.select("source_label").distinct()
     return rows.select(
         "source_label", document_kind("source_label").alias("kind"), session_is_pdf("source_label").cast("int").alias("session_pdf")
     )

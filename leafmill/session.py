@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -46,12 +47,22 @@ _own_roots: dict[str, str] = {}
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and state, as the session names it in spark.checkpoint.dir.
 
-    Only where the session names none (tests, a single machine) a folder of our own is used.
+    Only a single machine without that setting (tests) gets a folder of its own; on a cluster a
+    local folder would be lost with its executor, so there the setting is required.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_roots:
         _own_roots[app] = tempfile.mkdtemp(prefix="leafmill-checkpoint-")
     return _own_roots[app]
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in the shared folder, for a result that a query uses many times."""
+    path = f"{checkpoint_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

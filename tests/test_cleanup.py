@@ -83,3 +83,27 @@ def test_response_split(spark):
 def test_ranked_counts(spark):
     rows = spark.createDataFrame([("b",)] * 3 + [("a",)] * 3 + [("c",)], "k string")
     assert [tuple(r) for r in C.ranked_counts(rows, "k").collect()] == [("a", 3), ("b", 3), ("c", 1)]
+
+
+def test_lists_agree_with_the_check():
+    from leafmill.checks import cleanup as checks
+
+    assert C.IGNORED_PROTECTED == checks.IGNORED_PROTECTED and len(C.IGNORED_PROTECTED) == 84
+    assert C.IGNORED_IMPORTANT == checks.IGNORED_IMPORTANT
+
+
+def test_interface_words_may_be_lost_and_names_may_not(spark):
+    body = "In May the mayor Jane Field met Sam Hill and Kim Lake of Harbour to plan the work on the old bridge. "
+
+    def reason(tail):
+        before, after = F.array(F.lit(body + tail)), F.array(F.lit(body.strip()))
+        return one(spark, C.rejection_reason(C.WEB, before, after))
+
+    for word in ("Share", "Photo", "Newsletter", "Credit", "Subscribe", "Read", "Latest"):
+        assert reason(word) is None
+    assert reason("Kowalski") == "paragraph_token_loss"
+
+
+def test_tokens_after_the_sixty_fourth_count(spark):
+    names = " ".join(f"Name{chr(65 + i // 26)}{chr(97 + i % 26)}" for i in range(100))
+    assert len(one(spark, C.protected_tokens(F.lit(names)))) == 100

@@ -65,10 +65,34 @@ def test_two_captures(spark):
     assert got == {1: "visible", 2: "session", 3: "visible"}
 
 
-def test_history_keeps_twenty_per_user(spark):
+def test_history_is_whole_unless_a_number_is_given(spark):
     rows = [(i, 1, f"Page {i}", "s", "WEB", f"https://example.org/{i % 30}", i) for i in range(90)]
     df = spark.createDataFrame(
         rows, "event_id long, user_id long, title string, summary string, kind string, source_label string, opened_at long"
     )
-    got = [r["opened_at"] for r in J.history(df).orderBy("rank").collect()]
+    assert {r["opened_at"] for r in J.history(df).collect()} == set(range(60, 90))
+    got = [r["opened_at"] for r in J.history(df, kept=20).orderBy("rank").collect()]
     assert got == list(range(89, 69, -1))
+
+
+def test_bookmarks_are_deleted_and_renamed_exactly(spark):
+    rows = [(1, "s", 0, 5, 10, "old"), (1, "s", 0, 5, 11, "old"), (2, "s", 0, 5, 10, None)]
+    marks = spark.createDataFrame(rows, "user_id long, source_label string, block int, offset int, created_at long, label string")
+    gone = spark.createDataFrame([(1, "s", 0, 5, 11)], "user_id long, source_label string, block int, offset int, created_at long")
+    assert {(r.user_id, r.created_at) for r in J.bookmark_delete(marks, gone).collect()} == {(1, 10), (2, 10)}
+    names = spark.createDataFrame(
+        [(1, "s", 0, 5, 10, " a  new\tlabel " + "x" * 100, 1), (2, "s", 0, 5, 10, "  ", 1)],
+        "user_id long, source_label string, block int, offset int, created_at long, new_label string, at long",
+    )
+    got = {(r.user_id, r.created_at): r.label for r in J.bookmark_rename(marks, names).collect()}
+    assert got == {(1, 10): "a new label " + "x" * 100, (1, 11): "old", (2, 10): None}
+
+
+def test_a_bookmark_alone_protects_a_document(spark):
+    source = "user_id long, source_label string"
+    nobody = spark.createDataFrame([], source)
+    marked = spark.createDataFrame([(1, "a")], source)
+    store = spark.createDataFrame([(1, "a", 1, 10), (1, "b", 2, 10)], source + ", modified_at long, bytes long")
+    known = J.known_sources(nobody, marked, nobody, nobody)
+    assert [tuple(r) for r in J.orphan_report(store, known).collect()] == [(1, 1, 10)]
+    assert [r.source_label for r in J.evictions(store, known, 0, 0).collect()] == ["b"]
