@@ -1,7 +1,10 @@
 """The registered queries.  Each maps (spark, sf_dir) to a DataFrame."""
 
+from functools import wraps
 from importlib import import_module
 
+from leafmill.session import configure
+
 FAMILIES = ["blocks", "web", "sentences", "paged", "cleanup", "library", "layout", "streams"]
 
 
@@ -12,8 +15,18 @@ def _merge(package: str, attribute: str) -> dict:
     return merged
 
 
+def _configured(query):
+    """The query on a session with the library's settings: the same before every query, so order never matters."""
+
+    @wraps(query)
+    def run(spark, sf_dir):
+        return query(configure(spark), sf_dir)
+
+    return run
+
+
 def all_queries() -> dict:
-    return _merge("plans", "QUERIES")
+    return {name: _configured(query) for name, query in _merge("plans", "QUERIES").items()}
 
 
 def all_checks() -> dict:

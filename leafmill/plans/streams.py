@@ -19,12 +19,7 @@ from leafmill.streaming import run as R
 SIX_HOURS = 6 * 3600 * 1000
 
 
-def _zone(spark):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-
-
 def sampled(spark, sf):
-    _zone(spark)
     target = R.run_once(T.samples(R.stream_events(spark, sf)), "samples", "update")
     rows = R.newest(R.read_back(spark, target), ["window_ms", "user_id"])
     return T.cpu_percent(rows).select(
@@ -33,16 +28,19 @@ def sampled(spark, sf):
 
 
 def deduped(spark, sf):
-    _zone(spark)
     target = R.run_once(T.session_dedupe(R.stream_events(spark, sf)), "dedupe")
     return R.read_back(spark, target).select("user_id", "key")
 
 
+def _events(spark, sf):
+    """The closed event table as a stream would bring it, in one piece."""
+    events = read_table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+
+
 def sessions(spark, sf):
-    _zone(spark)
-    R.use_keyed_state(spark)
-    target = R.run_once(T.capture_sessions(R.stream_events(spark, sf)), "sessions")
-    return R.read_back(spark, target).drop("batch")
+    """Sessions of at least the reference's length, in the order of events."""
+    return T.capture_sessions(_events(spark, sf), T.MIN_CHARS)
 
 
 def _asks(events):
@@ -64,7 +62,6 @@ def recent_lookup(spark, sf):
 
 
 def recent_lookup_stream(spark, sf):
-    _zone(spark)
     lookups, tracked = _asks(R.stream_events(spark, sf))
     pairs = T.recent_pairs(
         lookups.select("user_id", "lookup_id", "ts", "package", "sig"),
@@ -74,21 +71,17 @@ def recent_lookup_stream(spark, sf):
 
 
 def throttle(spark, sf):
-    _zone(spark)
-    R.use_keyed_state(spark)
-    target = R.run_once(T.throttled(R.stream_events(spark, sf), SIX_HOURS), "throttle")
-    return R.read_back(spark, target).select("user_id", "event_id")
+    return T.throttled(_events(spark, sf), SIX_HOURS).select("user_id", "event_id")
 
 
 def latest_positions(spark, sf):
-    _zone(spark)
     moves = R.stream_events(spark, sf).select(
         "user_id", (F.col("k") % 7).alias("item"), F.unix_millis("ts").alias("at"), "event_id",
         (F.col("k") % 10).alias("block"), (F.floor("value") % 200).cast("int").alias("offset"),
     )
-    sink = T.position_sink(["user_id", "item"], ["at", "event_id"])
-    target = R.run_once(moves, "positions", "append", sink)
-    return T.last_version(spark, target).select("user_id", "item", "block", "offset", "event_id")
+    keys, order = ["user_id", "item"], ["at", "event_id"]
+    target = R.run_once(moves, "positions", "append", T.position_sink(keys, order))
+    return T.merged(spark, target, keys, order).select("user_id", "item", "block", "offset", "event_id")
 
 
 def _fragments(spark, sf):
@@ -116,7 +109,6 @@ def fragment_assembly(spark, sf):
 
 
 def fragment_stream(spark, sf):
-    R.use_keyed_state(spark)
     folder = R.new_folder(spark, "fragments")
     rows = _fragments(spark, sf).select("response_id", F.posexplode("pieces").alias("seq", "piece"))
     rows.write.parquet(folder)
@@ -133,13 +125,11 @@ def incremental_cleanup(spark, sf):
         rows = chunks.withColumn("cleaned", model_paragraphs(F.col("doc_id"), F.col("chunk"), F.col("paras")))
         return C.run_diagnostics(C.validated(rows.withColumn("failure", F.lit(None).cast("string")), C.WEB), "doc_id")
 
-    done = R.new_folder(spark, "done")
-    target = R.run_once(R.stream_documents(spark, sf), "cleanup", "append", T.cleanup_sink(clean, done))
+    target = R.run_once(T.new_documents(R.stream_documents(spark, sf)), "cleanup", "append", T.cleanup_sink(clean))
     return R.read_back(spark, target).select("doc_id", "chunks", "eligible", "chars_before")
 
 
 def activity_status(spark, sf):
-    _zone(spark)
     target = R.run_once(T.status(R.stream_events(spark, sf)), "status", "update")
     rows = R.newest(R.read_back(spark, target), ["window_ms", "user_id"])
     return rows.groupBy("window_ms", "status").agg(F.count(F.lit(1)).alias("users"))

@@ -16,17 +16,29 @@ from leafmill.operators.library import latest
 
 # --- fixed values: stream limits ---
 SAMPLE_SECONDS = 5
-SAMPLE_DELAY = "1 minute"
-DEDUPE_HORIZON = "40 days"
 MAX_STEPS, MAX_STALLED, MIN_CHARS = 10, 2, 120
 
 
+def watermarked(events: DataFrame, delay: str | None) -> DataFrame:
+    """The stream with a watermark, if a delay is given.
+
+    Without one every row counts, however late, and the state keeps all keys: right for a closed corpus.  A
+    live job gives a delay, which bounds its state; rows later than that are then dropped by the operator, so
+    ``late_rows`` should be written beside it.
+    """
+    return events.withWatermark("ts", delay) if events.isStreaming and delay else events
+
+
+def late_rows(batch: DataFrame, newest_ms: int, delay_ms: int) -> DataFrame:
+    """Rows of a micro-batch that are more than the delay older than the newest event time before it."""
+    return batch.filter(F.unix_millis("ts") < newest_ms - delay_ms)
+
+
 # ----- samples and status -----------------------------------------------------------------
-def samples(events: DataFrame, seconds: int = SAMPLE_SECONDS) -> DataFrame:
-    """Last value, count and power per user and tumbling window; late rows beyond the watermark are dropped."""
+def samples(events: DataFrame, seconds: int = SAMPLE_SECONDS, delay: str | None = None) -> DataFrame:
+    """Last value, count and power per user and tumbling window."""
     cell = F.window("ts", f"{seconds} seconds")
-    if events.isStreaming:
-        events = events.withWatermark("ts", SAMPLE_DELAY)
+    events = watermarked(events, delay)
     order = F.struct("ts", "event_id")
     return events.groupBy(cell, "user_id").agg(
         F.max_by("value", order).alias("level"),
@@ -49,10 +61,9 @@ def cpu_percent(rows: DataFrame) -> DataFrame:
     return rows.withColumn("cpu", 100.0 * used / F.col("_wall")).drop("_total", "_wall")
 
 
-def status(events: DataFrame) -> DataFrame:
+def status(events: DataFrame, delay: str | None = None) -> DataFrame:
     """speaking, paused or idle per user and hour, from the last state in the hour."""
-    if events.isStreaming:
-        events = events.withWatermark("ts", SAMPLE_DELAY)
+    events = watermarked(events, delay)
     order = F.struct("ts", "event_id")
     rows = events.groupBy(F.window("ts", "1 hour"), "user_id").agg(
         F.max_by("event_type", order).alias("last"), F.max((F.col("k") % 4 != 0).cast("int")).alias("has_segments")
@@ -61,19 +72,38 @@ def status(events: DataFrame) -> DataFrame:
     return rows.select(F.unix_millis("window.start").alias("window_ms"), "user_id", state.alias("status"))
 
 
-def session_dedupe(events: DataFrame) -> DataFrame:
-    """Block keys not yet seen in the user's session, across windows."""
+def session_dedupe(events: DataFrame, horizon: str | None = None) -> DataFrame:
+    """Block keys not yet seen in the user's session, across windows; for ever, or within ``horizon`` if one is given."""
     keyed = events.withColumn("key", F.concat("event_type", F.lit(":"), F.col("k").cast("string")))
     if not keyed.isStreaming:
         return keyed.select("user_id", "key").distinct()
-    return keyed.withWatermark("ts", DEDUPE_HORIZON).dropDuplicatesWithinWatermark(["user_id", "key"]).select(
-        "user_id", "key"
-    )
+    if horizon is None:
+        return keyed.select("user_id", "key").dropDuplicates()
+    return keyed.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["user_id", "key"]).select("user_id", "key")
 
 
 # ----- keyed state --------------------------------------------------------------------------
+def in_order(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The rows of each user together and in order of time, for a fold that passes over them once."""
+    return rows.repartition("user_id").sortWithinPartitions("user_id", *order)
+
+
+def session_step(state: tuple, fresh: int, size: int, least: int | None) -> tuple[tuple, tuple | None]:
+    """State after one step, and the session that it closes, if it does: (session, steps, blocks, chars)."""
+    session, steps, stalled, blocks, chars = state
+    steps, blocks, chars = steps + 1, blocks + fresh, chars + size * (fresh > 0)
+    stalled = 0 if fresh else stalled + 1
+    if steps < MAX_STEPS and stalled < MAX_STALLED:
+        return (session, steps, stalled, blocks, chars), None
+    closed = (session, steps, blocks, chars) if least is None or chars >= least else None
+    return (session + 1, 0, 0, 0, 0), closed
+
+
 class SessionLimits(StatefulProcessor):
-    """Ends a session after ten steps or two steps in a row without new blocks."""
+    """Ends a session after ten steps or two steps in a row without new blocks, in order of arrival."""
+
+    def __init__(self, least: int | None):
+        self.least = least
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         fields = ["session", "steps", "stalled", "blocks", "chars"]
@@ -83,33 +113,50 @@ class SessionLimits(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values("event_id")
-        session, steps, stalled, blocks, chars = self.state.get() if self.state.exists() else (0, 0, 0, 0, 0)
+        state = self.state.get() if self.state.exists() else (0, 0, 0, 0, 0)
         out = []
         for fresh, size in zip(frame["fresh"].tolist(), frame["chars"].tolist()):
-            steps, blocks, chars = steps + 1, blocks + fresh, chars + size * (fresh > 0)
-            stalled = 0 if fresh else stalled + 1
-            if steps >= MAX_STEPS or stalled >= MAX_STALLED:
-                if chars >= MIN_CHARS:
-                    out.append((key[0], session, steps, blocks, chars))
-                session, steps, stalled, blocks, chars = session + 1, 0, 0, 0, 0
-        self.state.update((session, steps, stalled, blocks, chars))
+            state, closed = session_step(state, fresh, size, self.least)
+            if closed:
+                out.append((key[0], *closed))
+        self.state.update(state)
         yield pd.DataFrame(out, columns=["user_id", "session", "steps", "blocks", "chars"]).astype("int64")
 
     def close(self) -> None:
         pass
 
 
-def capture_sessions(events: DataFrame) -> DataFrame:
-    """Closed sessions per user; each event is one step with ``k % 3`` new blocks."""
+SESSION = "user_id long, session long, steps long, blocks long, chars long"
+
+
+def capture_sessions(events: DataFrame, least: int | None = None) -> DataFrame:
+    """Closed sessions per user; each event is one step with ``k % 3`` new blocks.
+
+    A stream takes steps as they arrive, which is the live case; a table takes them in the order of event_id,
+    whatever its files, in one sorted pass that holds one state.  Sessions under ``least`` characters are left out if a
+    number is given.
+    """
     steps = events.select(
         "user_id", "event_id", (F.col("k") % 3).cast("long").alias("fresh"), (F.col("k") * 2).cast("long").alias("chars")
     )
-    return steps.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=SessionLimits(),
-        outputStructType="user_id long, session long, steps long, blocks long, chars long",
-        outputMode="Append",
-        timeMode="None",
-    )
+    if steps.isStreaming:
+        return steps.groupBy("user_id").transformWithStateInPandas(
+            statefulProcessor=SessionLimits(least), outputStructType=SESSION, outputMode="Append", timeMode="None"
+        )
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, state = None, (0, 0, 0, 0, 0)
+        for frame in frames:
+            out = []
+            for who, fresh, size in zip(frame["user_id"].tolist(), frame["fresh"].tolist(), frame["chars"].tolist()):
+                if who != user:
+                    user, state = who, (0, 0, 0, 0, 0)
+                state, closed = session_step(state, fresh, size, least)
+                if closed:
+                    out.append((who, *closed))
+            yield pd.DataFrame(out, columns=["user_id", "session", "steps", "blocks", "chars"]).astype("int64")
+
+    return in_order(steps, ["event_id"]).mapInPandas(fold, SESSION)
 
 
 class Throttle(StatefulProcessor):
@@ -137,13 +184,27 @@ class Throttle(StatefulProcessor):
 
 
 def throttled(events: DataFrame, interval_ms: int = 1000) -> DataFrame:
+    """Accepted events: as they arrive from a stream, in order of time from a table."""
     rows = events.select("user_id", "event_id", F.unix_millis("ts").alias("ms"))
-    return rows.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=Throttle(interval_ms),
-        outputStructType="user_id long, event_id long, ms long",
-        outputMode="Append",
-        timeMode="None",
-    )
+    schema = "user_id long, event_id long, ms long"
+    if rows.isStreaming:
+        return rows.groupBy("user_id").transformWithStateInPandas(
+            statefulProcessor=Throttle(interval_ms), outputStructType=schema, outputMode="Append", timeMode="None"
+        )
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, last = None, None
+        for frame in frames:
+            out = []
+            for row in zip(frame["user_id"].tolist(), frame["event_id"].tolist(), frame["ms"].tolist()):
+                if row[0] != user:
+                    user, last = row[0], None
+                if last is None or row[2] - last >= interval_ms:
+                    out.append(row)
+                    last = row[2]
+            yield pd.DataFrame(out, columns=["user_id", "event_id", "ms"]).astype("int64")
+
+    return in_order(rows, ["ms", "event_id"]).mapInPandas(fold, schema)
 
 
 # ----- recent value -------------------------------------------------------------------------
@@ -179,10 +240,10 @@ def recent_value(lookups: DataFrame, tracked: DataFrame, ttl_ms: int) -> DataFra
     return seen.select("user_id", "ask.lookup_id", F.when(good, F.col("last.url")).alias("url"))
 
 
-def recent_pairs(lookups: DataFrame, tracked: DataFrame, minutes: int) -> DataFrame:
-    """Stream-stream interval join behind the lookup: values at most ``minutes`` old, watermarks on both sides."""
-    a = lookups.withWatermark("ts", "10 minutes").alias("a")
-    b = tracked.withWatermark("ts", "10 minutes").alias("b")
+def recent_pairs(lookups: DataFrame, tracked: DataFrame, minutes: int, delay: str | None = None) -> DataFrame:
+    """Stream-stream interval join behind the lookup: values at most ``minutes`` old; ``delay`` as in ``watermarked``."""
+    a = watermarked(lookups, delay).alias("a")
+    b = watermarked(tracked, delay).alias("b")
     fits = (
         (F.col("a.user_id") == F.col("b.user_id"))
         & (F.col("b.ts") <= F.col("a.ts"))
@@ -203,30 +264,23 @@ def latest_of_pairs(pairs: DataFrame) -> DataFrame:
 
 # ----- position upsert ----------------------------------------------------------------------
 def position_sink(keys: list[str], order: list[str]):
-    """foreachBatch sink: the batch's latest rows merged into the next version of the table.
+    """foreachBatch sink: the batch's own latest rows, written under its batch id.
 
-    The table of a batch is derived from the one before and written under its own batch id,
-    so replaying a batch gives the same version again.
+    A batch costs what it brings, and replaying it overwrites itself; ``merged`` makes the table of all batches.
     """
 
     def make(target: str):
         def write(batch: DataFrame, batch_id: int) -> None:
-            spark = batch.sparkSession
-            rows = latest(batch, keys, order)
-            if batch_id > 0:
-                before = spark.read.parquet(f"{target}/batch={batch_id - 1}")
-                rows = latest(before.unionByName(rows), keys, order)
-            rows.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+            latest(batch, keys, order).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
         return write
 
     return make
 
 
-def last_version(spark, target: str) -> DataFrame:
-    table = spark.read.parquet(target)
-    newest = table.select(F.max("batch")).scalar()
-    return table.filter(F.col("batch") == newest).drop("batch")
+def merged(spark, target: str, keys: list[str], order: list[str]) -> DataFrame:
+    """The latest row of each key over all batches; combined before the shuffle."""
+    return latest(spark.read.parquet(target).drop("batch"), keys, order)
 
 
 # ----- fragments ----------------------------------------------------------------------------
@@ -293,21 +347,18 @@ def fragment_texts(fragments: DataFrame) -> DataFrame:
 
 
 # ----- incremental clean-up -------------------------------------------------------------------
-def cleanup_sink(clean, done_path: str):
-    """foreachBatch sink: documents of the batch that are not done yet are cleaned; partial results are
-    appended per batch, and the batch's ids join the done table."""
+def new_documents(docs: DataFrame) -> DataFrame:
+    """Documents whose id has not come before; the ids are the state of the stream, in keyed stores."""
+    return docs.dropDuplicates(["doc_id"])
+
+
+def cleanup_sink(clean):
+    """foreachBatch sink: the new documents of the batch are cleaned, and written under its batch id."""
 
     def make(target: str):
         def write(batch: DataFrame, batch_id: int) -> None:
-            spark = batch.sparkSession
-            todo = batch
-            if batch_id > 0:
-                earlier = spark.read.parquet(done_path).filter(F.col("batch") < batch_id)
-                todo = batch.join(earlier.select("doc_id"), "doc_id", "left_anti")
-            clean(todo).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-            todo.select("doc_id").write.mode("overwrite").parquet(f"{done_path}/batch={batch_id}")
+            clean(batch).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
         return write
 
     return make
-

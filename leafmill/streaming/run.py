@@ -34,19 +34,17 @@ DOCUMENTS = T.StructType(
 FILES_PER_BATCH = 64
 
 
-def _source(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType) -> DataFrame:
-    # a bounded number of files per batch bounds what one key can bring into a task at once
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", FILES_PER_BATCH)
-        .parquet(sf_dir)
-    )
+def _source(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType, files: int = FILES_PER_BATCH) -> DataFrame:
+    """A table as a file stream: one file, or a folder of part files.
+
+    ``files`` bounds a batch; no result depends on it, nor on the order in which files arrive.
+    """
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/{name}.parquet*")
 
 
-def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_events(spark: SparkSession, sf_dir: str, files: int = FILES_PER_BATCH) -> DataFrame:
     """events as a file stream; ts becomes a zoned timestamp, because watermarks refuse TIMESTAMP_NTZ."""
-    raw = _source(spark, sf_dir, "events", EVENTS)
+    raw = _source(spark, sf_dir, "events", EVENTS, files)
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withColumn(
         "k", F.get_json_object("props", "$.k").cast("int")
     )
@@ -60,14 +58,6 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def use_keyed_state(spark: SparkSession) -> None:
-    """Arbitrary keyed state needs the RocksDB state store."""
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-
-
 def run_once(stream: DataFrame, name: str, mode: str = "append", sink=None) -> str:
     """Process everything available and stop.  Returns the folder of the written table.
 

@@ -101,3 +101,35 @@ def test_json_reading_is_tolerant(spark):
     line = '{"title":"T","sourceLabel":"https://e.org/a.pdf","presentation":{"modelId":"m","blocks":[]},"summary":{"modelId":" ","text":"x"}}'
     got = one(spark, store.from_json_line(F.lit(line)))
     assert (got["kind"], got["pageCount"], got["presentation"], got["summary"], got["blocks"]) == ("PDF", 0, None, None, [])
+
+
+def test_streams_do_not_depend_on_files(spark, sf_dir, tmp_path):
+    """events as a folder of many files in random order, one file a batch, against one file."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from leafmill.plans import all_queries
+    from leafmill.streaming import run as R
+
+    events = pd.read_parquet(f"{sf_dir}/events.parquet").sample(frac=1, random_state=5)
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    order = list(range(6))
+    random.Random(1).shuffle(order)
+    for i in order:
+        events.iloc[i::6].to_parquet(folder / f"part-{i}.parquet", coerce_timestamps="us")
+    queries = all_queries()
+    stream = R.stream_events
+    try:
+        R.stream_events = lambda s, d: stream(s, d, 1)
+        for name in (
+            "t01_samples", "t02_session_dedupe", "t03_capture_sessions", "t04_recent_lookup_stream", "t05_throttle",
+            "t06_latest_positions", "t09_activity_status",
+        ):
+            many = sorted(map(str, queries[name](spark, str(tmp_path)).collect()))
+            assert many == sorted(map(str, queries[name](spark, sf_dir).collect())), name
+    finally:
+        R.stream_events = stream
+    late = T.late_rows(spark.range(3).select((F.timestamp_seconds(F.col("id") * 100)).alias("ts")), 200_000, 150_000)
+    assert late.count() == 1
