@@ -325,15 +325,30 @@ class FragmentText(StatefulProcessor):
         pass
 
 
+def overlap(text: str, piece: str) -> int:
+    """Length of the longest end of ``text`` that begins ``piece``: one pass with the borders of the piece."""
+    most = min(len(text), len(piece))
+    borders = [0] * (most + 1)
+    size = 0
+    for i in range(1, most):
+        while size and piece[i] != piece[size]:
+            size = borders[size]
+        size += piece[i] == piece[size]
+        borders[i + 1] = size
+    met = 0
+    for c in text[len(text) - most :]:
+        while met and (met == most or c != piece[met]):
+            met = borders[met]
+        met += most > 0 and c == piece[met]
+    return met
+
+
 def joined_fragment(text: str, piece: str) -> str:
-    if not piece.strip():
-        return text
-    if not text.strip() or piece.startswith(text):
-        return piece
-    if text.endswith(piece):
+    """The rule of ``append_fragment`` for one pair of strings."""
+    if piece.isspace() or not piece:
         return text
-    size = next((n for n in range(min(len(text), len(piece)), 0, -1) if text.endswith(piece[:n])), 0)
-    return text + piece[size:]
+    whole = text.isspace() or not text or piece[: len(text)] == text
+    return piece if whole else text + piece[overlap(text, piece) :]
 
 
 def fragment_texts(fragments: DataFrame) -> DataFrame:
