@@ -7,7 +7,7 @@ HEAD = "(type = 'Heading')"
 
 
 def _short(x: str) -> str:
-    return D.dedupe_key(f"substr({x}, 1, 220)")
+    return D.dedupe_key(x)
 
 
 NL = "chr(10)"

@@ -161,7 +161,7 @@ SCORE = (
 )
 CONTAINERS = D.in_list("tag", W.CANDIDATE_TAGS)
 CHOICE = f"""{PRUNED_STAGE},
-cand0 AS (SELECT e.*, {SCORE} AS score, {n()} AS chars, tag || '|' || id || '|' || cls || '|' || {D.dedupe_key('substr(full_text, 1, 400)')} AS ckey FROM els2 e JOIN et USING (page_id, op) WHERE {CONTAINERS} AND {n()} >= 250),
+cand0 AS (SELECT e.*, {SCORE} AS score, {n()} AS chars, tag || '|' || id || '|' || cls || '|' || {D.dedupe_key('full_text')} AS ckey FROM els2 e JOIN et USING (page_id, op) WHERE {CONTAINERS} AND {n()} >= 250),
 cand1 AS (SELECT * FROM cand0 QUALIFY row_number() OVER (PARTITION BY page_id, ckey ORDER BY op) = 1),
 cand AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, op) AS rk FROM cand1),
 pick AS (SELECT page_id, rk, [{{'op': op, 'en': en, 'chars': chars, 'tag': tag, 'score': score}}] AS kept FROM cand WHERE rk = 1
@@ -175,7 +175,7 @@ chosen AS MATERIALIZED (SELECT page_id, choice::int AS choice, k.op AS op, k.en
 
 USABLE = (
     f"(text <> '' AND CASE WHEN starts_with(tag, 'h') THEN {D.words('text')} BETWEEN 1 AND 18 AND length(text) BETWEEN 4 AND 140 ELSE (length(text) >= 45 OR {D.words('text')} >= 8) "
-    f"AND length(text) <= CASE tag WHEN 'blockquote' THEN 2147483647 WHEN 'div' THEN 4000 ELSE 1200 END AND length({D.sub('text', r'[^\p{L}\p{Nd}]')}) >= length(text) * 0.55::double "
+    f"AND length({D.sub('text', r'[^\p{L}\p{Nd}]')}) >= length(text) * 0.55::double "
     f"AND NOT {D.starts('lower(text)', R.NOISY_BLOCK_STARTS)} AND NOT {D.action_utility('text', 'false')} END)"
 )
 BLOCK_ELS = f"""txt3 AS MATERIALIZED (SELECT * FROM txt2 t WHERE NOT EXISTS (SELECT 1 FROM ui r WHERE r.page_id = t.page_id AND t.pos > r.op AND t.pos < r.en)),
@@ -184,14 +184,14 @@ be0 AS (SELECT * FROM els3 e WHERE (tag IN ('h1', 'h2', 'h3', 'h4', 'p', 'pre')
   OR (tag = 'div' AND n_blk = 0 AND {n()} >= 45 AND NOT {marker_has('mark', R.UI_MARKER_PHRASES)} AND {density(1)} <= 0.72 AND NOT EXISTS (SELECT 1 FROM divs d WHERE d.page_id = e.page_id AND d.op > e.op AND d.op < e.en))),
 bet AS (SELECT b.page_id, b.op, b.en, b.tag, b.mark, trim(coalesce(string_agg(t.piece, '' ORDER BY t.pos), '')) AS text FROM be0 b LEFT JOIN txt3 t ON t.page_id = b.page_id AND t.pos > b.op AND t.pos < b.en GROUP BY ALL),
 bels AS MATERIALIZED (SELECT * FROM bet WHERE text <> '' AND (tag <> 'div' OR (length(text) >= 45 AND {D.words('text')} >= 8 AND regexp_matches(text, '\\p{{Ll}}') AND regexp_matches(text, '[.!?,]'))))"""
-KEY220 = D.token_key("substr(text, 1, 220)")
+WHOLE_KEY = D.token_key("text")
 SHAPED = "CASE WHEN starts_with(tag, 'h') THEN 'Heading' ELSE 'Paragraph' END AS type, CASE WHEN starts_with(tag, 'h') THEN regexp_replace(text, ':$', '') ELSE text END AS text"
 BEST_BLOCKS = f"""{CHOICE}, {BLOCK_ELS},
 cb0 AS (SELECT b.*, c.op AS cop, c.en AS cen FROM bels b JOIN chosen c ON c.page_id = b.page_id AND c.choice = 1 AND b.op > c.op AND b.op < c.en
   WHERE NOT EXISTS (SELECT 1 FROM pruned p WHERE p.page_id = b.page_id AND p.op > c.op AND p.op < c.en AND b.op >= p.op AND b.op < p.en)),
 cb1 AS (SELECT b.page_id, b.op, b.tag, b.mark, CASE WHEN EXISTS (SELECT 1 FROM pruned p WHERE p.page_id = b.page_id AND p.op > b.op AND p.op < b.en) THEN
    coalesce((SELECT trim(string_agg(t.piece, '' ORDER BY t.pos)) FROM txt3 t WHERE t.page_id = b.page_id AND t.pos > b.op AND t.pos < b.en AND NOT EXISTS (SELECT 1 FROM pruned p WHERE p.page_id = b.page_id AND p.op > b.op AND p.op < b.en AND t.pos >= p.op AND t.pos < p.en)), '') ELSE b.text END AS text FROM cb0 b),
-cb AS (SELECT *, {KEY220} AS k FROM cb1 WHERE NOT {marker_has('mark', R.UI_MARKER_PHRASES)} AND {USABLE})
+cb AS (SELECT *, {WHOLE_KEY} AS k FROM cb1 WHERE NOT {marker_has('mark', R.UI_MARKER_PHRASES)} AND {USABLE})
 SELECT page_id, op AS pos, {SHAPED} FROM cb WHERE k <> '' QUALIFY row_number() OVER (PARTITION BY page_id, k ORDER BY op) = 1"""
 
 
@@ -219,7 +219,7 @@ u AS (SELECT page_id, title, 0 AS o, 'By ' || author AS text FROM (SELECT *, aut
   UNION ALL SELECT page_id, title, 2, des FROM m WHERE length(des) BETWEEN 40 AND 220 AND lower(des) <> lower(title)
   UNION ALL SELECT page_id, title, 2 + o, x FROM (SELECT page_id, title, unnest(bys) AS x, generate_subscripts(bys, 1) AS o FROM m) WHERE {GOOD_META}),
 d AS (SELECT page_id, text, min(o) AS o FROM u GROUP BY page_id, text)
-SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY o) - 1 AS pos, text FROM d QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY o) <= 5"""
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY o) - 1 AS pos, text FROM d"""
 
 BASE = "regexp_extract(url, '^[^?#]*')"
 ROOT = "regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)', 1)"
@@ -243,7 +243,7 @@ TKEY = D.token_key("title")
 ANCHORED = f"""WITH {PRUNED_STAGE}, {BLOCK_ELS}, ti AS (SELECT page_id, {TITLE} AS title, {D.url_host('url')} AS host FROM rich),
 a0 AS (SELECT b.*, {D.token_key('text')} AS k, {TKEY} AS tk, host FROM bels b JOIN ti USING (page_id)),
 a1 AS (SELECT *, max((starts_with(tag, 'h') AND (contains(k, tk) OR contains(tk, k)))::int) OVER (PARTITION BY page_id ORDER BY op) AS started FROM a0 WHERE tk <> ''),
-a2 AS (SELECT *, {KEY220} AS k2 FROM a1 WHERE started = 1 AND NOT ({D.starts('lower(text)', R.ANCHOR_STOPS)} OR (starts_with(tag, 'h') AND length(text) < 80 AND {D.has('lower(text)', R.ANCHOR_STOPS)})
+a2 AS (SELECT *, {WHOLE_KEY} AS k2 FROM a1 WHERE started = 1 AND NOT ({D.starts('lower(text)', R.ANCHOR_STOPS)} OR (starts_with(tag, 'h') AND length(text) < 80 AND {D.has('lower(text)', R.ANCHOR_STOPS)})
    OR (contains(host, 'siam.org') AND {D.starts('lower(text)', R.ANCHOR_STOPS_BY_HOST['siam.org'])})) AND (starts_with(tag, 'h') OR {USABLE}))
 SELECT page_id, op AS pos, {SHAPED} FROM a2 WHERE k2 <> '' QUALIFY row_number() OVER (PARTITION BY page_id, k2 ORDER BY op) = 1"""
 

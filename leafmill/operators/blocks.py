@@ -19,7 +19,6 @@ BLOCKS = "array<struct<pos:int,type:string,text:string>>"
 # --- fixed values: merge and duplicate limits ---
 MERGE_MAX_CHARS = 420
 CONTAINMENT_MIN_CHARS = 40
-KEY_CHARS = 220
 
 
 def line_blocks(docs: DataFrame, text="text") -> DataFrame:
@@ -85,7 +84,7 @@ def drop_leading(blocks, title, metadata: Column | None = None) -> Column:
         ignored = F.concat(ignored, F.transform(metadata, dedupe_key))
     ignored = F.filter(ignored, lambda k: k != "")
     flags = F.transform(
-        col(blocks), lambda b: F.array_contains(ignored, dedupe_key(F.substring(b.text, 1, KEY_CHARS)))
+        col(blocks), lambda b: F.array_contains(ignored, dedupe_key(b.text))
     )
     first_kept = F.array_position(flags, F.lit(False))
     return F.when(first_kept == 0, F.slice(col(blocks), 1, 0)).otherwise(
@@ -141,7 +140,7 @@ def keyed(blocks) -> Column:
         F.transform(
             col(blocks),
             lambda b: F.struct(
-                dedupe_key(F.substring(b.text, 1, KEY_CHARS)).alias("key"),
+                dedupe_key(b.text).alias("key"),
                 b.pos.alias("pos"),
                 b.type.alias("type"),
                 b.text.alias("text"),
@@ -189,11 +188,10 @@ def fold_duplicates(blocks, ignored: Column | None = None, merge: bool = True) -
             b.pos.alias("pos"),
             b.type.alias("type"),
             b.text.alias("text"),
-            dedupe_key(F.substring(b.text, 1, KEY_CHARS)).alias("short_key"),
             dedupe_key(b.text).alias("key"),
         ),
     )
-    items = F.filter(items, lambda b: b.short_key != "")
+    items = F.filter(items, lambda b: b.key != "")
 
     def entry(pos, type_, text, key):
         return F.struct(pos.alias("pos"), type_.alias("type"), text.alias("text"), key.alias("key"))
@@ -205,7 +203,7 @@ def fold_duplicates(blocks, ignored: Column | None = None, merge: bool = True) -
         last = F.try_element_at(acc.kept, F.lit(-1))
         has_last = F.size(acc.kept) > 0
         leading = (
-            ~acc.started & F.array_contains(ignored, b.short_key)
+            ~acc.started & F.array_contains(ignored, b.key)
             if ignored is not None
             else F.lit(False)
         )
@@ -242,11 +240,11 @@ def fold_duplicates(blocks, ignored: Column | None = None, merge: bool = True) -
                 replaces,
                 state(F.lit(True), acc.seen, _set_last(acc.kept, entry(last.pos, last.type, b.text, b.key))),
             )
-            .when(duplicate | F.array_contains(acc.seen, b.short_key), acc)
+            .when(duplicate | F.array_contains(acc.seen, b.key), acc)
             .otherwise(
                 state(
                     F.lit(True),
-                    F.concat(acc.seen, F.array(b.short_key)),
+                    F.concat(acc.seen, F.array(b.key)),
                     F.concat(acc.kept, F.array(entry(b.pos, b.type, final, b.key))),
                 )
             )

@@ -272,7 +272,7 @@ def run_cleaner(chunks: DataFrame, cleaner: Callable, pandas: bool = False) -> D
 
 
 def failure_digest(error: BaseException) -> str:
-    """'Type: message | caused by Root: message', 280 characters at most."""
+    """'Type: message | caused by Root: message', whole."""
 
     def line(e):
         message = " ".join(str(e).split())
@@ -284,7 +284,7 @@ def failure_digest(error: BaseException) -> str:
     parts = [line(error)]
     if root is not error and line(root) != parts[0]:
         parts.append(line(root))
-    return " | caused by ".join(parts)[:280].rstrip()
+    return " | caused by ".join(parts).rstrip()
 
 
 def digest_column(kind, message, root_kind, root_message) -> Column:
@@ -295,9 +295,7 @@ def digest_column(kind, message, root_kind, root_message) -> Column:
         return F.when(F.coalesce(text, F.lit("")) != "", F.concat(col(k), F.lit(": "), text)).otherwise(col(k))
 
     outer, root = line(kind, message), line(root_kind, root_message)
-    return F.rtrim(
-        F.substring(F.concat_ws(" | caused by ", outer, F.when(root != outer, root)), 1, 280)
-    )
+    return F.rtrim(F.concat_ws(" | caused by ", outer, F.when(root != outer, root)))
 
 
 # ----- tokens and similarity ---------------------------------------------------------------

@@ -365,19 +365,18 @@ def read_progress(requests: DataFrame, table: DataFrame) -> DataFrame:
 
 
 # ----- two captures ------------------------------------------------------------------------------
-def capture_quality(captures: DataFrame) -> DataFrame:
-    """Captures (doc_id, text, title) with quality columns; texts under 80 characters are no capture."""
+def capture_quality(captures: DataFrame, least: int = 80) -> DataFrame:
+    """Captures (doc_id, text, title) with quality columns; texts under ``least`` characters keep their row with a null."""
     text = F.regexp_replace(F.regexp_replace("text", "\r\n?", "\n"), r"^\s+|\s+$", "")
-    df = captures.withColumn("text", text).filter(F.length("text") >= 80)
+    df = captures.withColumn("text", text)
     df = peel_plain_text(df, given_title="given_title")
     paras = F.filter("blocks", lambda b: b.type == "Paragraph")
     chars = F.aggregate(paras, F.lit(0), lambda a, b: a + F.length(b.text))
     df = df.withColumn("p", F.size(paras)).withColumn("h", F.size("blocks") - F.size(paras)).withColumn("pc", chars)
     score = F.col("pc") + F.col("p") * 140 + F.col("h") * 30 - F.size("metadata") * 20 + F.least(F.length("text"), F.lit(220))
     solid = (F.col("pc") >= 180) | (F.col("p") >= 2) | ((F.col("p") >= 1) & (F.col("h") >= 1) & (F.col("pc") >= 120))
-    return df.select(
-        "doc_id", F.struct("p", "h", "pc", score.alias("score"), solid.alias("solid"), F.length("text").alias("n")).alias("q")
-    )
+    quality = F.struct("p", "h", "pc", score.alias("score"), solid.alias("solid"), F.length("text").alias("n"))
+    return df.select("doc_id", F.when(F.length("text") >= least, quality).alias("q"))
 
 
 def choose_capture(visible: DataFrame, session: DataFrame) -> DataFrame:

@@ -29,8 +29,6 @@ STRONG_CHARS = 500
 JSON_LD_MIN_CHARS = 500
 FALLBACK_MIN_SOURCE = 700
 FALLBACK_RATIO = 0.45
-FALLBACK_SENTENCES = 200
-METADATA_KEPT = 5
 CANDIDATE_TAGS = ["body", "article", "main", "section", "div"]
 HEADING_TAGS = ["h1", "h2", "h3", "h4"]
 # class, ancestor test, in order; a container of any of them is a site-rule container
@@ -205,10 +203,8 @@ def alnum_len(c) -> Column:
 def usable_text(text, tag) -> Column:
     n = F.length(text)
     heading = tag.startswith("h")
-    limit = F.when(tag == "blockquote", 2147483647).when(tag == "div", 4000).otherwise(1200)
     body = (
         ((n >= 45) | (words(text) >= 8))
-        & (n <= limit)
         & (alnum_len(text) >= n * 0.55)
         & ~starts_any(F.lower(text), R.NOISY_BLOCK_STARTS)
         & ~B.action_utility(text, F.lit(False))
@@ -219,9 +215,9 @@ def usable_text(text, tag) -> Column:
 
 
 def distinct_blocks(items) -> Column:
-    """First block per key of the first 220 characters; headings lose a trailing colon."""
+    """First block per key of its whole text; headings lose a trailing colon."""
     keyed = F.filter(
-        F.transform(items, lambda b: b.withField("key", token_key(F.substring(b.text, 1, 220)))),
+        F.transform(items, lambda b: b.withField("key", token_key(b.text))),
         lambda b: b.key != "",
     )
     return let(
@@ -343,7 +339,7 @@ def candidates(df: DataFrame) -> DataFrame:
             link_density(e, 0.0).alias("density"),
             F.concat_ws(
                 "|", e.tag, e.id, e.cls,
-                dedupe_key(F.substring(join_pieces(pieces(e, "txt2")), 1, 400)),
+                dedupe_key(join_pieces(pieces(e, "txt2"))),
             ).alias("key"),
         ),
     )
@@ -450,7 +446,7 @@ def page_metadata(html, title) -> Column:
             lambda d: F.when(F.length(d).between(40, 220) & (F.lower(d) != F.lower(col(title))), d),
         ),
     )
-    return F.slice(F.array_distinct(F.concat(F.array_compact(fixed), bylines)), 1, METADATA_KEPT)
+    return F.array_distinct(F.concat(F.array_compact(fixed), bylines))
 
 
 def json_strings(text, pattern: str) -> Column:
@@ -647,7 +643,7 @@ def sentence_blocks(source) -> Column:
     parts = F.transform(F.split(source, r"(?<=[.!?])\s+"), lambda s, i: F.struct(i.alias("pos"), norm(s).alias("text")))
     usable = F.filter(parts, lambda p: usable_text(p.text, F.lit("p")))
     return F.transform(
-        F.slice(usable, 1, FALLBACK_SENTENCES),
+        usable,
         lambda p: F.struct(
             p.pos.cast("int").alias("pos"), F.lit("Paragraph").alias("type"), p.text.alias("text")
         ),

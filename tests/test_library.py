@@ -62,7 +62,7 @@ def test_two_captures(spark):
     v = J.capture_quality(frame([(1, rich, None), (2, poor, None), (3, rich, None), (4, "short", None)]))
     s = J.capture_quality(frame([(1, poor, None), (2, rich, None), (3, rich, None)]))
     got = {r["doc_id"]: r["choice"] for r in J.choose_capture(v, s).collect()}
-    assert got == {1: "visible", 2: "session", 3: "visible"}
+    assert got == {1: "visible", 2: "session", 3: "visible", 4: None}
 
 
 def test_history_is_whole_unless_a_number_is_given(spark):
