@@ -1,16 +1,16 @@
 """Reading progress over segments: cumulative units, fractions, seeks, remaining time.
 
-A document row carries ``segs``; positions are joined to it by document, so a hot
-document is one small row next to many positions and adaptive skew splitting can spread
-the positions.
+Segments are a table of their own.  A position asks for the segment before and after it, which is one ordered
+pass over segments and places of a document.  Only different places take part, and a document has no more of those
+than characters, however many readers it has; readers join the answers back by place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import col, count_of, let
+from leafmill.functions.text import col, count_of
 from leafmill.operators.sentences import segments
 
 # --- fixed values: reading speed and labels ---
@@ -47,49 +47,67 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
-def first_where(segs, test) -> Column:
-    return F.try_element_at(F.filter(col(segs), test), F.lit(1))
+SEG = ["seg", "block", "s", "e", "n", "u0", "u1", "w0", "w1"]
 
 
-def segment_at(segs, block, offset) -> Column:
-    """Segment of a position: exact hit, else the last in the block that starts at or before it, else the
-    first of the block, else the first of a later block, else the last."""
-    block, offset = col(block), F.greatest(col(offset), F.lit(0))
-    same = lambda g: g.block == block
-    exact = first_where(segs, lambda g: same(g) & (offset >= g.s) & (offset < g.e))
-    before = F.try_element_at(F.filter(col(segs), lambda g: same(g) & (offset >= g.s)), F.lit(-1))
-    return F.coalesce(
-        exact, before, first_where(segs, same), first_where(segs, lambda g: g.block > block),
-        F.try_element_at(col(segs), F.lit(-1)),
-    )
+def segment_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, g): one row per segment, without its text (``n`` is its length); a document without any has a null."""
+    rows = measured(docs).select("doc_id", F.explode_outer("segs").alias("x"))
+    fields = [F.length("x.text").alias("n") if f == "n" else F.col(f"x.{f}") for f in SEG]
+    return rows.select("doc_id", F.when(F.col("x").isNotNull(), F.struct(*fields)).alias("g"))
 
 
-def segment_or_first(segs, block, offset) -> Column:
-    """The variant without the 'starts before' step."""
-    block, offset = col(block), F.greatest(col(offset), F.lit(0))
-    exact = first_where(segs, lambda g: (g.block == block) & (offset >= g.s) & (offset < g.e))
-    return F.coalesce(
-        exact, first_where(segs, lambda g: g.block >= block), F.try_element_at(col(segs), F.lit(-1))
+def _timeline(table: DataFrame, places: DataFrame, block: Column, at: Column) -> DataFrame:
+    """Segments and places of a document side by side; ``known`` marks the document's own rows."""
+    g = table.schema["g"].dataType
+    rows = table.select("doc_id", block.alias("block"), at.alias("at"), "g", F.lit(True).alias("known"))
+    asks = places.select("doc_id", "block", "at", F.lit(None).cast(g).alias("g"), F.lit(None).cast("boolean").alias("known"))
+    return rows.unionByName(asks)
+
+
+def located(docs: DataFrame, positions: DataFrame) -> DataFrame:
+    """Positions (doc_id, block, offset, ...) of known documents with their segment and the offset inside it.
+
+    ``seg``: the segment that holds the offset, else the last one of the block before it, else the first of the block,
+    else the first of a later block, else the last.  Beside it the parts: ``exact``, ``first_in``, ``later``, ``final``.
+    """
+    at = F.greatest(F.col("offset"), F.lit(0))
+    places = positions.select("doc_id", "block", at.alias("at")).distinct()
+    rows = _timeline(segment_table(docs), places, F.col("g.block"), F.col("g.s"))
+    doc = Window.partitionBy("doc_id")
+    before = doc.orderBy("block", "at", F.col("g").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    after = doc.orderBy(F.desc("block")).rangeBetween(Window.unboundedPreceding, -1)
+    rows = (
+        rows.withColumn("prior", F.last("g", True).over(before))
+        .withColumn("later", F.min("g").over(after))
+        .withColumn("final", F.max("g").over(doc))
+        .withColumn("is_known", F.max("known").over(doc))
+        .withColumn("first_in", F.min("g").over(Window.partitionBy("doc_id", "block")))
+        .filter("known IS NULL AND is_known")
+    )
+    inside = F.col("prior.block") == F.col("block")
+    answers = rows.select(
+        "doc_id", "block", "at", "first_in", "later", "final",
+        F.when(inside, F.col("prior")).alias("prior"),
+        F.when(inside & (F.col("at") < F.col("prior.e")), F.col("prior")).alias("exact"),
+    )
+    df = positions.withColumn("at", at).join(answers, ["doc_id", "block", "at"])
+    df = df.withColumn("seg", F.coalesce("exact", "prior", "first_in", "later", "final"))
+    inner = F.least(F.greatest(F.col("at") - F.col("seg.s"), F.lit(0)), F.greatest(F.col("seg.n") - 1, F.lit(0)))
+    return df.select(
+        "*", F.coalesce(inner, F.lit(0)).alias("inner"), F.coalesce("final.u1", F.lit(0)).alias("total_units"),
+        F.coalesce("final.w1", F.lit(0)).alias("total_words"),
     )
 
 
-def segment_in_block(segs, block, offset) -> Column:
-    """The variant that stays inside the block; null when the block has no segment."""
-    block, offset = col(block), F.greatest(col(offset), F.lit(0))
-    exact = first_where(segs, lambda g: (g.block == block) & (offset >= g.s) & (offset < g.e))
-    return F.coalesce(exact, first_where(segs, lambda g: g.block == block))
+def segment_or_first() -> Column:
+    """The variant without the 'starts before' step, of a located row."""
+    return F.coalesce("exact", "first_in", "later", "final")
 
 
-def located(docs: DataFrame, positions: DataFrame) -> DataFrame:
-    """Positions (doc_id, block, offset, ...) with their segment and the offset inside it."""
-    df = positions.join(
-        measured(docs).select("doc_id", "segs", "total_units", "total_words"), "doc_id"
-    ).withColumn("seg", segment_at("segs", "block", "offset"))
-    inner = F.least(
-        F.greatest(F.greatest(F.col("offset"), F.lit(0)) - F.col("seg.s"), F.lit(0)),
-        F.greatest(F.length("seg.text") - 1, F.lit(0)),
-    )
-    return df.withColumn("inner", F.coalesce(inner, F.lit(0)))
+def segment_in_block() -> Column:
+    """The variant that stays inside the block; null when the block has no segment."""
+    return F.coalesce("exact", "first_in")
 
 
 def progress_fraction(df: DataFrame) -> Column:
@@ -100,24 +118,23 @@ def progress_fraction(df: DataFrame) -> Column:
     )
 
 
-def seek(segs, total_units, fraction) -> Column:
-    """(target units, segment) at a fraction of the document."""
-    total = col(total_units)
-    target = F.floor(F.least(F.greatest(col(fraction), F.lit(0.0)), F.lit(1.0)) * total)
-    target = F.least(F.greatest(target, F.lit(0)), F.greatest(total - 1, F.lit(0))).cast("int")
-    return let(
-        target,
-        lambda t: F.struct(
-            t.alias("target"),
-            F.coalesce(
-                first_where(segs, lambda g: (t >= g.u0) & (t < g.u1)), F.try_element_at(col(segs), F.lit(-1))
-            ).alias("seg"),
-        ),
-    )
+def seek(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (doc_id, fraction, ...) of known documents with ``target`` units and the segment ``seg`` that holds them."""
+    table = segment_table(docs)
+    totals = table.groupBy("doc_id").agg(F.coalesce(F.max("g.u1"), F.lit(0)).alias("total"))
+    share = F.least(F.greatest(F.col("fraction"), F.lit(0.0)), F.lit(1.0))
+    target = F.least(F.greatest(F.floor(share * F.col("total")), F.lit(0)), F.greatest(F.col("total") - 1, F.lit(0)))
+    asked = wanted.join(totals, "doc_id").withColumn("target", target.cast("int")).drop("total")
+    places = asked.select("doc_id", F.lit(0).alias("block"), F.col("target").alias("at")).distinct()
+    rows = _timeline(table, places, F.lit(0), F.col("g.u0"))
+    before = Window.partitionBy("doc_id").orderBy("at", F.col("g").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    # segments follow each other without gaps, so the last one that begins at the target or before holds it
+    answers = rows.withColumn("seg", F.last("g", True).over(before)).filter("known IS NULL")
+    return asked.join(answers.select("doc_id", F.col("at").alias("target"), "seg"), ["doc_id", "target"])
 
 
 def remaining_seconds(speed) -> Column:
-    share = F.col("inner") / F.greatest(F.length("seg.text"), F.lit(1))
+    share = F.col("inner") / F.greatest(F.col("seg.n"), F.lit(1))
     done = F.col("seg.w0") + (F.col("seg.w1") - F.col("seg.w0")) * share
     minutes = F.greatest(F.col("total_words") - done, F.lit(0.0)) / (
         F.greatest(col(speed), F.lit(MIN_SPEED)) * WORDS_PER_MINUTE

@@ -109,11 +109,10 @@ def progress(spark, sf):
 
 
 def seeks(spark, sf):
-    docs = P.measured(cited_blocks(spark, sf)).select("doc_id", "segs", "total_units")
-    df = positions(spark, sf).join(docs, "doc_id")
-    df = df.withColumn("hit", P.seek("segs", "total_units", F.col("k") / 100.0))
-    inner = F.least(F.greatest(F.col("hit.target") - F.col("hit.seg.u0"), F.lit(0)), F.length("hit.seg.text"))
-    return df.select("event_id", F.col("hit.target").alias("target"), F.col("hit.seg.seg").alias("seg"), inner.alias("inner"))
+    wanted = positions(spark, sf).withColumn("fraction", F.col("k") / 100.0)
+    df = P.seek(cited_blocks(spark, sf), wanted)
+    inner = F.least(F.greatest(F.col("target") - F.col("seg.u0"), F.lit(0)), F.col("seg.n"))
+    return df.select("event_id", "target", F.col("seg.seg").alias("seg"), inner.alias("inner"))
 
 
 def remaining_time(spark, sf):
@@ -131,8 +130,8 @@ def position_segments(spark, sf):
         "event_id",
         F.col("seg.seg").alias("seg"),
         "inner",
-        P.segment_or_first("segs", "block", "offset").seg.alias("seg_or_first"),
-        P.segment_in_block("segs", "block", "offset").seg.alias("seg_in_block"),
+        P.segment_or_first().seg.alias("seg_or_first"),
+        P.segment_in_block().seg.alias("seg_in_block"),
     )
 
 

@@ -61,9 +61,22 @@ def test_citation_spans_match_the_text(spark):
 
 
 def test_positions_fall_back(spark):
-    df = A.measured(blocks_frame(spark, [("Paragraph", "One two. Three four."), ("Metadata", "m"), ("Paragraph", "Five.")]))
-    at = lambda b, o: df.select(A.segment_at("segs", F.lit(b), F.lit(o)).seg.alias("x")).first()["x"]
-    assert [at(0, 0), at(0, 10), at(0, 500), at(1, 0), at(9, 0)] == [0, 1, 1, 2, 2]
+    docs = blocks_frame(spark, [("Paragraph", "One two. Three four."), ("Metadata", "m"), ("Paragraph", "Five.")])
+    asked = [(0, 0), (0, 10), (0, 500), (1, 0), (9, 0), (0, -3), (0, 10)]
+    places = spark.createDataFrame([(i, 1, b, o) for i, (b, o) in enumerate(asked)] + [(99, 7, 0, 0)], "n int, doc_id long, block int, offset int")
+    got = {r.n: r.seg.seg for r in A.located(docs, places).collect()}
+    assert got == dict(enumerate([0, 1, 1, 2, 2, 0, 1]))
+    ends = spark.createDataFrame([(0, 1, 0.0), (1, 1, 1.0), (2, 1, 5.0), (3, 1, 0.5)], "n int, doc_id long, fraction double")
+    got = {r.n: r.seg.seg for r in A.seek(docs, ends).collect()}
+    assert got == {0: 0, 1: 2, 2: 2, 3: 1}
+
+
+def test_a_position_never_carries_the_segments_of_its_document(spark):
+    docs = blocks_frame(spark, [("Paragraph", "One two. Three four.")])
+    places = spark.createDataFrame([(1, 0, 0)] * 50, "doc_id long, block int, offset int")
+    located = A.located(docs, places)
+    assert located.count() == 50
+    assert not [f.name for f in located.schema.fields if f.dataType.typeName() == "array"]
 
 
 def test_time_labels(spark):
