@@ -143,7 +143,8 @@ BLOB = (
 )
 STARTS = f"({D.rx(LOW, r'^\([a-z]\)\s+|^(?:figure|fig\.|table)\s+\d+[:.]')} OR {D.starts(LOW, L.SPEAKERS)} OR contains({LOW}, 'figure 1:') OR {BLOB})"
 GOES_ON = f"({STARTS} OR {D.rx(LOW, r'^\([ab]\)|follow-up q&a|model exfiltration')})"
-FIGURES = f"""WITH talk AS (SELECT conv_id, turn, (CASE WHEN turn % 3 = 1 THEN role || ': ' WHEN turn % 3 = 2 THEN '(a) ' ELSE '' END) || string_split(text, chr(10))[1] AS text FROM conversations),
+FIGURES = f"""WITH cut AS (SELECT conv_id, turn AS t, role, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM conversations),
+talk AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY t, n) AS turn, CASE WHEN n > 1 THEN '' WHEN t % 3 = 1 THEN role || ': ' WHEN t % 3 = 2 THEN '(a) ' ELSE '' END || x AS text FROM cut),
 m AS (SELECT *, {STARTS} AS st, {GOES_ON} AS go FROM talk WHERE trim(text) <> ''),
 -- a run opens at a start and stays open while rows continue it; every start continues, so rows without 'go' close it
 g AS (SELECT *, count(*) FILTER (NOT go) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM m),

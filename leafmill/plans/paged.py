@@ -137,19 +137,13 @@ def abstracts(spark, sf):
 
 
 def _talk(spark, sf):
-    """Conversation turns as blocks of one document per conversation."""
-    rows = read_table(spark, sf, "conversations").select(
-        "conv_id",
-        F.struct(
-            "turn", F.when(F.col("turn") % 5 == 4, "Heading").otherwise("Paragraph").alias("type"),
-            F.concat(
-                F.when(F.col("turn") % 3 == 1, F.concat("role", F.lit(": "))).when(F.col("turn") % 3 == 2, "(a) ").otherwise(""),
-                F.substring_index("text", "\n", 1),
-            ).alias("text"),
-        ).alias("b"),
-    )
-    return rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("b")).alias("turns")).withColumn(
-        "body", F.transform("turns", lambda t: P.block(t.type, t.text))
+    """Conversations as documents: every line of every turn is a block; the first line of a turn may name its speaker."""
+    mark = F.when(F.col("turn") % 3 == 1, F.concat("role", F.lit(": "))).when(F.col("turn") % 3 == 2, "(a) ").otherwise("")
+    kind = F.when(F.col("turn") % 5 == 4, "Heading").otherwise("Paragraph")
+    lines = F.transform(F.split("text", "\n"), lambda t, i: P.block(kind, F.when(i == 0, F.concat(mark, t)).otherwise(t)))
+    turns = read_table(spark, sf, "conversations").select("conv_id", F.struct("turn", lines.alias("lines")).alias("b"))
+    return turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("b")).alias("turns")).withColumn(
+        "body", F.flatten(F.transform("turns", lambda t: t.lines))
     )
 
 
