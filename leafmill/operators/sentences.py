@@ -419,8 +419,12 @@ def first_author(lines) -> Column:
     return F.try_element_at(found, F.lit(1))
 
 
-def listing_text(blocks, title, source) -> Column:
-    """First paragraph, else the first heading that is not the title, else host and last path segment."""
+def listing_text(blocks, title, source, chars: int | None = None) -> Column:
+    """First paragraph, else the first heading that is not the title, else a name for the source.
+
+    That is: a fixed one for captured text and device content, host and last path segment of a web address, the last
+    path segment of a file or any other label.  ``chars`` cuts the text if a number is given.
+    """
     from leafmill.functions.text import url_path
 
     blocks = col(blocks)
@@ -437,12 +441,17 @@ def listing_text(blocks, title, source) -> Column:
         ).otherwise(""),
     )
     plain = F.substring_index(col(source), "/", -1)
-    fallback = F.when(col(source).rlike("^https?://"), web).otherwise(
-        F.when(plain != "", plain).otherwise(F.lit("Local PDF file"))
-    )
-    return F.substring(
-        F.coalesce(F.nullif(collapse(para), F.lit("")), F.nullif(collapse(head), F.lit("")), fallback), 1, 140
+    file = F.coalesce(F.try_url_decode(segment), segment)
+    local = F.lit("Local PDF file")
+    fallback = (
+        F.when(col(source).startswith("captured-text:"), F.lit("Captured text"))
+        .when(col(source).rlike("^https?://"), web)
+        .when(col(source).startswith("content://"), local)
+        .when(col(source).startswith("file://"), F.coalesce(F.nullif(file, F.lit("")), local))
+        .otherwise(F.when(F.trim(plain) != "", plain).otherwise(local))
     )
+    text = F.coalesce(F.nullif(collapse(para), F.lit("")), F.nullif(collapse(head), F.lit("")), fallback)
+    return F.substring(text, 1, chars) if chars else text
 
 
 # ----- url mentions ----------------------------------------------------------------------

@@ -72,7 +72,10 @@ def listing(spark, sf):
     df = cited_blocks(spark, sf)
     # every third document keeps only its headings, every third of those none at all
     kept = F.filter("blocks", lambda b: (F.col("doc_id") % 3 != 0) | ((b.type == "Heading") & (F.col("doc_id") % 9 != 0)))
-    label = F.concat(F.lit("https://www.example.com/read/"), F.col("source"))
+    # the labels of those without any are of five kinds
+    heads = ["https://www.example.com/read/", "captured-text:", "content://a/b/", "file:///home/papers/", "papers/"]
+    kind = F.floor(F.col("doc_id") / 9) % len(heads) + 1
+    label = F.concat(F.element_at(F.array(*[F.lit(h) for h in heads]), kind.cast("int")), F.col("source"))
     df = df.withColumn("kept", kept).withColumn("label", label)
     return df.select("doc_id", S.listing_text("kept", "title", "label").alias("summary"))
 

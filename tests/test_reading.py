@@ -98,3 +98,11 @@ def test_first_author(spark):
     assert who("By Jane Field and Sam Hill") == "Jane Field"
     assert who("Harbour University", "Kim Lake, Jo Moor") == "Kim Lake"
     assert who("published 2024") is None
+
+
+def test_listing_names_every_kind_of_source(spark):
+    empty = F.array().cast("array<struct<pos:int,type:string,text:string>>")
+    name = lambda x: one(spark, S.listing_text(empty, F.lit("T"), F.lit(x)))
+    assert name("https://e.org/a/b.html") == "e.org • b.html" and name("https://e.org/t") == "e.org"
+    assert name("content://a/b/7") == "Local PDF file" and name("captured-text:9") == "Captured text"
+    assert name("file:///a/b%20c.pdf") == "b c.pdf" and name("x/y.pdf") == "y.pdf" and name("x/") == "Local PDF file"
