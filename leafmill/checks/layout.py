@@ -66,6 +66,8 @@ SELECT doc_id, top, text FROM q WHERE CASE WHEN n < 3 OR ls IS NULL OR len(ls) =
   WHEN clickable AND length(t) <= 60 AND {D.words('t')} <= 10 THEN false WHEN delta >= 120 AND length(t) <= 90 AND r - l <= floor(width * 0.55) THEN false ELSE true END"""
 
 CHECKS = {
+    "s04_box_table": f"""WITH {BOXES} SELECT translate(text, chr(9) || chr(13), '  ') AS text, top, l AS "left", bottom, r AS "right", heading::int AS heading, clickable::int AS clickable
+ FROM bx WHERE {D.collapse('text')} <> ''""",
     "l01_box_noise": f"WITH {BOXES} SELECT doc_id, pos, {NOISY}::int AS noisy FROM bx",
     "l02_box_include": f"WITH {BOXES}, {CAND} SELECT doc_id, pos, c AS text, ({INCLUDED})::int AS included FROM cand",
     "l03_reading_order": f"""WITH {BOXES}, o AS (SELECT *, CASE WHEN top - lag(top) OVER (PARTITION BY doc_id ORDER BY top, l) > 14 THEN 1 ELSE 0 END AS brk FROM bx),

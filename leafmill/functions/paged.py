@@ -309,14 +309,14 @@ def assemble(lines) -> Column:
     )
 
 
-FIRST_WORDS = r"^(?:[^A-Za-z]*[A-Za-z][^\s,.;:!?)]*){1,6}"
+# a word begins with a letter, so trimming quotes never empties one: the first four matches are the first four words
+FIRST_WORDS = r"^(?:[^A-Za-z]*[A-Za-z][^\s,.;:!?)]*){1,4}"
 
 
 def body_sentence(c) -> Column:
     """Starts like a sentence: a capital word, then at least two lower-case ones among the first four."""
     ws = F.filter(
         F.transform(
-            # quotes only may be dropped, so a few more than four words are looked at
             F.regexp_extract_all(
                 F.regexp_extract(col(c), FIRST_WORDS, 0), F.lit(r"[A-Za-z][^\s,.;:!?)]*"), F.lit(0)
             ),

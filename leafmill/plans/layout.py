@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from leafmill.operators import layout as L
 from leafmill.operators import summaries as S
 from leafmill.operators.blocks import explode_rows
 from leafmill.plans.inputs import noisy_documents
+from leafmill.session import checkpoint_root
+from leafmill.sources import store
 from leafmill.sources.corpus import read_table
 
 
@@ -28,6 +32,18 @@ def screens(spark, sf):
     return docs.select("doc_id", boxes.cast(f"array<{L.BOX}>").alias("boxes"))
 
 
+def box_table(spark, sf):
+    """All boxes written as tab-separated lines and read back; boxes without text do not come back."""
+    path = f"{checkpoint_root(spark)}/boxes-{uuid.uuid4().hex}"
+    rows = screens(spark, sf).select(F.explode("boxes").alias("b")).select(
+        "b.text", "b.top", "b.left", "b.bottom", "b.right", F.col("b.heading").alias("isHeading"), F.col("b.clickable").alias("isClickable")
+    )
+    store.write_boxes(rows, path)
+    return store.read_boxes(spark, path).select(
+        "text", "top", "left", "bottom", "right", F.col("isHeading").cast("int").alias("heading"), F.col("isClickable").cast("int").alias("clickable")
+    )
+
+
 def noise(spark, sf):
     df = screens(spark, sf)
     rows = F.transform("boxes", lambda b, i: F.struct(i.cast("int").alias("pos"), L.noisy_box(b).cast("int").alias("noisy")))
@@ -105,6 +121,7 @@ def summary_lines(spark, sf):
 
 
 QUERIES = {
+    "s04_box_table": box_table,
     "l01_box_noise": noise,
     "l02_box_include": include,
     "l03_reading_order": order,

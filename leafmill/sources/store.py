@@ -95,6 +95,14 @@ def csv_field(c) -> Column:
     return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
 
 
+def write_boxes(boxes: DataFrame, path: str) -> None:
+    """Boxes (columns of ``BOX_SCHEMA``) as tab-separated lines with a header; tabs and line breaks in texts become blanks."""
+    flat = boxes.withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), "[\t\r\n]", " "))
+    flat.write.mode("append").csv(
+        path, sep="\t", header=True, quote="", escape="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+
+
 def read_boxes(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated boxes with a header; a row of another width fails the read."""
     rows = spark.read.csv(path, sep="\t", header=True, schema=BOX_SCHEMA, mode="FAILFAST", quote="")
