@@ -39,8 +39,9 @@ BYTE = mix(np.arange(256, dtype=U64))
 SPAN = 1 << 16
 POWER = np.cumprod(np.full(SPAN, 0x9E3779B97F4A7C15, U64))
 
-BUCKET_SHINGLES = 1_000_000  # shingles that one task counts at once
-FLUSH_SHINGLES = 1_500_000  # shingles that one task holds before it writes them out
+BUCKET_SHINGLES = 2_500_000  # shingles that one task counts at once
+FLUSH_SHINGLES = 1_000_000  # shingles that one task holds before it writes them out
+SLICE_BYTES = 1_000_000  # text that numpy holds at once
 CHUNK_SETS = 192
 CHUNK_SHINGLES = 120_000
 
@@ -57,8 +58,7 @@ def shingle_sets(raw: list[bytes], words: int = 5) -> list[np.ndarray]:
     out = [np.empty(0, U64)] * len(raw)
     if not len(letters):
         return out
-    first = np.flatnonzero(inside[letters] & ~inside[letters - 1] | (letters == 0)) if letters[0] else None
-    first = np.concatenate(([0], np.flatnonzero(np.diff(letters) > 1) + 1)) if first is None else first
+    first = np.concatenate(([0], np.flatnonzero(np.diff(letters) > 1) + 1))
     starts = letters[first]
     sizes = np.diff(np.concatenate((first, [len(letters)])))
     place = np.arange(len(letters)) - np.repeat(first, sizes)
@@ -81,12 +81,16 @@ def shingle_sets(raw: list[bytes], words: int = 5) -> list[np.ndarray]:
     return out
 
 
+KEY = np.dtype("V16")
+KEY_PARTS = np.dtype([("a", "<u8"), ("b", "<u4"), ("n", "<u4")])
+
+
 def set_key(values: np.ndarray) -> bytes:
-    """16 bytes that stand for a whole set; empty for the empty set."""
+    """16 bytes that stand for a whole set: a 96-bit hash and the size of the set; empty for the empty set."""
     if not len(values):
         return b""
     a, b = np.add.reduce(mix(values)), np.bitwise_xor.reduce(mix(values ^ U64(0x5851F42D4C957F2D)))
-    return np.array([a + U64(len(values)), b], U64).tobytes()
+    return np.array([(a, b >> U64(32), len(values))], KEY_PARTS).tobytes()
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -97,7 +101,7 @@ def set_keys(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n_shingles, key) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2_000_000):
+        for batch in slices(batches, "text", SLICE_BYTES):
             sets = shingle_sets(_texts(batch), words)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary())],
@@ -109,16 +113,14 @@ def set_keys(docs: DataFrame, words: int) -> DataFrame:
 
 # -- packed rows: many sets, or parts of them, in one row --
 
-PACKED = "place int, keys binary, sizes binary, counts binary, tokens binary, ranks binary"
-PACKED_SCHEMA = pa.schema([("place", pa.int32()), *[(n, pa.binary()) for n in ("keys", "sizes", "counts", "tokens", "ranks")]])
-KEY = np.dtype("V16")
+PACKED = "place int, keys binary, counts binary, tokens binary, ranks binary"
+PACKED_SCHEMA = pa.schema([("place", pa.int32()), *[(n, pa.binary()) for n in ("keys", "counts", "tokens", "ranks")]])
 
 
-def _pack(place: int, keys, sizes, counts, tokens, ranks=b"") -> dict:
+def _pack(place: int, keys, counts, tokens, ranks=b"") -> dict:
     return {
         "place": int(place),
         "keys": keys.tobytes(),
-        "sizes": sizes.astype(np.int32).tobytes(),
         "counts": counts.astype(np.int32).tobytes(),
         "tokens": tokens.tobytes(),
         "ranks": ranks if isinstance(ranks, bytes) else ranks.astype(np.int32).tobytes(),
@@ -131,7 +133,6 @@ def _unpack(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
 
     return (
         column("keys", KEY),
-        column("sizes", np.int32).astype(np.int64),
         column("counts", np.int32).astype(np.int64),
         column("tokens", U64),
         column("ranks", np.int32).astype(np.int64),
@@ -142,13 +143,13 @@ def _packed_batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=PACKED_SCHEMA)
 
 
-def _deal(place_of: np.ndarray, owner: np.ndarray, keys, sizes, tokens, ranks=None) -> Iterator[dict]:
+def _deal(place_of: np.ndarray, owner: np.ndarray, keys, tokens, ranks=None) -> Iterator[dict]:
     """Packed rows, one for each place, of tokens that lie in the order of their owners."""
     order = np.argsort(place_of, kind="stable")
     places, begins = np.unique(place_of[order], return_index=True)
     for place, part in zip(places, np.split(order, begins[1:]), strict=True):
         present, counts = np.unique(owner[part], return_counts=True)
-        yield _pack(place, keys[present], sizes[present], counts, tokens[part], b"" if ranks is None else ranks[part])
+        yield _pack(place, keys[present], counts, tokens[part], b"" if ranks is None else ranks[part])
 
 
 def _bucket_rows(docs: DataFrame, words: int, buckets: int) -> DataFrame:
@@ -164,10 +165,10 @@ def _bucket_rows(docs: DataFrame, words: int, buckets: int) -> DataFrame:
             sizes = np.array([len(h) for h in held])
             owner = np.repeat(np.arange(len(held)), sizes)
             place = (tokens % U64(buckets)).astype(np.int64)
-            return _packed_batch(list(_deal(place, owner, np.frombuffer(b"".join(keys), KEY), sizes, tokens)))
+            return _packed_batch(list(_deal(place, owner, np.frombuffer(b"".join(keys), KEY), tokens)))
 
         size = 0
-        for batch in slices(batches, "text", 2_000_000):
+        for batch in slices(batches, "text", SLICE_BYTES):
             for values in shingle_sets(_texts(batch), words):
                 key = set_key(values)
                 if not key or key in seen:
@@ -191,7 +192,7 @@ def _count_bucket(places: int):
     """Shingles of a bucket that two classes share, with their number of classes, dealt to places of classes."""
 
     def run(rows: pa.Table) -> pa.Table:
-        keys, sizes, counts, tokens, _ = _unpack(rows)
+        keys, counts, tokens, _ = _unpack(rows)
         owner = np.repeat(np.arange(len(keys)), counts)
         # a class that several tasks have sent counts once
         _, first = np.unique(keys, return_index=True)
@@ -201,8 +202,8 @@ def _count_bucket(places: int):
         _, group, many = np.unique(tokens, return_inverse=True, return_counts=True)
         shared = many[group] > 1
         tokens, owner, ranks = tokens[shared], owner[shared], many[group][shared]
-        place = (keys.view(U64).reshape(-1, 2)[:, 0] % U64(places)).astype(np.int64)
-        return pa.Table.from_pylist(list(_deal(place[owner], owner, keys, sizes, tokens, ranks)), schema=PACKED_SCHEMA)
+        place = (keys.view(KEY_PARTS)["a"] % U64(places)).astype(np.int64)
+        return pa.Table.from_pylist(list(_deal(place[owner], owner, keys, tokens, ranks)), schema=PACKED_SCHEMA)
 
     return run
 
@@ -220,10 +221,9 @@ def _order_sets(percent: int):
     """Whole sets of a place in the global order, without those that share too little to be linked."""
 
     def run(rows: pa.Table) -> pa.Table:
-        keys, sizes, counts, tokens, ranks = _unpack(rows)
+        keys, counts, tokens, ranks = _unpack(rows)
         distinct, number = np.unique(keys, return_inverse=True)
-        n = np.zeros(len(distinct), np.int64)
-        n[number] = sizes
+        n = distinct.view(KEY_PARTS)["n"].astype(np.int64)
         owner = np.repeat(number, counts)
         enough = np.bincount(owner, minlength=len(distinct)) >= _needed(n, percent)
         keep = enough[owner]
@@ -503,7 +503,7 @@ def shingle_links(docs: DataFrame, total: int, words: int = 5, percent: int = 80
     """
     spark = docs.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(4 * width, total // BUCKET_SHINGLES + 1)
+    buckets = max(width, total // BUCKET_SHINGLES + 1)
     counted = _bucket_rows(docs, words, buckets).groupBy("place").applyInArrow(_count_bucket(buckets), PACKED)
     sets = saved(counted.groupBy("place").applyInArrow(_order_sets(percent), SETS), "sets")
     leads = sets.mapInArrow(_prefixes(percent), "token long, key binary")
