@@ -52,7 +52,6 @@ def packed(p, tag):
 BASE = f"""{CITED},
 nb AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, pos, type, text AS raw, {para('text')} AS text FROM blocks)"""
 BOTH = f"WITH RECURSIVE {BASE}, {packed(C.WEB, 'w')}, {packed(C.PDF, 'p')}, chunks AS (SELECT * FROM w_chunks UNION ALL SELECT * FROM p_chunks)"
-ONE = f"WITH RECURSIVE {BASE}, {packed(C.WEB, 'w')}, chunks AS (SELECT * FROM w_chunks)"
 
 
 def important(x):
@@ -139,7 +138,8 @@ validated AS (SELECT v.*, CASE WHEN failed THEN 'model_failure' WHEN len(cleaned
 FINAL = f"CASE WHEN {para('b')} = {D.lit(C.DROP)} THEN '' ELSE {para('b')} END"
 ACCEPTED = f"""acc AS (SELECT profile, doc_id, chunk, i AS block, a AS before, {FINAL} AS after FROM (
   SELECT profile, doc_id, chunk, unnest(idxs) AS i, unnest(paras) AS a, unnest(cleaned) AS b FROM validated WHERE reason IS NULL))"""
-NEW = "blk AS (SELECT n.doc_id, n.i AS block, n.type, n.raw, n.text AS norm, a.after FROM nb n LEFT JOIN acc a ON a.doc_id = n.doc_id AND a.block = n.i)"
+NEW = """blk AS (SELECT p.profile, n.doc_id, n.i AS block, n.type, n.raw, n.text AS norm, a.after FROM nb n, (VALUES ('WEB'), ('PDF')) p(profile)
+  LEFT JOIN acc a ON a.profile = p.profile AND a.doc_id = n.doc_id AND a.block = n.i)"""
 
 
 def n_marks(x):
@@ -155,28 +155,28 @@ KINDS = f"""k1 AS (SELECT *, list_filter([
 SELECT profile, doc_id, block, CASE WHEN trim(after) = '' THEN 'paragraph_drop' ELSE list_aggregate(list_concat(ks,
    CASE WHEN sim < 0.76 THEN ['substantial_rewrite'] WHEN len(ks) = 0 OR sim < 0.96 THEN ['minor_rewrite'] ELSE []::varchar[] END), 'string_agg', ',') END AS kinds FROM k1"""
 
-PER_DOC = """per AS (SELECT doc_id, count(*) AS chunks, sum(len(paras)) AS eligible, count(*) FILTER (reason IS NULL) AS accepted, count(*) FILTER (reason IS NOT NULL) AS rejected FROM validated GROUP BY doc_id),
-chg AS (SELECT doc_id, count(*) FILTER (before <> after) AS changed, count(*) FILTER (after = '') AS dropped, sum(length(after)) AS after_acc FROM acc GROUP BY doc_id),
-chars AS (SELECT doc_id, sum(list_sum(list_transform(paras, lambda p: length(p)))) AS cb, sum(CASE WHEN reason IS NOT NULL THEN list_sum(list_transform(paras, lambda p: length(p))) ELSE 0 END) AS cr FROM validated GROUP BY doc_id)"""
+PER_DOC = """per AS (SELECT profile, doc_id, count(*) AS chunks, sum(len(paras)) AS eligible, count(*) FILTER (reason IS NULL) AS accepted, count(*) FILTER (reason IS NOT NULL) AS rejected FROM validated GROUP BY profile, doc_id),
+chg AS (SELECT profile, doc_id, count(*) FILTER (before <> after) AS changed, count(*) FILTER (after = '') AS dropped, sum(length(after)) AS after_acc FROM acc GROUP BY profile, doc_id),
+chars AS (SELECT profile, doc_id, sum(list_sum(list_transform(paras, lambda p: length(p)))) AS cb, sum(CASE WHEN reason IS NOT NULL THEN list_sum(list_transform(paras, lambda p: length(p))) ELSE 0 END) AS cr FROM validated GROUP BY profile, doc_id)"""
 
 SUMMARY_SRC = f"""sp AS (SELECT doc_id, pos, type, {D.collapse('text')} AS t, lag(type) OVER w AS ptype, lag({D.collapse('text')}) OVER w AS pt FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 ss AS (SELECT d.doc_id, d.source, coalesce(s, '') AS src FROM documents d LEFT JOIN (SELECT doc_id, string_agg(CASE WHEN ptype = 'Heading' THEN '[' || pt || '] ' || t ELSE t END, chr(10) ORDER BY pos) AS s FROM sp WHERE type = 'Paragraph' GROUP BY doc_id) USING (doc_id))"""
 SUMMARY_HEAD = D.lit(
     "Summarise this article from its text only, in one short overview and three bullet points.\nOverview:\nKey points:\nTitle: Report "
 )
-RESP = f"""r AS (SELECT doc_id, chunk, paras, CASE chunk % 3 WHEN 0 THEN list_aggregate(paras, 'string_agg', {D.lit(C.BREAK)}) WHEN 1 THEN list_aggregate(paras, 'string_agg', chr(10) || ' ' || chr(10)) ELSE list_aggregate(paras, 'string_agg', chr(10)) END AS t FROM chunks),
+RESP = f"""r AS (SELECT profile, doc_id, chunk, paras, CASE chunk % 3 WHEN 0 THEN list_aggregate(paras, 'string_agg', {D.lit(C.BREAK)}) WHEN 1 THEN list_aggregate(paras, 'string_agg', chr(10) || ' ' || chr(10)) ELSE list_aggregate(paras, 'string_agg', chr(10)) END AS t FROM chunks),
 q AS (SELECT *, list_filter(list_transform(string_split(t, {D.lit(C.BREAK)}), lambda p: {para('p')}), lambda p: p <> '') AS x, list_filter(list_transform(string_split_regex(t, '\\n\\s*\\n+'), lambda p: {para('p')}), lambda p: p <> '') AS y FROM r),
-z AS (SELECT doc_id, chunk, CASE WHEN len(x) = len(paras) THEN x WHEN len(y) = len(paras) THEN y ELSE []::varchar[] END AS got FROM q)
-SELECT doc_id, chunk, len(got) AS n, coalesce(list_aggregate(got, 'string_agg', '|'), '') AS text FROM z"""
+z AS (SELECT profile, doc_id, chunk, CASE WHEN len(x) = len(paras) THEN x WHEN len(y) = len(paras) THEN y ELSE []::varchar[] END AS got FROM q)
+SELECT profile, doc_id, chunk, len(got) AS n, coalesce(list_aggregate(got, 'string_agg', '|'), '') AS text FROM z"""
 
 CHECKS = {
     "c01_eligibility": f"WITH {BASE} SELECT doc_id, pos, {eligible('text', C.WEB)}::int AS web, {eligible('text', C.PDF)}::int AS pdf FROM nb WHERE type = 'Paragraph'",
     "c02_chunk_packing": f"{BOTH} SELECT profile, doc_id, chunk, idx, list_aggregate(paras, 'string_agg', '|') AS paras FROM chunks",
     "c03_chunk_context": f"{BOTH} SELECT profile, doc_id, chunk, before, after FROM chunks",
-    "c04_prompts": f"""{ONE} SELECT doc_id, chunk, concat_ws(chr(10), {D.lit(C.INSTRUCTIONS['WEB'])}, 'Return ' || len(paras) || ' paragraphs separated by {C.BREAK}.',
+    "c04_prompts": f"""{BOTH} SELECT profile, doc_id, chunk, concat_ws(chr(10), CASE WHEN profile = 'WEB' THEN {D.lit(C.INSTRUCTIONS['WEB'])} ELSE {D.lit(C.INSTRUCTIONS['PDF'])} END, 'Return ' || len(paras) || ' paragraphs separated by {C.BREAK}.',
    'Text before (do not change): ' || before, 'Text after (do not change): ' || after, list_aggregate(list_transform(paras, lambda p, i: 'Paragraph ' || i || ': ' || p), 'string_agg', chr(10))) AS prompt FROM chunks""",
     "c04_summary_prompts": f"WITH {CITED}, {SUMMARY_SRC} SELECT doc_id, {SUMMARY_HEAD} || doc_id || chr(10) || 'Text:' || chr(10) || src AS prompt FROM ss",
-    "c05_response_split": f"{ONE}, {RESP}",
+    "c05_response_split": f"{BOTH}, {RESP}",
     "c06_token_sets": f"""WITH {BASE} SELECT doc_id, pos, coalesce(list_aggregate(list_sort({important('text')}), 'string_agg', ' '), '') AS important,
    coalesce(list_aggregate(list_sort({protected('text')}), 'string_agg', ' '), '') AS protected, coalesce(list_aggregate(list_sort({content('text')}), 'string_agg', ' '), '') AS content FROM nb WHERE type = 'Paragraph'""",
     "c07_neighbour_similarity": f"""WITH {BASE}, t AS (SELECT doc_id, pos, {content('raw')} AS t FROM nb WHERE type = 'Paragraph'), l AS (SELECT *, lag(t) OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM t)
@@ -184,13 +184,13 @@ CHECKS = {
     "c08_validation": f"{BOTH}, {VALIDATED} SELECT profile, doc_id, chunk, reason FROM validated",
     "c09_duplication": f"{BOTH}, {VALIDATED} SELECT v.profile, v.doc_id, v.chunk, (d.doc_id IS NOT NULL)::int AS duplicated FROM validated v LEFT JOIN dup d ON d.profile = v.profile AND d.doc_id = v.doc_id AND d.chunk = v.chunk",
     "c10_change_kinds": f"{BOTH}, {VALIDATED}, {ACCEPTED}, {KINDS}",
-    "c11_applied": f"{ONE}, {VALIDATED}, {ACCEPTED}, {NEW} SELECT doc_id, block, type, coalesce(after, raw) AS text, coalesce(after <> raw, false)::int AS changed FROM blk",
-    "c12_diagnostics": f"""{ONE}, {VALIDATED}, {ACCEPTED}, {PER_DOC} SELECT p.doc_id, chunks, eligible, accepted, rejected, coalesce(changed, 0) AS changed, coalesce(dropped, 0) AS dropped,
-   cb AS chars_before, (cr + coalesce(after_acc, 0)) AS chars_after FROM per p JOIN chars USING (doc_id) LEFT JOIN chg USING (doc_id)""",
-    "c12_diagnostics_rollup": f"""{ONE}, {VALIDATED}, {ACCEPTED}, {PER_DOC}, x AS (SELECT d.source, CASE WHEN chunks > 5 THEN 'long' ELSE 'short' END AS size_class, p.* FROM per p JOIN documents d USING (doc_id))
+    "c11_applied": f"{BOTH}, {VALIDATED}, {ACCEPTED}, {NEW} SELECT profile, doc_id, block, type, coalesce(after, raw) AS text, coalesce(after <> raw, false)::int AS changed FROM blk",
+    "c12_diagnostics": f"""{BOTH}, {VALIDATED}, {ACCEPTED}, {PER_DOC} SELECT p.profile, p.doc_id, chunks, eligible, accepted, rejected, coalesce(changed, 0) AS changed, coalesce(dropped, 0) AS dropped,
+   cb AS chars_before, (cr + coalesce(after_acc, 0)) AS chars_after FROM per p JOIN chars USING (profile, doc_id) LEFT JOIN chg USING (profile, doc_id)""",
+    "c12_diagnostics_rollup": f"""{BOTH}, {VALIDATED}, {ACCEPTED}, {PER_DOC}, x AS (SELECT d.source, CASE WHEN chunks > 5 THEN 'long' ELSE 'short' END AS size_class, p.* FROM per p JOIN documents d USING (doc_id))
  SELECT source, size_class, sum(chunks) AS chunks, sum(accepted) AS accepted, sum(rejected) AS rejected FROM x GROUP BY ROLLUP (source, size_class)""",
     "c13_rejection_counts": f"{BOTH}, {VALIDATED} SELECT reason, count(*) AS n FROM validated WHERE reason IS NOT NULL GROUP BY reason",
-    "c14_diffs": f"{ONE}, {VALIDATED}, {ACCEPTED}, {NEW} SELECT doc_id, block, norm AS before, after FROM blk WHERE type = 'Paragraph' AND after IS NOT NULL AND after <> norm",
+    "c14_diffs": f"{BOTH}, {VALIDATED}, {ACCEPTED}, {NEW} SELECT profile, doc_id, block, norm AS before, after FROM blk WHERE type = 'Paragraph' AND after IS NOT NULL AND after <> norm",
     "c16_skip_current": f"""WITH {CITED}, {SUMMARY_SRC}, d AS (SELECT doc_id, doc_id % 3 = 0 AS a, ({C.PROMPT_VERSION} - 1 + doc_id % 4) AS v, doc_id % 5 <> 0 AS fresh FROM documents)
  SELECT doc_id, 'rewrite' AS task FROM d WHERE NOT ((a AND v = {C.PROMPT_VERSION}) OR v > {C.PROMPT_VERSION}) UNION ALL SELECT doc_id, 'summary' FROM d WHERE NOT (a AND v = {C.PROMPT_VERSION} AND fresh)""",
     "c17_signatures": f"""WITH {CITED}, {SUMMARY_SRC}, c AS (SELECT doc_id, string_agg(type || chr(0) || text || chr(0), '' ORDER BY pos) AS body FROM blocks GROUP BY doc_id)

@@ -43,7 +43,7 @@ def chunk_context(spark, sf):
 
 
 def prompts(spark, sf):
-    return _chunks(spark, sf, C.WEB).select("doc_id", "chunk", C.cleanup_prompt(C.WEB).alias("prompt"))
+    return _both(lambda p: _chunks(spark, sf, p).select("profile", "doc_id", "chunk", C.cleanup_prompt(p).alias("prompt")))
 
 
 def summary_prompts(spark, sf):
@@ -53,11 +53,11 @@ def summary_prompts(spark, sf):
 
 
 def response_split(spark, sf):
-    rows = _chunks(spark, sf, C.WEB)
+    rows = _both(lambda p: _chunks(spark, sf, p))
     sep = F.when(F.col("chunk") % 3 == 0, C.BREAK).when(F.col("chunk") % 3 == 1, "\r\n \n").otherwise("\n")
     response = F.concat(F.lit("```\n"), F.concat_ws("", F.transform("paras", lambda p, i: F.when(i == 0, p).otherwise(F.concat(sep, p)))), F.lit("```"))
     got = C.split_response(response, F.size("paras"))
-    return rows.select("doc_id", "chunk", F.size(got).alias("n"), F.array_join(got, "|").alias("text"))
+    return rows.select("profile", "doc_id", "chunk", F.size(got).alias("n"), F.array_join(got, "|").alias("text"))
 
 
 def token_sets(spark, sf):
@@ -134,16 +134,21 @@ def change_kind_rows(spark, sf):
 
 def applied(spark, sf):
     blocks = C.numbered_blocks(cited_blocks(spark, sf))
-    done = C.apply_rewrites(blocks, C.rewrites(_rewritten(spark, sf, C.WEB)))
-    return done.select("doc_id", "block", "type", "text", F.col("changed").cast("int").alias("changed"))
+
+    def of(p):
+        done = C.apply_rewrites(blocks, C.rewrites(_rewritten(spark, sf, p)))
+        return done.select(F.lit(p.name).alias("profile"), "doc_id", "block", "type", "text", F.col("changed").cast("int").alias("changed"))
+
+    return _both(of)
 
 
 def diagnostics(spark, sf):
-    return C.run_diagnostics(_rewritten(spark, sf, C.WEB), "doc_id")
+    return C.run_diagnostics(_both(lambda p: _rewritten(spark, sf, p)), "profile", "doc_id")
 
 
 def diagnostics_rollup(spark, sf):
-    per_doc = C.run_diagnostics(_rewritten(spark, sf, C.WEB), "doc_id", "source").withColumn(
+    rows = _both(lambda p: _rewritten(spark, sf, p))
+    per_doc = C.run_diagnostics(rows, "profile", "doc_id", "source").withColumn(
         "size_class", F.when(F.col("chunks") > 5, "long").otherwise("short")
     )
     return per_doc.rollup("source", "size_class").agg(
@@ -157,27 +162,15 @@ def rejection_counts(spark, sf):
 
 
 def diffs(spark, sf):
-    blocks = C.numbered_blocks(cited_blocks(spark, sf))
-    blocks = blocks.withColumn("text", C.paragraph("text"))
-    after = C.apply_rewrites(blocks, C.rewrites(_rewritten(spark, sf, C.WEB)))
-    # stored reports exist for every second document only
-    reported = _pairs(spark, sf, C.WEB).withColumn(
-        "before", F.when(F.col("doc_id") % 2 == 0, F.col("before"))
-    )
-    return C.diff_rows(blocks, after, reported)
-
-
-def external_cleaner(spark, sf):
-    """A Python model called in Arrow batches: squeezes white space, fails on long paragraphs."""
+    blocks = C.numbered_blocks(cited_blocks(spark, sf)).withColumn("text", C.paragraph("text"))
 
-    def model(paras, before, after, profile):
-        if any(len(p) > 1000 for p in paras):
-            raise ValueError("paragraph too long for the model")
-        return [" ".join(p.split()) for p in paras]
+    def of(p):
+        after = C.apply_rewrites(blocks, C.rewrites(_rewritten(spark, sf, p)))
+        # stored reports exist for every second document only
+        reported = _pairs(spark, sf, p).withColumn("before", F.when(F.col("doc_id") % 2 == 0, F.col("before")))
+        return C.diff_rows(blocks, after, reported).withColumn("profile", F.lit(p.name))
 
-    rows = C.run_cleaner(_chunks(spark, sf, C.WEB), model, pandas=True)
-    done = C.validated(rows, C.WEB)
-    return done.select("doc_id", "chunk", F.size("cleaned").alias("n"), "failure", "reason")
+    return _both(of)
 
 
 def _done(spark, sf):
@@ -233,7 +226,6 @@ QUERIES = {
     "c12_diagnostics_rollup": diagnostics_rollup,
     "c13_rejection_counts": rejection_counts,
     "c14_diffs": diffs,
-    "c15_external_cleaner": external_cleaner,
     "c16_skip_current": skip_current,
     "c17_signatures": signatures,
     "c18_failure_counts": failure_counts,
