@@ -75,7 +75,7 @@ DROPPED = (
     f"({D.in_list('tag', R.DROPPED_TAGS + ['head'])} OR lower({attr('tok', 'aria-hidden')}) = 'true' OR {has_class(attr('tok', 'class'), R.DROPPED_CLASSES)} "
     f"OR {D.in_list(attr('tok', 'role'), R.DROPPED_ROLES)} OR {attr('tok', 'id')} = 'discussion' OR contains({attr('tok', 'data-testid')}, 'comments'))"
 )
-BLOCKED = ["article", "main", "section", "nav", "aside", "ul", "ol", "p", "blockquote", "pre", "table", "figure", "figcaption", "footer", "header"]
+BLOCKED = H.INNER_BLOCKS
 TOKENS = f"""{RICH},
 tk0 AS (SELECT page_id, unnest(ts) AS tok, generate_subscripts(ts, 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all({BODIED}, {D.lit(H.TOKEN)}) AS ts FROM (SELECT page_id, {D.sub('html', H.RAW_TEXT)} AS h FROM rich))),
 tk1 AS (SELECT *, lower(regexp_extract(tok, '^</?([A-Za-z][A-Za-z0-9:-]*)', 1)) AS tag FROM tk0),

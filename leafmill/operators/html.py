@@ -194,6 +194,13 @@ def html_tokens(pages: DataFrame, *carry: str) -> DataFrame:
     )
 
 
+# --- fixed values: elements that make a division a container of blocks ---
+INNER_BLOCKS = [
+    "article", "main", "section", "nav", "aside", "ul", "ol", "p", "blockquote", "pre", "table",
+    "figure", "figcaption", "footer", "header",
+]
+
+
 def _count(condition: Column) -> Column:
     return flag(condition)
 
@@ -209,10 +216,6 @@ def page_elements(pages: DataFrame, *carry: str) -> DataFrame:
     opened = (F.col("kind") == "open") & (F.col("live") == 1)
     n = F.length("piece")
     link_n = F.when(F.col("in_link") & (n > 0), F.length(F.trim("piece")) + 1).otherwise(0)
-    blocked = [
-        "article", "main", "section", "nav", "aside", "ul", "ol", "p", "blockquote", "pre", "table",
-        "figure", "figcaption", "footer", "header",
-    ]
     sums = {
         "p": _count(opened & (F.col("tag") == "p")),
         "h": _count(opened & F.col("tag").isin("h1", "h2", "h3", "h4")),
@@ -220,7 +223,7 @@ def page_elements(pages: DataFrame, *carry: str) -> DataFrame:
         "n": n,
         "link": link_n,
         "art": _count(opened & F.col("tag").isin("article", "main")),
-        "blk": _count(opened & F.col("tag").isin(blocked)),
+        "blk": _count(opened & F.col("tag").isin(INNER_BLOCKS)),
         "tx": _count(n > 0),
     }
     tokens = html_tokens(pages, *carry)

@@ -384,6 +384,7 @@ def to_original(runs, offset, prefer_end: bool = False) -> Column:
 
 
 # ----- authors, listing text -------------------------------------------------------------
+# --- fixed values: words that no author line has ---
 AUTHOR_STOP_WORDS = [
     "@", "university", "institute", "department", "school of", "faculty", "laboratory",
     "center for", "centre for", "published", "doi", "arxiv", "preprint", "abstract", "keywords",

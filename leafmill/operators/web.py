@@ -407,6 +407,7 @@ def usable_metadata(text, title) -> Column:
     )
 
 
+# --- fixed value: elements that hold a byline ---
 BYLINE_ELEMENT = (
     r"""(?is)<(?:time\b[^>]*|[a-z0-9]+\b[^>]*(?:class\s*=\s*["'][^"']*(?:byline|author|dek|standfirst|subtitle)"""
     r"""|data-testid\s*=\s*["'][^"']*(?:byline|author|subtitle)|rel\s*=\s*["']author["']"""
