@@ -22,6 +22,8 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    # texts are long rows: small batches bound what a Python worker and its JVM buffers hold
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     # arbitrary keyed state of streams needs the RocksDB store
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return spark
