@@ -14,7 +14,7 @@ from leafmill.llm.common import saved, table
 from leafmill.llm.decontamination import decontaminate
 from leafmill.llm.ngram_join import ngram_join
 from leafmill.llm.quality import learn_quality, score_quality
-from leafmill.llm.queries import PIECES, piece_digest
+from leafmill.llm.queries import PIECES, configured, piece_digest
 from leafmill.llm.toxicity import learn_scorer, score_toxicity
 
 
@@ -57,11 +57,8 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
-    ("toxicity", toxicity),
-    ("quality", quality),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
-    ("sentencepiece", sentencepiece),
+    (stage.__name__, configured(stage))
+    for stage in (toxicity, quality, near_duplicates, decontamination, sentencepiece)
 ]
 
 # learned weights and seeded merges are not SQL: tests compare each stage with a brute-force version

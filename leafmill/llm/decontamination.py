@@ -191,7 +191,7 @@ def document_windows(docs: DataFrame, known: np.ndarray, lengths: list[int], lit
     """Windows of whole documents whose hash is one of the sorted ``known`` ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2_000_000):
+        for batch in slices(batches, "text", 800_000):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids = batch.column("doc_id").to_pylist()
             owner, token, slot, value = templates(texts)

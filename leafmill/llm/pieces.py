@@ -26,7 +26,7 @@ SPACE = "▁"  # stands for a blank inside pieces
 NEVER = np.iinfo(np.int64).max
 LONG = 512  # symbols of a segment from which the heap is quicker
 STEPS = (3, 4, 5, 6, 7, 8, 10, 12, 16, 24, 48, 128, LONG)  # segments are padded to the next of these lengths
-CELLS = 400_000  # symbols side by side
+CELLS = 200_000  # symbols side by side
 
 
 class Pieces:
@@ -239,30 +239,40 @@ def pieces(path: str) -> Pieces:
 
 
 def encode_pieces(
-    df: DataFrame, model: str, seed: int = 0, dropout: float = 0.1, text: str = "text", into: str = "ids"
+    df: DataFrame,
+    model: str,
+    seed: int = 0,
+    dropout: float = 0.1,
+    text: str = "text",
+    into: str = "ids",
+    decoded: str | None = None,
 ) -> DataFrame:
     """The rows with the piece ids of their whole text as a column ``into``; null counts as the empty text,
     which has no pieces.  Repeated rows have equal ids.
 
     ``dropout`` 0 gives the library's own segmentation of every text without U+2581; that sign, which
     the library turns into a blank, is spelled in bytes here.  No shuffle; memory is bounded by a slice of
-    rows or one text.  ``into`` must be a new name; other columns pass through under any names.
+    rows or one text.  ``into`` must be a new name; other columns pass through under any names.  With ``decoded``, the text
+    decoded from the ids is a further column, made in the same pass.
     """
     from pyspark.sql import types as T
 
-    if into in df.columns:
-        raise ValueError(f"column {into} exists")
-    schema = T.StructType([*df.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType(), False), False)])
+    for name in (into, decoded):
+        if name in df.columns:
+            raise ValueError(f"column {name} exists")
+    back = [T.StructField(decoded, T.StringType(), False)] if decoded else []
+    schema = T.StructType([*df.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType(), False), False), *back])
     at = df.columns.index(text)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces(model)
-        for batch in slices(batches, text, 1_500_000):
+        for batch in slices(batches, text, 800_000):
             ids, counts = table.encode([t or "" for t in batch.column(at).to_pylist()], seed, dropout)
             lists = pa.ListArray.from_arrays(
                 pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids, pa.int32())
             )
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, into])
+            texts = [pa.array(table.decode(ids, counts), pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, *texts], names=schema.names)
 
     return df.mapInArrow(encode, schema)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,11 +14,12 @@ from leafmill.llm.fingerprints import fingerprints
 from leafmill.llm.html_text import extract_text
 from leafmill.llm.licences import license_scan, license_sql
 from leafmill.llm.ngram_join import ngram_join
-from leafmill.llm.pieces import decode_pieces, encode_pieces
+from leafmill.llm.pieces import encode_pieces
 from leafmill.llm.quality import learn_quality, score_quality
 from leafmill.llm.token_counts import token_counts
 from leafmill.llm.toxicity import learn_scorer, score_toxicity
 from leafmill.llm.warc import read_archives, write_archives
+from leafmill.session import configure
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -35,8 +38,8 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def piece_digest(docs: DataFrame, model: str) -> DataFrame:
-    encoded = encode_pieces(docs, model, SEED, DROPOUT)
-    return decode_pieces(encoded, model).select(
+    """One pass encodes every text and decodes its ids again: one Python worker a task, not two."""
+    return encode_pieces(docs, model, SEED, DROPOUT, decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
         F.xxhash64("ids").alias("ids_hash"),
@@ -93,8 +96,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def configured(query):
+    """The query on a session with the library's settings: the same before every query."""
+
+    @wraps(query)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        return query(configure(spark), *args)
+
+    return run
+
+
 QUERIES = {
-    f.__name__: f
+    f.__name__: configured(f)
     for f in (
         op1_decontamination,
         op2_sentencepiece,

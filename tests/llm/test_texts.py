@@ -239,3 +239,11 @@ def test_every_page_has_a_row(spark):
     got = Q.extract_text(pages).collect()
     assert len(got) == 5 and all(r.n_chars == len(r.text) for r in got)
     assert {r.n_chars for r in got if r.page_id in (2, None)} == {0}
+
+
+def test_ids_decode_to_their_texts(spark):
+    df = awkward(spark, ODD).select("doc_id", "text")
+    rows = P.decode_pieces(P.encode_pieces(df, MODEL, 3, 0.3, decoded="again"), MODEL).collect()
+    assert all(r.decoded == r.again == (r.text or "") for r in rows)
+    none = spark.createDataFrame([(None,), ([],)], "ids array<int>")
+    assert [r.decoded for r in P.decode_pieces(none, MODEL).collect()] == ["", ""]
