@@ -27,7 +27,9 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th "
     "thead tr ul".split()
 )
-APART = frozenset("nav footer aside form menu dialog search fieldset".split())
+APART = frozenset("nav footer aside menu dialog search fieldset".split())
+# what a head may hold; anything else begins the body
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript template".split())
 CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot body html legend summary figcaption".split())
 REGION = frozenset("article main section div td body html".split())
 # what an element of this kind ends when it begins
@@ -50,6 +52,10 @@ NAMES = frozenset(
     "colophon searchform search".split()
 )
 KEPT_TAGS = frozenset("html body main article".split())
+# words beside a name that tell a state of the page ("has-sidebar", "sharing-enabled"), not what the element is
+STATES = frozenset("has no not with without enabled disabled".split())
+# whole classes of an article that is a reader's comment
+REMARKS = frozenset("comment reply".split())
 WORDS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -62,24 +68,41 @@ def apart(tag: str, attributes: dict[str, str | None], inside: bool) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style") or "", re.I):
         return True
-    if tag in ("html", "body", "main"):
-        return False
-    if (attributes.get("role") or "").lower() in ROLES:
+    return tag not in KEPT_TAGS and (attributes.get("role") or "").lower() in ROLES
+
+
+def named_apart(tag: str, attributes: dict[str, str | None]) -> bool:
+    """Whether an element is called something beside the article, or is a form; ``way_back`` may overrule it."""
+    names = f"{attributes.get('class') or ''} {attributes.get('id') or ''}".split()
+    if tag in KEPT_TAGS:
+        return tag == "article" and any(n.lower() in REMARKS for n in names)
+    if tag == "form":
         return True
-    named = f"{attributes.get('class') or ''} {attributes.get('id') or ''}"
-    return any(w in NAMES for w in WORDS.findall(CAMEL.sub(" ", named).lower()))
+    for name in names:
+        words = WORDS.findall(CAMEL.sub(" ", name).lower())
+        if any(w in NAMES for w in words) and not any(w in STATES for w in words):
+            return True
+    return False
 
 
 class Lines(HTMLParser):
-    """Lines of a page: text, tags, and the open elements around it; what stands apart is left out."""
+    """Lines of a page: text, tags, and the open elements around it; what stands apart is left out.
 
-    def __init__(self):
+    ``released``: numbers of the elements that no name silences.
+    """
+
+    def __init__(self, released: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
+        self.released = released
         self.open: list[tuple[str, int, bool]] = []  # tag, number, stands apart or is silent
         self.number = 0
         self.parent: list[int] = [0]
         self.tag_of: list[str] = [""]
         self.muted = 0
+        self.named: set[int] = set()  # silenced by a name only
+        self.held: dict[int, int] = {}  # characters right inside an element, silenced by a name or not
+        self.marks: list[int] = []  # article, main and h1 elements that no tag or attribute silences
+        self.hard = 0
         self.articles = 0
         self.text: list[str] = []
         self.tags = 0
@@ -93,8 +116,9 @@ class Lines(HTMLParser):
         self.text = []
 
     def _pop(self) -> None:
-        tag, _, mute = self.open.pop()
+        tag, number, mute = self.open.pop()
         self.muted -= mute
+        self.hard -= mute and number not in self.named
         self.articles -= tag in ("article", "main")
 
     def _end(self, tags: str, stop: frozenset) -> None:
@@ -107,7 +131,18 @@ class Lines(HTMLParser):
                     self._pop()
                 return
 
+    def _leave_head(self, tag: str) -> None:
+        """An open head ends where the body begins; its end tag may be left out."""
+        if not self.open or all(t != "head" for t, _, _ in self.open):
+            return
+        if tag == "body" and all(t not in ("template", "body") for t, _, _ in self.open):
+            while any(t == "head" for t, _, _ in self.open):
+                self._pop()
+        elif self.open[-1][0] == "head" and tag not in IN_HEAD and tag not in ("head", "html"):
+            self._pop()
+
     def handle_starttag(self, tag: str, attrs) -> None:
+        self._leave_head(tag)
         if tag in BLOCK:
             self.flush()
         if tag in CLOSES_P:
@@ -121,13 +156,20 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         self.number += 1
+        attributes = dict(attrs)
         # an article inside an article is a reader's comment
-        mute = tag in SILENT or apart(tag, dict(attrs), self.articles > 0) or (tag == "article" and self.articles > 0 and any(t == "article" for t, _, _ in self.open))
+        hard = tag in SILENT or apart(tag, attributes, self.articles > 0) or (tag == "article" and self.articles > 0 and any(t == "article" for t, _, _ in self.open))
+        mute = hard or (self.number not in self.released and named_apart(tag, attributes))
+        if mute and not hard:
+            self.named.add(self.number)
         self.parent.append(self.open[-1][1] if self.open else 0)
         self.tag_of.append(tag)
         self.open.append((tag, self.number, mute))
         self.muted += mute
+        self.hard += hard
         self.articles += tag in ("article", "main")
+        if not self.hard and tag in ("article", "main", "h1"):
+            self.marks.append(self.number)
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         # "<div/>" opens a div in HTML; only void elements end by themselves
@@ -150,6 +192,11 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self._pop()
+        if not self.hard:
+            at = self.open[-1][1] if self.open else 0
+            self.held[at] = self.held.get(at, 0) + len(data.strip())
         if not self.muted:
             self.text.append(data)
 
@@ -166,6 +213,42 @@ def smoothed(ratio: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(ratio, kernel)[reach : reach + len(ratio)] / weight
 
 
+def way_back(page: Lines) -> frozenset[int]:
+    """Elements that their name must not silence: those around the article, its h1 or most of the page's text.
+
+    Names stand where an article outside them has text.  If else hardly any text is left, no name silences.
+    """
+    if not page.named:
+        return frozenset()
+    count = len(page.parent)
+    chains: list[tuple[int, ...]] = [()] * count  # named elements around an element, itself included
+    for element in range(1, count):
+        above = chains[page.parent[element]]
+        chains[element] = (*above, element) if element in page.named else above
+    gross, free = [0] * count, [0] * count
+    for element, size in page.held.items():
+        gross[element] = size
+        free[element] = 0 if chains[element] else size
+    for element in range(count - 1, 0, -1):
+        gross[page.parent[element]] += gross[element]
+        free[page.parent[element]] += free[element]
+    articles = [e for e in page.marks if page.tag_of[e] != "h1"]
+    total = gross[0]
+    if any(not chains[e] and free[e] >= min(200, max(1, total // 50)) for e in articles):
+        return frozenset()
+    titles = [e for e in page.marks if page.tag_of[e] == "h1" and gross[e]]
+    titled = any(not chains[e] for e in titles)
+    released = {e for e in page.named if gross[e] > (0.9 if titled else 0.5) * total}
+    if not titled:
+        if 2 * free[0] < total:
+            released.update(*(chains[e] for e in articles))
+        released.update(*(chains[e] for e in titles))
+    # what is released is open only if all around it is
+    released.update(*(chains[e] for e in list(released)))
+    left = sum(size for e, size in page.held.items() if released.issuperset(chains[e]))
+    return frozenset(page.named if not titled and 10 * left < total else released)
+
+
 def main_text(html: str, sigma: float = 1.0, share: float = 0.9) -> str:
     """Blocks of the content region in page order, joined by two line ends; empty if there is none.
 
@@ -176,6 +259,11 @@ def main_text(html: str, sigma: float = 1.0, share: float = 0.9) -> str:
     page = Lines()
     page.feed(html)
     page.finish()
+    released = way_back(page)
+    if released:
+        page = Lines(released)
+        page.feed(html)
+        page.finish()
     if not page.lines:
         return ""
     sizes = np.array([len(text) for text, _, _ in page.lines], float)

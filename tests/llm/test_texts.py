@@ -233,6 +233,28 @@ def test_pages_without_an_article_element():
     assert main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_no_name_silences_the_article():
+    text = "A sentence of the article that has quite a few words in it. " * 5
+    body = f"<h1>Title</h1><p>{text}</p><p>Short.</p>"
+    whole = "\n\n".join(["Title", text.strip(), "Short."])
+    for around in ("div class='layout has-sidebar'", "div class=no-sidebar", "div id=page-with-comments", "article class='post sharing-enabled'",
+                   "article class='post tag-social'", "div class='elementor-widget'", "form id=aspnetForm", "div class=widget><div class=sidebar"):
+        tag = around.split()[0]
+        ends = f"</{tag}>" * around.count("<div") + f"</{tag}>"
+        assert main_text(f"<body><nav>Menu</nav><{around}>{body}<div class=sidebar>Other things</div>{ends}</body>") == whole, around
+    assert main_text(f"<div class=widget><article>{body}</article></div><div class=sidebar>Other</div>") == whole
+    assert main_text("".join(f"<div class=elementor-widget><p>{k} {text}</p></div>" for k in range(4))).count("A sentence") == 20
+    remarks = "<div class=comment><p>A reader said something long, again and again.</p></div>" * 40
+    assert main_text(f"<article>{body}<section id=comments>{remarks}</section></article>") == whole
+
+
+def test_a_head_ends_where_the_body_begins():
+    for page in ("<html><head><title>t</title><body><p>Some text</p></body>", "<head><meta charset=utf-8><title>t</title><p>Some text</p>",
+                 "<html><head><title>t</title><noscript><link></noscript>Some text", "<head><noscript><body>Some text"):
+        assert main_text(page) == "Some text", page
+    assert main_text("<head><template><div>no</div></template></head><body>Some text") == "Some text"
+
+
 def test_every_page_has_a_row(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "u", ""), (3, "u", "<p>" + "x " * 100_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
