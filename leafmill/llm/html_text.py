@@ -31,6 +31,8 @@ APART = frozenset("nav footer aside menu dialog search fieldset".split())
 # what a head may hold; anything else begins the body
 IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript template".split())
 CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot body html legend summary figcaption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = HEADINGS | frozenset("p blockquote pre".split())
 REGION = frozenset("article main section div td body html".split())
 # what an element of this kind ends when it begins
 ENDS = {
@@ -104,22 +106,33 @@ class Lines(HTMLParser):
         self.marks: list[int] = []  # article, main and h1 elements that no tag or attribute silences
         self.hard = 0
         self.articles = 0
+        self.links = 0
+        self.prose = 0
+        self.linked: list[str] = []
         self.text: list[str] = []
         self.tags = 0
         self.lines: list[tuple[str, int, int]] = []  # text, tags, element
+        self.is_prose: list[bool] = []  # a heading, or a paragraph that is not mostly links
+        self.is_link: list[bool] = []
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
+            link = 2 * len(" ".join("".join(self.linked).split())) > len(text)
             self.lines.append((text, self.tags, self.open[-1][1] if self.open else 0))
+            self.is_link.append(link)
+            self.is_prose.append(self.prose > 0 and (not link or any(t in HEADINGS for t, _, _ in self.open)))
             self.tags = 0
         self.text = []
+        self.linked = []
 
     def _pop(self) -> None:
         tag, number, mute = self.open.pop()
         self.muted -= mute
         self.hard -= mute and number not in self.named
         self.articles -= tag in ("article", "main")
+        self.links -= tag == "a"
+        self.prose -= tag in PROSE
 
     def _end(self, tags: str, stop: frozenset) -> None:
         wanted = tags.split()
@@ -168,6 +181,8 @@ class Lines(HTMLParser):
         self.muted += mute
         self.hard += hard
         self.articles += tag in ("article", "main")
+        self.links += tag == "a"
+        self.prose += tag in PROSE
         if not self.hard and tag in ("article", "main", "h1"):
             self.marks.append(self.number)
 
@@ -199,6 +214,8 @@ class Lines(HTMLParser):
             self.held[at] = self.held.get(at, 0) + len(data.strip())
         if not self.muted:
             self.text.append(data)
+            if self.links:
+                self.linked.append(data)
 
     def finish(self) -> None:
         self.close()
@@ -249,12 +266,13 @@ def way_back(page: Lines) -> frozenset[int]:
     return frozenset(page.named if not titled and 10 * left < total else released)
 
 
-def main_text(html: str, sigma: float = 1.0, share: float = 0.9) -> str:
+def main_text(html: str, sigma: float = 1.0, share: float = 1.0) -> str:
     """Blocks of the content region in page order, joined by two line ends; empty if there is none.
 
     ``sigma`` is the width of the smoothing in lines; lines whose smoothed ratio exceeds the standard
-    deviation of all ratios are content.  The region is the innermost article, main, section, div, cell or body
-    that holds ``share`` of the characters of those lines.
+    deviation of all ratios are content, and so are headings and paragraphs; lines of links are not.  The region is
+    the innermost article, main, section, div, cell or body that holds ``share`` of the characters of those lines.
+    Containers of nothing but links at its two ends are menus and left out, unless it is an article.
     """
     page = Lines()
     page.feed(html)
@@ -269,7 +287,8 @@ def main_text(html: str, sigma: float = 1.0, share: float = 0.9) -> str:
     sizes = np.array([len(text) for text, _, _ in page.lines], float)
     ratio = sizes / np.array([max(1, tags) for _, tags, _ in page.lines])
     smooth = smoothed(ratio, sigma)
-    content = smooth >= np.std(smooth)
+    link = np.array(page.is_link)
+    content = ((smooth >= np.std(smooth)) & ~link) | np.array(page.is_prose)
     if not content.any():
         content[:] = True
     # characters of the content cluster inside every element
@@ -285,22 +304,31 @@ def main_text(html: str, sigma: float = 1.0, share: float = 0.9) -> str:
         if page.tag_of[element] in REGION and held[element] >= share * held[0]:
             region = element
     # an article or main around the region is the whole article
-    above = region
+    above, article = region, False
     while above:
         if page.tag_of[above] in ("article", "main"):
-            region = above
+            region, article = above, True
         above = page.parent[above]
-    inside = [False] * len(page.parent)
-    inside[region] = True
-    for element in range(region + 1, len(inside)):
-        inside[element] = inside[page.parent[element]]
-    return "\n\n".join(text for text, _, element in page.lines if inside[element])
+    # the child of the region that an element lies in
+    part = [-1] * len(page.parent)
+    part[region] = region
+    for element in range(region + 1, len(part)):
+        around = part[page.parent[element]]
+        part[element] = element if around == region else around
+    lines = [(text, part[e], is_link) for (text, _, e), is_link in zip(page.lines, page.is_link, strict=True) if part[e] >= 0]
+    if not article:
+        menus = {p for _, p, _ in lines if p != region and not held[p]} - {p for _, p, is_link in lines if not is_link}
+        while lines and lines[0][1] in menus:
+            del lines[0]
+        while lines and lines[-1][1] in menus:
+            lines.pop()
+    return "\n\n".join(text for text, _, _ in lines)
 
 
 RESULT = "page_id long, url string, text string, n_chars long"
 
 
-def extract_text(pages: DataFrame, sigma: float = 1.0, share: float = 0.9) -> DataFrame:
+def extract_text(pages: DataFrame, sigma: float = 1.0, share: float = 1.0) -> DataFrame:
     """(page_id, url, text, n_chars) of every page.  A null or empty html gives the empty text; repeated rows are
     extracted each; other columns are not read.  No shuffle; a task holds one page and a batch of texts.
     """

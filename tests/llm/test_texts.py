@@ -255,6 +255,23 @@ def test_a_head_ends_where_the_body_begins():
     assert main_text("<head><template><div>no</div></template></head><body>Some text") == "Some text"
 
 
+def test_sections_beside_each_other_without_an_article():
+    text = "A sentence of the article that has quite a few words in it. " * 8
+    links = "<div class=links>" + "<div><a href=/>Link</a></div>" * 20 + "</div>"
+    intro = "<div class=intro><h1>Title</h1><p>Lead</p></div>"
+    end = "<div class=end><h2>Last part</h2><p>Few words.</p></div>"
+    whole = ["Title", "Lead", text.strip(), "Last part", "Few words."]
+    assert main_text(f"<div id=wrap>{intro}<div class=text>{text}</div></div>") == "\n\n".join(whole[:3])
+    for before, after in (("", ""), (links, ""), ("", links), (links, links)):
+        page = f"<body>{before}{intro}<div class=text><p>{text}</p></div>{end}{after}</body>"
+        assert main_text(page).split("\n\n") == whole
+        page = f"<body>{before}<div id=wrap>{intro}<div class=text><p>{text}</p></div>{end}</div>{after}</body>"
+        assert main_text(page).split("\n\n") == whole
+    part = "A sentence of a table of words. " * 5
+    page = f"<div><div>{text * 4}</div><div>{part}</div><ul><li><a href=/>A source of it</a></ul><div>{text}</div></div>"
+    assert main_text(page).split("\n\n") == [(text * 4).strip(), part.strip(), "A source of it", text.strip()]
+
+
 def test_every_page_has_a_row(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "u", ""), (3, "u", "<p>" + "x " * 100_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
