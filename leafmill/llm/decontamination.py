@@ -3,15 +3,18 @@
 Numbers, names and units become typed placeholders; what stays is the template of a text.  Windows of template
 tokens are hashed, and windows of documents are joined to those of the benchmark by hash.  Windows of one
 alignment must fill the slots consistently: one benchmark value stands for one value of the document and the
-other way round.  So verbatim copies are found, and questions with other names and numbers too.
+other way round.  So questions with other names and numbers are found.
+Verbatim copies are found by windows of the words and numbers themselves, whatever they consist of.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +81,13 @@ def templates(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     number word; a unit is a known unit right after a number; a name is a word with a capital letter, not all capitals,
     that does not begin a sentence.  Neighbouring names are one name.
     """
+    owner, value, slot, _ = words(texts)
+    stream = template(owner, value, slot)
+    return stream.owner, stream.token, stream.slot, stream.value
+
+
+def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, value, slot, opening) of all words and numbers; ``opening``: a name but for beginning a sentence."""
     pairs = [_lowered(t) for t in texts]
     raw = np.frombuffer(b"\n".join(a for a, _ in pairs) + b"\n", np.uint8)
     low = np.frombuffer(b"\n".join(b for _, b in pairs) + b"\n", np.uint8)
@@ -95,7 +105,7 @@ def templates(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     at = np.flatnonzero(kind <= DIGIT)
     if not len(at):
         none = np.empty(0, U64)
-        return np.empty(0, np.int64), none, np.empty(0, np.uint8), none
+        return np.empty(0, np.int64), none, np.empty(0, np.uint8), np.empty(0, bool)
     heads = np.flatnonzero(begin[at])
     starts = at[heads]
     sizes = np.diff(np.concatenate((heads, [len(at)])))
@@ -113,103 +123,170 @@ def templates(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     stops = np.concatenate(([0], np.cumsum(kind == STOP)))
     last = np.concatenate(([0], starts[:-1] + sizes[:-1]))
     opens = (stops[starts] - stops[last] > 0) | np.concatenate(([True], owner[1:] != owner[:-1]))
-    name = capital & (capitals == 1) & ~opens & ~number & ~unit & (sizes > 1)
-    slot = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, 0))).astype(np.uint8)
+    named = capital & (capitals == 1) & ~number & ~unit & (sizes > 1)
+    slot = np.where(number, NUMBER, np.where(unit, UNIT, np.where(named & ~opens, NAME, 0))).astype(np.uint8)
+    return owner, value, slot, named & opens
+
+
+class Stream(NamedTuple):
+    """Tokens of texts in order: ``begin`` and ``end`` count words, ``opening`` marks names that open a sentence."""
+
+    owner: np.ndarray
+    token: np.ndarray
+    slot: np.ndarray
+    value: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    opening: np.ndarray
+
+
+def template(owner: np.ndarray, value: np.ndarray, slot: np.ndarray, opening: np.ndarray | None = None) -> Stream:
+    """The template tokens; with ``opening``, these words are names too."""
+    count = len(owner)
+    marks = np.zeros(count, bool) if opening is None else opening
+    slot = np.where(marks, NAME, slot).astype(np.uint8)
+    begin = np.arange(count)
     # neighbouring names are one
-    again = np.concatenate(([False], (slot[1:] == NAME) & (slot[:-1] == NAME) & (owner[1:] == owner[:-1])))
+    again = np.concatenate(([False], (slot[1:] == NAME) & (slot[:-1] == NAME) & (owner[1:] == owner[:-1]) & ~marks[1:])) if count else marks
     if again.any():
-        group = np.flatnonzero(~again)
-        value = np.add.reduceat(value, group)
-        owner, slot = owner[group], slot[group]
+        begin = np.flatnonzero(~again)
+        value = np.add.reduceat(value, begin)
+        owner, slot, marks = owner[begin], slot[begin], marks[begin]
     token = np.where(slot == 0, value, MARKS[slot])
-    return owner, token, slot, value
+    return Stream(owner, token, slot, value, begin, np.concatenate((begin[1:], [count])), marks)
 
 
-def windows(owner, token, slot, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of every run of ``size`` tokens inside one text with at least ``literals`` literals."""
-    n = len(token) - size + 1
+TEMPLATE, EXACT = 0, 1
+
+
+def streams(texts: list[str]) -> tuple[list[Stream], np.ndarray]:
+    """The template and the words themselves; and the first word of every text."""
+    owner, value, slot, _ = words(texts)
+    place = np.arange(len(owner))
+    exact = Stream(owner, value, np.zeros(len(owner), np.uint8), value, place, place + 1, np.zeros(len(owner), bool))
+    first = np.searchsorted(owner, np.arange(len(texts) + 1))
+    return [template(owner, value, slot), exact], first
+
+
+def windows(stream: Stream, kind: int, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of every run of ``size`` tokens inside one text with at least ``literals`` literals.
+
+    Exact windows need no literals.
+    """
+    n = len(stream.token) - size + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, U64)
     total = np.zeros(n, U64)
     for k in range(size):
-        total += token[k : k + n] * (mix(np.array([k + 1], U64))[0] | U64(1))
-    plain = np.concatenate(([0], np.cumsum(slot == 0)))
-    fits = (owner[:n] == owner[size - 1 :]) & (plain[size:] - plain[:-size] >= literals)
+        total += stream.token[k : k + n] * (mix(np.array([k + 1], U64))[0] | U64(1))
+    fits = stream.owner[:n] == stream.owner[size - 1 :]
+    if kind != EXACT:
+        plain = np.concatenate(([0], np.cumsum(stream.slot == 0)))
+        plain = plain[size:] - plain[:-size]
+        opening = np.concatenate(([0], np.cumsum(stream.opening)))
+        fits &= plain + np.minimum(opening[size:] - opening[:-size], 1) >= literals
     at = np.flatnonzero(fits)
-    return at, mix(total[at] + U64(size))
+    hashes = mix(total[at] + U64(size))
+    return at, mix(hashes) if kind == EXACT else hashes
 
 
 # -- Spark --
 
-ITEM_WINDOWS = "item_id long, item_tokens int, item_pos int, size int, window long, slots array<long>, kinds array<tinyint>"
+ITEM_WINDOWS = (
+    "item_id long, item_tokens int, stream tinyint, item_pos int, low int, high int, size int, window long, "
+    "places array<int>, kinds array<tinyint>, slots array<long>"
+)
+ITEM_SCHEMA = pa.schema(
+    [
+        ("item_id", pa.int64()),
+        ("item_tokens", pa.int32()),
+        ("stream", pa.int8()),
+        ("item_pos", pa.int32()),
+        ("low", pa.int32()),
+        ("high", pa.int32()),
+        ("size", pa.int32()),
+        ("window", pa.int64()),
+        ("places", pa.list_(pa.int32())),
+        ("kinds", pa.list_(pa.int8())),
+        ("slots", pa.list_(pa.int64())),
+    ]
+)
 
 
 def item_windows(benchmark: DataFrame, size: int, literals: int) -> DataFrame:
-    """Windows of every benchmark item; an item of fewer tokens than a window is one window of its own length,
-    if it has the literals.  Null and empty items have none."""
+    """Windows of every benchmark item in its two streams; an item of fewer tokens than a window is one window of
+    its own length.  Words ``low`` to ``high`` lie under a window.  Null and empty items have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1_000_000):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             items = batch.column("item_id").to_pylist()
-            owner, token, slot, value = templates(texts)
-            tokens = np.bincount(owner, minlength=len(texts))
-            first = np.concatenate(([0], np.cumsum(tokens)))
+            kinds, first = streams(texts)
             rows = []
-            for length in sorted({min(size, int(n)) for n in tokens if n >= literals}):
-                at, hashes = windows(owner, token, slot, length, literals)
-                for i, h in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True):
-                    d = int(owner[i])
-                    if length == min(size, tokens[d]):
-                        rows.append(_window_row(i, length, h, slot, value) | {"item_id": items[d], "item_tokens": int(tokens[d]), "item_pos": i - int(first[d])})
+            for kind, stream in enumerate(kinds):
+                tokens = np.bincount(stream.owner, minlength=len(texts))
+                starts = np.concatenate(([0], np.cumsum(tokens)))
+                for length in sorted({min(size, int(n)) for n in tokens if n}):
+                    at, hashes = windows(stream, kind, length, literals)
+                    for i, h in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True):
+                        d = int(stream.owner[i])
+                        if length != min(size, tokens[d]):
+                            continue
+                        filled = np.flatnonzero(stream.slot[i : i + length]) + i
+                        rows.append({
+                            "item_id": items[d], "item_tokens": int(first[d + 1] - first[d]), "stream": kind, "item_pos": i - int(starts[d]),
+                            "low": int(stream.begin[i] - first[d]), "high": int(stream.end[i + length - 1] - first[d]), "size": length, "window": h,
+                            "places": (filled - starts[d]).tolist(), "kinds": stream.slot[filled].tolist(), "slots": stream.value[filled].view(np.int64).tolist(),
+                        })
             yield pa.RecordBatch.from_pylist(rows, schema=ITEM_SCHEMA)
 
     return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, ITEM_WINDOWS)
 
 
-def _window_row(i: int, length: int, h: int, slot: np.ndarray, value: np.ndarray) -> dict:
-    filled = np.flatnonzero(slot[i : i + length]) + i
-    return {"size": length, "window": h, "slots": value[filled].view(np.int64).tolist(), "kinds": slot[filled].tolist()}
-
-
-ITEM_SCHEMA = pa.schema(
-    [
-        ("item_id", pa.int64()),
-        ("item_tokens", pa.int32()),
-        ("item_pos", pa.int32()),
-        ("size", pa.int32()),
-        ("window", pa.int64()),
-        ("slots", pa.list_(pa.int64())),
-        ("kinds", pa.list_(pa.int8())),
-    ]
+FOUND = "doc_id long, doc_stream tinyint, doc_pos int, window long, doc_slots array<long>"
+FOUND_SCHEMA = pa.schema(
+    [("doc_id", pa.int64()), ("doc_stream", pa.int8()), ("doc_pos", pa.int32()), ("window", pa.int64()), ("doc_slots", pa.list_(pa.int64()))]
 )
-FOUND = "doc_id long, doc_pos int, window long, doc_slots array<long>"
-FOUND_SCHEMA = pa.schema([("doc_id", pa.int64()), ("doc_pos", pa.int32()), ("window", pa.int64()), ("doc_slots", pa.list_(pa.int64()))])
 
 
-def document_windows(docs: DataFrame, known: np.ndarray, lengths: list[int], literals: int) -> DataFrame:
-    """Windows of whole documents whose hash is one of the sorted ``known`` ones."""
+def document_windows(docs: DataFrame, known: np.ndarray, lengths: dict[bool, list[int]], literals: int) -> DataFrame:
+    """Windows of whole documents whose hash is one of the sorted ``known`` ones; ``lengths`` of exact and other windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 800_000):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids = batch.column("doc_id").to_pylist()
-            owner, token, slot, value = templates(texts)
-            first = np.searchsorted(owner, np.arange(len(texts)))
             rows = []
-            for length in lengths:
-                at, hashes = windows(owner, token, slot, length, literals)
-                met = _member(hashes, known)
-                for i, h in zip(at[met].tolist(), hashes[met].view(np.int64).tolist(), strict=True):
-                    d = int(owner[i])
-                    row = _window_row(i, length, h, slot, value)
-                    rows.append({"doc_id": ids[d], "doc_pos": i - int(first[d]), "window": h, "doc_slots": row["slots"]})
+            for kind, stream in enumerate(streams(texts)[0]):
+                first = np.searchsorted(stream.owner, np.arange(len(texts)))
+                for length in lengths[kind == EXACT]:
+                    at, hashes = windows(stream, kind, length, literals)
+                    met = _member(hashes, known)
+                    for i, h in zip(at[met].tolist(), hashes[met].view(np.int64).tolist(), strict=True):
+                        d = int(stream.owner[i])
+                        filled = np.flatnonzero(stream.slot[i : i + length]) + i
+                        rows.append({"doc_id": ids[d], "doc_stream": kind, "doc_pos": i - int(first[d]), "window": h, "doc_slots": stream.value[filled].view(np.int64).tolist()})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=FOUND_SCHEMA)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FOUND)
 
 
+def agreement(filled: list[tuple[int, int, int, int]]) -> tuple[int, int]:
+    """How many different pairs of values fill the slots (place, kind, theirs, ours) of an alignment, and how many differ."""
+    pairs = {f[1:] for f in filled}
+    return len(pairs), sum(theirs != ours for _, theirs, ours in pairs)
+
+
+def consistent(filled: list[tuple[int, int, int, int]]) -> bool:
+    """Whether one value of the benchmark stands for one value of the document and the other way round."""
+    pairs = {f[1:] for f in filled}
+    return len({(k, theirs) for k, theirs, _ in pairs}) == len({(k, ours) for k, _, ours in pairs}) == len(pairs)
+
+
+JUDGED = "doc_id long, item_id long, stream int, item_tokens int, spans array<struct<low:int,high:int>>, windows long, slots long, changed long"
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -220,8 +297,9 @@ def decontaminate(
 ) -> DataFrame:
     """(doc_id, item_id, coverage, windows, slots, changed, kind) of every document that holds a benchmark item.
 
-    A pair is reported when consistent alignments cover ``coverage`` of the tokens of the item.  ``kind`` is ``copy`` if
-    every slot holds the benchmark's own value, else ``reparameterised``; ``changed`` counts the other values.
+    A pair is reported when exact windows and consistent alignments cover ``coverage`` of the words of the item.
+    ``kind`` is ``copy`` if the whole item is there word for word or every slot holds
+    the benchmark's own value, else ``reparameterised``; ``changed`` counts the other values.
 
     Documents are compared with at most ``block`` window hashes at once (8 bytes each, so the size of what is
     sent to the tasks is bounded); a larger benchmark goes in several blocks, each against all documents.  Only
@@ -230,10 +308,11 @@ def decontaminate(
     """
     spark = docs.sparkSession
     items = saved(item_windows(benchmark, size, literals).filter(F.col("item_id").isNotNull()), "items")
-    lengths = sorted(r[0] for r in items.select("size").distinct().collect())  # at most ``size`` values
+    sizes = items.select("stream", "size").distinct().collect()  # at most ``size`` values a stream
+    lengths = {exact: sorted({r["size"] for r in sizes if (r["stream"] == EXACT) == exact}) for exact in (False, True)}
     blocks = items.select("window").distinct().count() // block + 1
     found = None
-    for k in range(blocks if lengths else 0):
+    for k in range(blocks if sizes else 0):
         part = items.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k).select("window").distinct()
         known = np.sort(np.array([r[0] for r in part.collect()], np.int64).view(U64))
         here = document_windows(docs, known, lengths, literals)
@@ -243,39 +322,51 @@ def decontaminate(
     aligned = (
         found.distinct()
         .join(items, "window")
-        .select("doc_id", "item_id", (F.col("doc_pos") - F.col("item_pos")).alias("shift"), "item_tokens", "item_pos", "size",
-                F.arrays_zip("kinds", F.col("slots").alias("theirs"), F.col("doc_slots").alias("ours")).alias("filled"))
+        .select("doc_id", "item_id", (F.col("doc_stream") * 3 + F.col("stream")).cast("int").alias("stream"),
+                (F.col("doc_pos") - F.col("item_pos")).alias("shift"), "item_tokens", F.struct("low", "high").alias("span"),
+                F.arrays_zip("places", "kinds", F.col("slots").alias("theirs"), F.col("doc_slots").alias("ours")).alias("filled"))
     )
     # an alignment has each place of the item once: its lists are bounded by the length of the item
-    alignments = (
-        aligned.groupBy("doc_id", "item_id", "shift", "item_tokens")
-        .agg(
-            F.collect_set(F.struct("item_pos", "size")).alias("places"),
-            F.array_distinct(F.flatten(F.collect_list("filled"))).alias("filled"),
-        )
-        .select(
-            "doc_id", "item_id", "item_tokens", "places",
-            F.size("filled").alias("slots"),
-            F.size(F.filter("filled", lambda s: s["theirs"] != s["ours"])).alias("changed"),
-            (
-                (F.size(F.array_distinct(F.transform("filled", lambda s: F.struct(s["kinds"], s["theirs"])))) == F.size("filled"))
-                & (F.size(F.array_distinct(F.transform("filled", lambda s: F.struct(s["kinds"], s["ours"])))) == F.size("filled"))
-            ).alias("consistent"),
-        )
-        .filter("consistent")
+    alignments = aligned.groupBy("doc_id", "item_id", "stream", "shift", "item_tokens").agg(
+        F.collect_set("span").alias("spans"), F.array_distinct(F.flatten(F.collect_list("filled"))).alias("filled")
     )
-    # tokens of the item under its windows
-    under = F.flatten(F.transform("places", lambda p: F.sequence(p["item_pos"], p["item_pos"] + p["size"] - 1)))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, counts = [], []
+            for k, filled in enumerate(batch.column("filled").to_pylist()):
+                values = [(f["places"], f["kinds"], f["theirs"], f["ours"]) for f in filled]
+                slots, changed = agreement(values)
+                if consistent(values):
+                    kept.append(k)
+                    counts.append((slots, changed))
+            rows = batch.take(pa.array(kept, pa.int64()))
+            spans = rows.column("spans")
+            columns = [rows.column(c) for c in ("doc_id", "item_id", "stream", "item_tokens")] + [spans, pc.list_value_length(spans).cast(pa.int64())]
+            columns += [pa.array([c[k] for c in counts], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "stream", "item_tokens", "spans", "windows", "slots", "changed"])
+
+    judged = alignments.select("doc_id", "item_id", "stream", "item_tokens", "spans", "filled").mapInArrow(judge, JUDGED)
+    # words of the item under its windows
+    under = F.flatten(F.transform("spans", lambda p: F.sequence(p["low"], p["high"] - 1)))
+    exact = F.col("stream") == EXACT * 3 + EXACT
+    whole = F.size("words") == F.col("item_tokens")
     return (
-        alignments.groupBy("doc_id", "item_id", "item_tokens")
+        judged.groupBy("doc_id", "item_id", "item_tokens", "stream")
+        .agg(
+            F.array_distinct(F.flatten(F.collect_list(F.array_distinct(under)))).alias("words"),
+            *[F.sum(c).alias(c) for c in ("windows", "slots", "changed")],
+        )
+        # the streams tell of the same words: the largest count of one is reported
+        .groupBy("doc_id", "item_id", "item_tokens")
         .agg(
-            F.size(F.array_distinct(F.flatten(F.collect_list(F.array_distinct(under))))).alias("covered"),
-            F.sum(F.size("places")).alias("windows"),
-            F.sum("slots").alias("slots"),
-            F.sum("changed").alias("changed"),
+            F.size(F.array_distinct(F.flatten(F.collect_list("words")))).alias("covered"),
+            *[F.max(c).alias(c) for c in ("windows", "slots", "changed")],
+            F.max(exact & whole).alias("copied"),
         )
         .withColumn("coverage", F.col("covered") / F.col("item_tokens"))
         .filter(F.col("coverage") >= coverage)
+        .withColumn("changed", F.when(F.col("copied"), F.lit(0).cast("long")).otherwise(F.col("changed")))
         .select("doc_id", "item_id", "coverage", "windows", "slots", "changed",
                 F.when(F.col("changed") == 0, "copy").otherwise("reparameterised").alias("kind"))
     )

@@ -149,6 +149,23 @@ def test_slots_must_be_filled_consistently(spark):
     assert decontaminate(df.filter("doc_id < 0"), benchmark).count() == 0
 
 
+def found_pairs(spark, docs, items):
+    df, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    return {(r.doc_id, r.item_id): r.kind for r in decontaminate(df, benchmark).collect()}
+
+
+def test_short_items_and_items_of_numbers_and_names_are_found(spark):
+    items = [
+        (1, "What is 12 + 7 * 3 - 4?"),
+        (2, "2 4 8 16 32 64 128 256 512 1024"),
+        (3, "Alice, Bob, Carol, Dave, Erin, Frank, Grace, Heidi, Ivan, Judy"),
+        (4, "Capital of Peru?"),
+    ]
+    docs = [(10 * i, f"some words stand in front of {t} and others follow it") for i, t in items]
+    docs += [(5, "What is 12 + 7 * 3 - 5?"), (6, "2 4 8 15 32 64 127 256 511 1024"), (7, "Alice met Bob and Carol"), (8, "Capital of Chile?")]
+    assert found_pairs(spark, docs, items) == {(10 * i, i): "copy" for i, _ in items}
+
+
 def test_template_tokens():
     owner, _, kind, _ = templates(["We met Tom Smith at 3,000 km. Tom ran two miles with Élise and ANNA", "", "x"])
     assert kind.tolist() == [0, 0, 2, 0, 1, 3, 0, 0, 1, 3, 0, 2, 0, 0, 0] and owner.tolist() == [0] * 14 + [2]
