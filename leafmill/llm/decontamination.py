@@ -2,13 +2,14 @@
 
 Numbers, names and units become typed placeholders; what stays is the template of a text.  Windows of template
 tokens are hashed, and windows of documents are joined to those of the benchmark by hash.  Windows of one
-alignment must fill the slots consistently: one benchmark value stands for one value of the document and the
-other way round.  So questions with other names and numbers are found.
+alignment must fill most slots consistently: one benchmark value stands for one value of the document.  So
+questions with other names and numbers are found.  A second template takes words that open a sentence as names.
 Verbatim copies are found by windows of the words and numbers themselves, whatever they consist of.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -156,22 +157,22 @@ def template(owner: np.ndarray, value: np.ndarray, slot: np.ndarray, opening: np
     return Stream(owner, token, slot, value, begin, np.concatenate((begin[1:], [count])), marks)
 
 
-TEMPLATE, EXACT = 0, 1
+TEMPLATE, OPENING, EXACT = 0, 1, 2
 
 
 def streams(texts: list[str]) -> tuple[list[Stream], np.ndarray]:
-    """The template and the words themselves; and the first word of every text."""
-    owner, value, slot, _ = words(texts)
+    """The template, the template with opening names, and the words themselves; and the first word of every text."""
+    owner, value, slot, opening = words(texts)
     place = np.arange(len(owner))
     exact = Stream(owner, value, np.zeros(len(owner), np.uint8), value, place, place + 1, np.zeros(len(owner), bool))
     first = np.searchsorted(owner, np.arange(len(texts) + 1))
-    return [template(owner, value, slot), exact], first
+    return [template(owner, value, slot), template(owner, value, slot, opening), exact], first
 
 
 def windows(stream: Stream, kind: int, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
     """(position, hash) of every run of ``size`` tokens inside one text with at least ``literals`` literals.
 
-    Exact windows need no literals.
+    Names that open a sentence count as literals, but for one literal at most.  Exact windows need no literals.
     """
     n = len(stream.token) - size + 1
     if n <= 0:
@@ -214,7 +215,7 @@ ITEM_SCHEMA = pa.schema(
 
 
 def item_windows(benchmark: DataFrame, size: int, literals: int) -> DataFrame:
-    """Windows of every benchmark item in its two streams; an item of fewer tokens than a window is one window of
+    """Windows of every benchmark item in its three streams; an item of fewer tokens than a window is one window of
     its own length.  Words ``low`` to ``high`` lie under a window.  Null and empty items have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,16 +273,24 @@ def document_windows(docs: DataFrame, known: np.ndarray, lengths: dict[bool, lis
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FOUND)
 
 
-def agreement(filled: list[tuple[int, int, int, int]]) -> tuple[int, int]:
-    """How many different pairs of values fill the slots (place, kind, theirs, ours) of an alignment, and how many differ."""
-    pairs = {f[1:] for f in filled}
-    return len(pairs), sum(theirs != ours for _, theirs, ours in pairs)
+def agreement(filled: list[tuple[int, int, int, int]]) -> tuple[int, int, int, int, int]:
+    """(places, equal, off, slots, changed) of the slots (place, kind, theirs, ours) of an alignment.
+
+    A place is equal if it holds the benchmark's value, and off if it holds another value than the one that stands for
+    the benchmark's value most often.  ``slots`` and ``changed`` count different pairs of values.
+    """
+    places = {f[0]: tuple(f[1:]) for f in filled}
+    pairs = Counter(places.values())
+    most: dict[tuple[int, int], int] = {}
+    for (kind, theirs, ours), n in pairs.items():
+        most[kind, theirs] = max(most.get((kind, theirs), 0), n)
+    equal = sum(n for (_, theirs, ours), n in pairs.items() if theirs == ours)
+    return len(places), equal, len(places) - sum(most.values()), len(pairs), sum(theirs != ours for _, theirs, ours in pairs)
 
 
-def consistent(filled: list[tuple[int, int, int, int]]) -> bool:
-    """Whether one value of the benchmark stands for one value of the document and the other way round."""
-    pairs = {f[1:] for f in filled}
-    return len({(k, theirs) for k, theirs, _ in pairs}) == len({(k, ours) for k, _, ours in pairs}) == len(pairs)
+def consistent(places: int, equal: int, off: int, share: float) -> bool:
+    """Whether half of the places hold the benchmark's own values, or ``share`` of the others are filled by one rule."""
+    return 2 * equal >= places or places - equal - off >= share * (places - equal)
 
 
 JUDGED = "doc_id long, item_id long, stream int, item_tokens int, spans array<struct<low:int,high:int>>, windows long, slots long, changed long"
@@ -294,11 +303,13 @@ def decontaminate(
     literals: int = 5,
     coverage: float = 0.5,
     block: int = 2_000_000,
+    share: float = 0.8,
 ) -> DataFrame:
     """(doc_id, item_id, coverage, windows, slots, changed, kind) of every document that holds a benchmark item.
 
     A pair is reported when exact windows and consistent alignments cover ``coverage`` of the words of the item.
-    ``kind`` is ``copy`` if the whole item is there word for word or every slot holds
+    An alignment is consistent when half of its slots hold the benchmark's own values, or when in ``share`` of the others one
+    benchmark value stands for one value.  ``kind`` is ``copy`` if the whole item is there word for word or every slot holds
     the benchmark's own value, else ``reparameterised``; ``changed`` counts the other values.
 
     Documents are compared with at most ``block`` window hashes at once (8 bytes each, so the size of what is
@@ -335,9 +346,8 @@ def decontaminate(
         for batch in batches:
             kept, counts = [], []
             for k, filled in enumerate(batch.column("filled").to_pylist()):
-                values = [(f["places"], f["kinds"], f["theirs"], f["ours"]) for f in filled]
-                slots, changed = agreement(values)
-                if consistent(values):
+                places, equal, off, slots, changed = agreement([(f["places"], f["kinds"], f["theirs"], f["ours"]) for f in filled])
+                if consistent(places, equal, off, share):
                     kept.append(k)
                     counts.append((slots, changed))
             rows = batch.take(pa.array(kept, pa.int64()))

@@ -166,6 +166,22 @@ def test_short_items_and_items_of_numbers_and_names_are_found(spark):
     assert found_pairs(spark, docs, items) == {(10 * i, i): "copy" for i, _ in items}
 
 
+def test_templates_tolerate_a_coincidence(spark):
+    first = "a farmer sells 3 eggs and buys 4 hens before noon while his brother sells 6 ducks and keeps 9 geese"
+    second = "a box has 2 red balls and the bag has 2 blue balls so we count"
+    third = "Tom has 5 apples. Ann has 7 pears."
+    items = [(1, first), (2, second), (3, third)]
+    docs = [
+        (10, first.replace("3", "5").replace("4", "5").replace("6", "8").replace("9", "7")),
+        (20, second.replace("2 blue", "5 blue")),
+        (30, "Joe has 8 apples. Eve has 2 pears."),
+        (31, "Then Joe has 8 apples. Eve has 2 pears."),
+        (40, "Joe sees 8 apples. Eve has 2 dogs."),
+    ]
+    expected = {(10, 1): "reparameterised", (20, 2): "reparameterised", (30, 3): "reparameterised", (31, 3): "reparameterised"}
+    assert found_pairs(spark, docs, items) == expected
+
+
 def test_template_tokens():
     owner, _, kind, _ = templates(["We met Tom Smith at 3,000 km. Tom ran two miles with Élise and ANNA", "", "x"])
     assert kind.tolist() == [0, 0, 2, 0, 1, 3, 0, 0, 1, 3, 0, 2, 0, 0, 0] and owner.tolist() == [0] * 14 + [2]
