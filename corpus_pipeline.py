@@ -7,7 +7,7 @@ the session and reads it again, so lineage is cut and lost executors cost one st
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import saved, table
@@ -30,25 +30,40 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).filter("keep").drop("expected_grade", "tail_probability", "keep")
 
 
+def row_key() -> Column:
+    """A key of a row: hash of id and text, since ids may be null or repeat.  Only equal rows share it."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id.
+    """One document of each group of near copies: the one with the smallest doc_id, of these the smallest row key.
 
-    Rows without a doc_id stay unless they are copies of a document that has one.  If a doc_id repeats, the row with
-    the smallest text stays.
+    A row without a doc_id stays only if no row of its group has one.  Different documents with one doc_id are documents
+    of their own; rows of equal id and text are one.
     """
-    groups = ngram_join(docs)
-    low = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(low, "doc_id", "left_semi")
-    lone = groups.filter("doc_id IS NULL AND component_id IS NULL").limit(1).count()
-    kept = named.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row"))
-    kept = kept.select("doc_id", "row.*").select(*docs.columns)
-    return kept.unionByName(docs.filter("doc_id IS NULL")) if lone else kept
+    keyed = docs.withColumn("row_key_", row_key())
+    groups = ngram_join(keyed.select(F.col("row_key_").alias("doc_id"), "text")).select(
+        F.col("doc_id").alias("row_key_"), F.col("component_id").alias("group_")
+    )
+    ids = keyed.select("row_key_", "doc_id").distinct()
+    low = (
+        groups.distinct()
+        .join(ids, "row_key_")
+        .groupBy("group_")
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key_")).alias("first"))
+        .select("first.row_key_")
+    )
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    kept = keyed.join(low, "row_key_", "left_semi").groupBy("row_key_").agg(F.min(F.struct("doc_id", "text", *others)).alias("row"))
+    return kept.select("row.*").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("found")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("found")), "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item; each row is judged by its own text."""
+    keyed = docs.withColumn("row_key_", row_key())
+    texts = keyed.select(F.col("row_key_").alias("doc_id"), "text")
+    found = decontaminate(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row_key_")).distinct()
+    return keyed.join(found, "row_key_", "left_anti").select(*docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

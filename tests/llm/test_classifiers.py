@@ -144,6 +144,23 @@ def test_pipeline_stages_against_brute_force(spark):
     assert len(last) == kept.count() and all(r.lossless for r in last)
 
 
+def test_rows_of_null_or_repeated_ids_are_judged_alone(spark):
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r.text.split()) > 12)
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    texts = [" ".join(f"{word}{k}" for k in range(30)) for word in ("alpha", "beta", "gamma", "delta", "omega")]
+    rows = [(None, texts[0]), (None, "words " + item), (7, texts[1]), (7, texts[2]), (8, item)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], schema)
+    kept = corpus_pipeline.decontamination(spark, docs, SF).collect()
+    assert {(r.doc_id, r.text) for r in kept} == {(None, texts[0]), (7, texts[1]), (7, texts[2])}
+    rows = [(7, texts[1]), (7, texts[2]), (7, texts[2]), (None, texts[2]), (None, texts[3]), (None, texts[3] + " more"), (None, texts[0]), (9, texts[4]), (5, texts[4])]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], schema)
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()), key=str)
+    named = [r for r in kept if r[0] is not None]
+    assert named == sorted([(7, texts[1]), (7, texts[2]), (5, texts[4])], key=str)
+    nameless = [t for i, t in kept if i is None]
+    assert len(nameless) == 2 and texts[0] in nameless and {*nameless} & {texts[3], texts[3] + " more"}
+
+
 def test_stages_of_awkward_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
     extra = spark.createDataFrame(
