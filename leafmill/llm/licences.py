@@ -1,11 +1,13 @@
 """Operator 3: licence scan by canonical digest.
 
-Whole texts (a document, and each of its lines) are normalised and hashed; equal digests of known licence
-texts and notices are found by a hash join.  Everything is DataFrame functions; no text is shuffled.
+Whole texts (a document, each of its lines, and runs of its paragraphs) are normalised and hashed; equal digests of
+known licence texts and notices are found by a hash join.  Everything is DataFrame functions; no text is shuffled.
 """
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,7 +114,29 @@ KNOWN = [
     ),
 ]
 
-COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright\b|\(c\)|©)[^\n]*$"
+# a copyright line has a sign, a year or a place for one; without these it is a holder's line alone in its paragraph
+COPYRIGHT_LINE = (
+    r"(?m)^[ \t]*(?:copyright[ \t:,]*(?:\(c\)|©|[0-9]{4}|[<\[{]|(?-m:$))|\(c\)[ \t]*(?:copyright\b|[0-9]{4}|[<\[{])|©)[^\n]*$"
+    r"|(?-m:(?<=\A|\n[ \t]{0,80}\n)[ \t]*(?:copyright\b|\(c\))[^\n]*(?=\n[ \t]*\n|\s*\z))"
+)
+# a paragraph ends at an empty line, and before an item of a list
+PARAGRAPH_END = r"\r?\n[ \t\r]*\n|\n(?=[ \t]*(?:[0-9]{1,2}\.|[*•-]|\([a-z0-9]\))[ \t])"
+
+
+def full_texts() -> list[tuple[str, str, str]]:
+    """The shipped licence texts (license_id, kind, text), each also without its first paragraph if that is a title."""
+    texts = []
+    for file in sorted(files("leafmill.llm").joinpath("licence_texts").iterdir(), key=lambda f: f.name):
+        name = file.name.removesuffix(".txt")
+        for variant in (".bullets", ".regents"):
+            name = name.removesuffix(variant)
+        texts.append((name, "text", file.read_text()))
+    texts += [k for k in KNOWN if k[1] == "text"]
+    for name, kind, text in list(texts):
+        title, _, rest = text.partition("\n\n")
+        if len(title.split()) <= 20 and len(rest.split()) > 40:
+            texts.append((name, kind, rest))
+    return texts
 
 
 def canonical(text: Column) -> Column:
@@ -137,7 +161,7 @@ def known_licences(spark: SparkSession, texts: DataFrame | None = None) -> DataF
     A text that is empty once normalised is left out; one digest keeps its smallest identifier.
     """
     if texts is None:
-        texts = spark.createDataFrame(KNOWN, "license_id string, kind string, text string")
+        texts = spark.createDataFrame(KNOWN + full_texts(), "license_id string, kind string, text string")
     return (
         texts.filter(canonical(F.col("text")) != "")
         .groupBy(digest(F.col("text")).alias("digest"))
@@ -146,13 +170,66 @@ def known_licences(spark: SparkSession, texts: DataFrame | None = None) -> DataF
     )
 
 
-def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(doc_id, unit, line_no, license_id, kind, digest): each whole document or whole line that is a known text.
+def paragraphs(text: Column) -> Column:
+    """Digests of the paragraphs that are not empty once normalised, and whether each is one line."""
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    parts = F.transform(
+        F.split(text, PARAGRAPH_END),
+        lambda p: F.struct(digest(p).alias("digest"), (~F.contains(F.trim(p), F.lit("\n"))).alias("one_line")),
+    )
+    return F.filter(parts, lambda p: p["digest"] != empty)
+
+
+def license_blocks(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Known texts (license_id, kind, text) that are runs of paragraphs inside a longer document.
+
+    The rows are those of ``license_scan`` with unit ``block`` and no line_no; ``digest`` is that of the known text.  Only
+    paragraphs that are known ones are shuffled.
+    """
+    if texts is None:
+        texts = docs.sparkSession.createDataFrame(KNOWN + full_texts(), "license_id string, kind string, text string")
+    known = (
+        texts.select("license_id", "kind", digest(F.col("text")).alias("whole"), paragraphs(F.col("text")).alias("parts"))
+        .filter(F.size("parts") > 0)
+        .groupBy("whole", "parts")
+        .agg(F.min(F.struct("license_id", "kind")).alias("first"))
+        .select("first.license_id", "first.kind", "whole", F.size("parts").alias("count"), F.hash("parts").alias("key"), F.posexplode("parts").alias("place", "part"))
+        .select("license_id", "kind", "whole", "count", "key", "place", F.col("part.digest").alias("digest"))
+    )
+    # a number of each row, since ids may repeat
+    met = (
+        docs.filter(F.col("text").isNotNull())
+        .select("doc_id", F.monotonically_increasing_id().alias("row"), paragraphs(F.col("text")).alias("parts"))
+        .select("doc_id", "row", F.size("parts").alias("total"), F.posexplode("parts").alias("at", "part"))
+        .select("doc_id", "row", "total", "at", F.col("part.one_line").alias("one_line"), F.col("part.digest").alias("digest"))
+        .join(known, "digest")
+    )
+    runs = (
+        met.groupBy("doc_id", "row", "total", "license_id", "kind", "whole", "key", "count", (F.col("at") - F.col("place")).alias("start"))
+        .agg(F.count_distinct("place").alias("n"), F.min("one_line").alias("one_line"))
+        .filter("n = count AND NOT (count = 1 AND one_line)")
+    )
+    # of a text with and without its title the longer one is reported; whole documents and lines are units of their own
+    return (
+        runs.groupBy("doc_id", "row", "total", "license_id", (F.col("start") + F.col("count")).alias("end"))
+        .agg(F.max(F.struct("count", "kind", "whole")).alias("best"))
+        .filter("best.count < total")
+        .select("doc_id", F.lit("block").alias("unit"), F.lit(None).cast("int").alias("line_no"), "license_id", "best.kind", F.col("best.whole").alias("digest"))
+    )
+
+
+def license_scan(docs: DataFrame, known: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, unit, line_no, license_id, kind, digest): each whole document, whole line or run of paragraphs that is a
+    known text.
 
-    ``unit`` is ``document`` (line_no null) or ``line`` (counted from 1).  Null and empty texts match nothing; a
-    document of one line is matched as both; repeated rows are reported each.  Lines are split inside the
-    row; only digests meet the known ones, so the join carries no text.
+    ``unit`` is ``document`` (line_no null), ``line`` (counted from 1) or ``block`` (see ``license_blocks``).  Null and empty
+    texts match nothing; a document of one line is matched as both; repeated rows are reported each.  Lines are split
+    inside the row; only digests meet the known ones, so the join carries no text.  Pass ``texts`` for other texts than the
+    built-in ones; a table ``known`` of digests alone has no paragraphs, so blocks of it need ``texts``.
     """
+    if known is None and texts is not None:
+        known = known_licences(docs.sparkSession, texts)
+    blocks = license_blocks(docs, texts) if known is None or texts is not None else None
     known = known_licences(docs.sparkSession) if known is None else known
     lines = F.transform(
         F.split("text", "\n"),
@@ -164,7 +241,8 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
         .select("doc_id", F.explode(F.concat(whole, lines)).alias("u"))
         .select("doc_id", "u.unit", "u.line_no", digest(F.col("u.body")).alias("digest"))
     )
-    return units.join(known, "digest").select("doc_id", "unit", "line_no", "license_id", "kind", "digest")
+    found = units.join(known, "digest").select("doc_id", "unit", "line_no", "license_id", "kind", "digest")
+    return found if blocks is None else found.unionByName(blocks)
 
 
 def license_sql() -> str:

@@ -207,6 +207,27 @@ def test_licences_equal_their_sql(spark):
     assert not {i for i, _, _ in found} & {3, 4, 5, 7}
 
 
+def test_full_texts_are_found_whole_and_inside_documents(spark):
+    import textwrap
+
+    from leafmill.llm.licences import full_texts
+
+    full = full_texts()
+    assert {i for i, _, _ in full} >= {"BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Apache-2.0", "CC0-1.0"}
+    bodies = {i: t for i, _, t in reversed(full)}
+    mit = [t for i, k, t in KNOWN if (i, k) == ("MIT", "text")][0]
+    wrapped = {n: "\n\n".join(textwrap.fill(p, n) for p in mit.split("\n\n")) for n in range(40, 90)}
+    rows = [(k, bodies[i]) for k, i in enumerate(sorted(bodies))]
+    rows += [(100 + k, f"Some words before.\n\n{bodies[i]}\n\nand some after.") for k, i in enumerate(sorted(bodies))]
+    rows += [(200 + n, t) for n, t in wrapped.items()]
+    rows += [(300, "Copyright The Holder\n\n" + bodies["BSD-2-Clause"]), (301, bodies["GPL-3.0"][:20_000])]
+    found = {(r.doc_id, r.unit, r.license_id) for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, i in enumerate(sorted(bodies)):
+        assert (k, "document", i) in found and (100 + k, "block", i) in found, i
+    assert {d for d, unit, i in found if unit == "document" and i == "MIT" and d >= 200} == {200 + n for n in wrapped}
+    assert (300, "document", "BSD-2-Clause") in found and not any(d == 301 for d, _, _ in found)
+
+
 # -- operator 4 --
 
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1><nav><a href=/>Home</a></nav></header>
