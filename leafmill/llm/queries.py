@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and their check SQL where SQL can express one."""
+"""The registered queries of the training-data operators, and their check SQL where SQL can express one."""
 
 from __future__ import annotations
 
@@ -12,9 +12,12 @@ from leafmill.llm.common import held_out, table
 from leafmill.llm.decontamination import decontaminate
 from leafmill.llm.fingerprints import fingerprints
 from leafmill.llm.html_text import extract_text
+from leafmill.llm.language_id import identify, learn_profiles
 from leafmill.llm.licences import license_scan, license_sql
+from leafmill.llm.merkle import merkle_report, merkle_sql
 from leafmill.llm.ngram_join import ngram_join
 from leafmill.llm.pieces import encode_pieces
+from leafmill.llm.prefix_trie import prefix_trie, trie_sql
 from leafmill.llm.quality import learn_quality, score_quality
 from leafmill.llm.token_counts import token_counts
 from leafmill.llm.toxicity import learn_scorer, score_toxicity
@@ -96,6 +99,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, learn_profiles(docs))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle leaf, proof and tampering test of every document."""
+    return merkle_report(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations."""
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def configured(query):
     """The query on a session with the library's settings: the same before every query."""
 
@@ -119,6 +139,9 @@ QUERIES = {
         op8_fingerprints,
         op9_quality,
         op10_warc,
+        op11_language_id,
+        op12_merkle_manifest,
+        op13_prefix_trie,
     )
 }
 
@@ -134,4 +157,9 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM p LEFT JOIN f USING (payload_digest)
 """
 
-CHECKS = {"op3_licenses": license_sql(), "op10_warc": WARC_SQL}
+CHECKS = {
+    "op3_licenses": license_sql(),
+    "op10_warc": WARC_SQL,
+    "op12_merkle_manifest": merkle_sql(),
+    "op13_prefix_trie": trie_sql(),
+}
