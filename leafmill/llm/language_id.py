@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import U64, held_out, mix, slices, texts_of
+from leafmill.llm.common import MIX_1, MIX_2, U64, held_out, slices, texts_of
 
 SIZES = (1, 2, 3, 4, 5)
 #: N-grams of a profile, and of a document, that are ranked; also the distance of one that a profile lacks.
@@ -53,30 +53,44 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_counts(codes: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys (number of the text, hash of the n-gram) and how often each occurs; ``STEP`` places at a time."""
+    """Sorted keys (number of the text, hash of the n-gram) and how often each occurs; ``STEP`` places at a time.
+
+    The hash of an n-gram goes on from that of its beginning, so each size costs one step.
+    """
     found = []
-    gaps = np.concatenate(([0], np.cumsum(codes == 0)))
-    mask = U64((1 << BITS) - 1)
-    for start in range(0, len(codes), STEP):
+    gap = codes == 0
+    wide = codes.astype(U64)
+    # an n-gram that begins with a gap belongs to the text of its first letter
+    owner = np.where(gap[:-1], numbers[1:], numbers[:-1]).astype(U64) << U64(BITS)
+    for start in range(0, len(codes) - 1, STEP):
+        at = np.arange(start, min(start + STEP, len(codes) - 1), dtype=np.int32)
+        value = np.zeros(len(at), U64)
         keys = []
         for size in SIZES:
-            at = np.arange(start, min(start + STEP, len(codes) - size + 1))
-            if not len(at):
-                continue
+            here = at + np.int32(size - 1)
+            inside = here < len(codes)
+            if not inside.all():
+                at, value, here = at[inside], value[inside], here[inside]
+            value = blended(value, wide[here])
             if size == 1:
-                at = at[codes[at] != 0]
-            else:
-                at = at[gaps[at + size - 1] == gaps[at + 1]]  # no gap but at the ends
-            value = np.full(len(at), size, U64)
-            for k in range(size):
-                value = mix(value ^ codes[at + k].astype(U64))
-            text = numbers[np.where(codes[at] == 0, at + 1, at)]
-            keys.append((text.astype(U64) << U64(BITS)) | (value & mask))
-        if keys:
-            found.append(np.unique(np.concatenate(keys), return_counts=True))
+                keep = ~gap[at]
+                keys.append(owner[at[keep]] | (value[keep] >> U64(64 - BITS)))
+                continue
+            keys.append(owner[at] | (value >> U64(64 - BITS)))
+            on = ~gap[here]  # what goes on has no gap inside
+            at, value = at[on], value[on]
+        found.append(np.unique(np.concatenate(keys), return_counts=True))
     return merged(found)
 
 
+def blended(value: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The hash of an n-gram and one more character; the upper bits are the best ones."""
+    value = (value ^ code) * MIX_1
+    value ^= value >> U64(32)
+    value *= MIX_2
+    return value
+
+
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all parts, sorted, with the sums of their counts."""
     if len(parts) == 1:
@@ -153,12 +167,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text", STEP):
         langs = [names.setdefault(name, len(names)) for name in batch.column("lang").to_pylist()]
         codes, numbers = words_of(texts_of(batch))
-        parts = [merged([*parts, gram_counts(codes, np.array(langs, np.int64)[numbers])])]
+        parts.append(gram_counts(codes, np.array(langs, np.int64)[numbers]))
+        if sum(len(k) for k, _ in parts) > 2 * HELD:
+            parts = [merged(parts)]
         if len(parts[0][0]) > HELD or len(names) > 50_000:
             yield out()
             parts = []
             names.clear()
-    if parts and len(parts[0][0]):
+    if parts:
         yield out()
 
 

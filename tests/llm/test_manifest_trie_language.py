@@ -217,10 +217,10 @@ def plain_grams(text):
 
 
 def hashed(gram):
-    value = np.full(1, len(gram), np.uint64)
+    value = np.zeros(1, np.uint64)
     for c in gram:
-        value = L.mix(value ^ np.uint64(0 if c == " " else ord(c)))
-    return int(value[0] & np.uint64((1 << L.BITS) - 1))
+        value = L.blended(value, np.full(1, 0 if c == " " else ord(c), np.uint64))
+    return int(value[0] >> np.uint64(64 - L.BITS))
 
 
 def top(counts):
