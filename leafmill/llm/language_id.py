@@ -64,7 +64,7 @@ def gram_counts(codes: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.
     owner = np.where(gap[:-1], numbers[1:], numbers[:-1]).astype(U64) << U64(BITS)
     for start in range(0, len(codes) - 1, STEP):
         at = np.arange(start, min(start + STEP, len(codes) - 1), dtype=np.int32)
-        value = np.zeros(len(at), U64)
+        value = np.ones(len(at), U64)
         keys = []
         for size in SIZES:
             here = at + np.int32(size - 1)

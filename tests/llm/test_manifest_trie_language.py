@@ -217,7 +217,7 @@ def plain_grams(text):
 
 
 def hashed(gram):
-    value = np.zeros(1, np.uint64)
+    value = np.ones(1, np.uint64)
     for c in gram:
         value = L.blended(value, np.full(1, 0 if c == " " else ord(c), np.uint64))
     return int(value[0] >> np.uint64(64 - L.BITS))
