@@ -15,7 +15,7 @@ j AS (SELECT l.user_id, l.lookup_id, l.ms, l.package, l.sig, t.ms AS tms, t.pack
 GOOD = "tp = package AND ts = sig AND ms - tms <= 21600000"
 PLAIN_BLOCKS = f"""{blocks_of('documents')}, nb AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, pos, type, text AS raw, {D.collapse("translate(text, chr(160), ' ')")} AS text FROM blocks)"""
 
-SESSIONS = f"""WITH RECURSIVE {EV}, q AS (SELECT user_id, k % 3 AS fresh, k * 2 AS size, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM ev),
+SESSIONS = f"""WITH RECURSIVE {EV}, q AS (SELECT user_id, k % 3 AS fresh, k * 2 AS size, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM ev),
 w AS (SELECT DISTINCT user_id, 0::bigint AS n, 0::bigint AS session, 0::bigint AS steps, 0::bigint AS stalled, 0::bigint AS blocks, 0::bigint AS chars, false AS closed FROM q
   UNION ALL SELECT user_id, n, session, steps, stalled, blocks, chars, steps >= 10 OR stalled >= 2 FROM (
     SELECT q.user_id, q.n, w.session + w.closed::int AS session, CASE WHEN w.closed THEN 1 ELSE w.steps + 1 END AS steps, CASE WHEN q.fresh > 0 THEN 0 WHEN w.closed THEN 1 ELSE w.stalled + 1 END AS stalled,
@@ -27,9 +27,12 @@ FRAGMENTS = """WITH RECURSIVE f AS (SELECT conv_id || ':' || turn AS response_id
 w AS (SELECT response_id, ps, 0 AS n, '' AS t FROM f UNION ALL SELECT response_id, ps, n + 1, CASE WHEN trim(ps[n + 1]) = '' THEN t WHEN trim(t) = '' THEN ps[n + 1] WHEN starts_with(ps[n + 1], t) THEN ps[n + 1] WHEN ends_with(t, ps[n + 1]) THEN t
     ELSE t || substr(ps[n + 1], coalesce(list_max(list_filter(range(1, least(length(t), length(ps[n + 1])) + 1), lambda m: ends_with(t, substr(ps[n + 1], 1, m)))), 0) + 1) END FROM w WHERE n < len(ps))
 SELECT response_id, t AS text FROM w WHERE n = len(ps)"""
+THROTTLE = f"""WITH RECURSIVE {EV}, acc AS (SELECT user_id, min(ms) AS t FROM ev GROUP BY user_id UNION ALL SELECT a.user_id, min(e.ms) FROM acc a JOIN ev e ON e.user_id = a.user_id AND e.ms >= a.t + 21600000 GROUP BY a.user_id, a.t)
+ SELECT a.user_id, arg_min(e.event_id, (e.ts, e.event_id)) AS event_id FROM acc a JOIN ev e ON e.user_id = a.user_id AND e.ms = a.t GROUP BY a.user_id, a.t"""
 
 CHECKS = {
     "t03_capture_sessions": SESSIONS,
+    "t03_capture_sessions_stream": SESSIONS,
     "t07_fragment_assembly": FRAGMENTS,
     "t07_fragment_stream": FRAGMENTS,
     "s02_plain_documents": f"""WITH src AS (SELECT doc_id, {GIVEN_TITLE} AS given, text FROM documents), {paragraphs('src')},
@@ -50,8 +53,8 @@ CHECKS = {
     "t02_session_dedupe": f"WITH {EV} SELECT DISTINCT user_id, event_type || ':' || k AS key FROM ev",
     "t04_recent_lookup": f"WITH {ASKS} SELECT user_id, lookup_id, CASE WHEN {GOOD} THEN url END AS url FROM j",
     "t04_recent_lookup_stream": f"WITH {ASKS} SELECT user_id, lookup_id, url FROM j WHERE {GOOD}",
-    "t05_throttle": f"""WITH RECURSIVE {EV}, acc AS (SELECT user_id, min(ms) AS t FROM ev GROUP BY user_id UNION ALL SELECT a.user_id, min(e.ms) FROM acc a JOIN ev e ON e.user_id = a.user_id AND e.ms >= a.t + 21600000 GROUP BY a.user_id, a.t)
- SELECT a.user_id, min(e.event_id) AS event_id FROM acc a JOIN ev e ON e.user_id = a.user_id AND e.ms = a.t GROUP BY a.user_id, a.t""",
+    "t05_throttle": THROTTLE,
+    "t05_throttle_stream": THROTTLE,
     "t06_latest_positions": f"""WITH {EV} SELECT user_id, k % 7 AS item, k % 10 AS block, floor(value)::int % 200 AS "offset", event_id FROM ev QUALIFY row_number() OVER (PARTITION BY user_id, k % 7 ORDER BY ms DESC, event_id DESC) = 1""",
     "t08_incremental_cleanup": f"""WITH RECURSIVE {PLAIN_BLOCKS}, {packed(C.WEB, 'w')} SELECT doc_id, count(*) AS chunks, sum(len(paras)) AS eligible, sum(list_sum(list_transform(paras, lambda p: length(p)))) AS chars_before FROM w_chunks GROUP BY doc_id""",
     "t09_activity_status": f"""WITH {EV}, s AS (SELECT ms // 3600000 * 3600000 AS window_ms, user_id, arg_max(event_type, {{'a': ts, 'b': event_id}}) AS last, max((k % 4 <> 0)::int) AS seg FROM ev GROUP BY ALL)

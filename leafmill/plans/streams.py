@@ -15,8 +15,10 @@ from leafmill.sources import store
 from leafmill.sources.corpus import read_documents, read_table
 from leafmill.streaming import jobs as T
 from leafmill.streaming import run as R
+from leafmill.streaming import sessions as S
 
 SIX_HOURS = 6 * 3600 * 1000
+ANY_ORDER = "36500 days"
 
 
 def sampled(spark, sf):
@@ -39,8 +41,15 @@ def _events(spark, sf):
 
 
 def sessions(spark, sf):
-    """Sessions of at least the reference's length, in the order of events."""
-    return T.capture_sessions(_events(spark, sf), T.MIN_CHARS)
+    """Sessions of the least length or more, in the order of events."""
+    return S.capture_sessions(S.session_steps(_events(spark, sf)), S.MIN_CHARS)
+
+
+def sessions_stream(spark, sf):
+    """The same of a stream whose files come in any order: no row of a closed corpus is late."""
+    return R.run_to_end(
+        spark, R.stream_events(spark, sf), lambda e: S.session_stream(S.session_steps(e), ANY_ORDER, S.MIN_CHARS), "sessions"
+    )
 
 
 def _asks(events):
@@ -71,7 +80,12 @@ def recent_lookup_stream(spark, sf):
 
 
 def throttle(spark, sf):
-    return T.throttled(_events(spark, sf), SIX_HOURS).select("user_id", "event_id")
+    return S.throttled(_events(spark, sf), SIX_HOURS).select("user_id", "event_id")
+
+
+def throttle_stream(spark, sf):
+    stream = R.stream_events(spark, sf)
+    return R.run_to_end(spark, stream, lambda e: S.throttle_stream(e, ANY_ORDER, SIX_HOURS), "throttle").select("user_id", "event_id")
 
 
 def latest_positions(spark, sf):
@@ -214,9 +228,11 @@ QUERIES = {
     "t01_samples": sampled,
     "t02_session_dedupe": deduped,
     "t03_capture_sessions": sessions,
+    "t03_capture_sessions_stream": sessions_stream,
     "t04_recent_lookup": recent_lookup,
     "t04_recent_lookup_stream": recent_lookup_stream,
     "t05_throttle": throttle,
+    "t05_throttle_stream": throttle_stream,
     "t06_latest_positions": latest_positions,
     "t07_fragment_assembly": fragment_assembly,
     "t07_fragment_stream": fragment_stream,

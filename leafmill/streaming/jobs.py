@@ -1,4 +1,4 @@
-"""Streaming forms of the live parts: samples, dedupe, sessions, lookups, throttles, positions, fragments."""
+"""Streaming forms of the live parts: samples, dedupe, lookups, positions, fragments; ``sessions`` has the ordered ones."""
 
 from __future__ import annotations
 
@@ -14,9 +14,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from leafmill.functions.text import col
 from leafmill.operators.library import latest
 
-# --- fixed values: stream limits ---
+# --- fixed value: seconds of a sample ---
 SAMPLE_SECONDS = 5
-MAX_STEPS, MAX_STALLED, MIN_CHARS = 10, 2, 120
 
 
 def watermarked(events: DataFrame, delay: str | None) -> DataFrame:
@@ -24,16 +23,11 @@ def watermarked(events: DataFrame, delay: str | None) -> DataFrame:
 
     Without one every row counts, however late, and the state keeps all keys: right for a closed corpus.  A
     live job gives a delay, which bounds its state; rows later than that are then dropped by the operator, so
-    ``late_rows`` should be written beside it.
+    ``sessions.late_sink`` should be run beside it.
     """
     return events.withWatermark("ts", delay) if events.isStreaming and delay else events
 
 
-def late_rows(batch: DataFrame, newest_ms: int, delay_ms: int) -> DataFrame:
-    """Rows of a micro-batch that are more than the delay older than the newest event time before it."""
-    return batch.filter(F.unix_millis("ts") < newest_ms - delay_ms)
-
-
 # ----- samples and status -----------------------------------------------------------------
 def samples(events: DataFrame, seconds: int = SAMPLE_SECONDS, delay: str | None = None) -> DataFrame:
     """Last value, count and power per user and tumbling window."""
@@ -82,131 +76,6 @@ def session_dedupe(events: DataFrame, horizon: str | None = None) -> DataFrame:
     return keyed.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["user_id", "key"]).select("user_id", "key")
 
 
-# ----- keyed state --------------------------------------------------------------------------
-def in_order(rows: DataFrame, order: list[str]) -> DataFrame:
-    """The rows of each user together and in order of time, for a fold that passes over them once."""
-    return rows.repartition("user_id").sortWithinPartitions("user_id", *order)
-
-
-def session_step(state: tuple, fresh: int, size: int, least: int | None) -> tuple[tuple, tuple | None]:
-    """State after one step, and the session that it closes, if it does: (session, steps, blocks, chars)."""
-    session, steps, stalled, blocks, chars = state
-    steps, blocks, chars = steps + 1, blocks + fresh, chars + size * (fresh > 0)
-    stalled = 0 if fresh else stalled + 1
-    if steps < MAX_STEPS and stalled < MAX_STALLED:
-        return (session, steps, stalled, blocks, chars), None
-    closed = (session, steps, blocks, chars) if least is None or chars >= least else None
-    return (session + 1, 0, 0, 0, 0), closed
-
-
-class SessionLimits(StatefulProcessor):
-    """Ends a session after ten steps or two steps in a row without new blocks, in order of arrival."""
-
-    def __init__(self, least: int | None):
-        self.least = least
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = ["session", "steps", "stalled", "blocks", "chars"]
-        self.state = handle.getValueState(
-            "session", StructType([StructField(f, LongType()) for f in fields])
-        )
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("event_id")
-        state = self.state.get() if self.state.exists() else (0, 0, 0, 0, 0)
-        out = []
-        for fresh, size in zip(frame["fresh"].tolist(), frame["chars"].tolist()):
-            state, closed = session_step(state, fresh, size, self.least)
-            if closed:
-                out.append((key[0], *closed))
-        self.state.update(state)
-        yield pd.DataFrame(out, columns=["user_id", "session", "steps", "blocks", "chars"]).astype("int64")
-
-    def close(self) -> None:
-        pass
-
-
-SESSION = "user_id long, session long, steps long, blocks long, chars long"
-
-
-def capture_sessions(events: DataFrame, least: int | None = None) -> DataFrame:
-    """Closed sessions per user; each event is one step with ``k % 3`` new blocks.
-
-    A stream takes steps as they arrive, which is the live case; a table takes them in the order of event_id,
-    whatever its files, in one sorted pass that holds one state.  Sessions under ``least`` characters are left out if a
-    number is given.
-    """
-    steps = events.select(
-        "user_id", "event_id", (F.col("k") % 3).cast("long").alias("fresh"), (F.col("k") * 2).cast("long").alias("chars")
-    )
-    if steps.isStreaming:
-        return steps.groupBy("user_id").transformWithStateInPandas(
-            statefulProcessor=SessionLimits(least), outputStructType=SESSION, outputMode="Append", timeMode="None"
-        )
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, state = None, (0, 0, 0, 0, 0)
-        for frame in frames:
-            out = []
-            for who, fresh, size in zip(frame["user_id"].tolist(), frame["fresh"].tolist(), frame["chars"].tolist()):
-                if who != user:
-                    user, state = who, (0, 0, 0, 0, 0)
-                state, closed = session_step(state, fresh, size, least)
-                if closed:
-                    out.append((who, *closed))
-            yield pd.DataFrame(out, columns=["user_id", "session", "steps", "blocks", "chars"]).astype("int64")
-
-    return in_order(steps, ["event_id"]).mapInPandas(fold, SESSION)
-
-
-class Throttle(StatefulProcessor):
-    """Accepts an event when at least ``interval_ms`` passed since the last accepted one."""
-
-    def __init__(self, interval_ms: int):
-        self.interval_ms = interval_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", StructType([StructField("ms", LongType())]))
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["ms", "event_id"])
-        last = self.last.get()[0] if self.last.exists() else None
-        kept = []
-        for ms, event_id in zip(frame["ms"].tolist(), frame["event_id"].tolist()):
-            if last is None or ms - last >= self.interval_ms:
-                kept.append((key[0], event_id, ms))
-                last = ms
-        self.last.update((last,))
-        yield pd.DataFrame(kept, columns=["user_id", "event_id", "ms"]).astype("int64")
-
-    def close(self) -> None:
-        pass
-
-
-def throttled(events: DataFrame, interval_ms: int = 1000) -> DataFrame:
-    """Accepted events: as they arrive from a stream, in order of time from a table."""
-    rows = events.select("user_id", "event_id", F.unix_millis("ts").alias("ms"))
-    schema = "user_id long, event_id long, ms long"
-    if rows.isStreaming:
-        return rows.groupBy("user_id").transformWithStateInPandas(
-            statefulProcessor=Throttle(interval_ms), outputStructType=schema, outputMode="Append", timeMode="None"
-        )
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, last = None, None
-        for frame in frames:
-            out = []
-            for row in zip(frame["user_id"].tolist(), frame["event_id"].tolist(), frame["ms"].tolist()):
-                if row[0] != user:
-                    user, last = row[0], None
-                if last is None or row[2] - last >= interval_ms:
-                    out.append(row)
-                    last = row[2]
-            yield pd.DataFrame(out, columns=["user_id", "event_id", "ms"]).astype("int64")
-
-    return in_order(rows, ["ms", "event_id"]).mapInPandas(fold, schema)
-
-
 # ----- recent value -------------------------------------------------------------------------
 def recent_value(lookups: DataFrame, tracked: DataFrame, ttl_ms: int) -> DataFrame:
     """The user's latest tracked value at each lookup, if its package and page signature agree and it is

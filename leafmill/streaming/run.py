@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,11 +36,11 @@ FILES_PER_BATCH = 64
 
 
 def _source(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType, files: int = FILES_PER_BATCH) -> DataFrame:
-    """A table as a file stream: one file, or a folder of part files.
+    """A table as a file stream: one file, or a folder of part files; the pattern names it alone, not its neighbours.
 
     ``files`` bounds a batch; no result depends on it, nor on the order in which files arrive.
     """
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/{name}.parquet*")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def stream_events(spark: SparkSession, sf_dir: str, files: int = FILES_PER_BATCH) -> DataFrame:
@@ -58,14 +59,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "append", sink=None) -> str:
+def run_once(stream: DataFrame, name: str, mode: str = "append", sink=None, folder: str | None = None) -> str:
     """Process everything available and stop.  Returns the folder of the written table.
 
     Batches are written under their batch id, so a batch that is run again after a failure
-    overwrites its own files and nothing is counted twice.
+    overwrites its own files and nothing is counted twice.  With the ``folder`` of an earlier run that run goes on.
     """
     spark = stream.sparkSession
-    folder = new_folder(spark, name)
+    folder = folder or new_folder(spark, name)
     target = f"{folder}/table"
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -82,6 +83,27 @@ def run_once(stream: DataFrame, name: str, mode: str = "append", sink=None) -> s
     return target
 
 
+#: Time of the row that ends a closed corpus, the last year that pandas has; delays of a century leave all earlier rows in time.
+END = datetime(2262, 1, 1)
+
+
+def run_to_end(spark: SparkSession, events: DataFrame, job, name: str) -> DataFrame:
+    """Rows of ``job(events)`` for a stream of a closed corpus whose rows wait for the watermark.
+
+    When all is read, one row of the year 2262 moves the watermark past everything: the same query goes on from its
+    checkpoint and gives out what still waits.  That row itself waits for ever.
+    """
+    folder, closing = new_folder(spark, name), new_folder(spark, f"{name}-end")
+    end = spark.createDataFrame([(-1, END, -1, None, None, None)], EVENTS)
+    end.limit(0).write.parquet(closing)
+    last = spark.readStream.schema(EVENTS).parquet(closing)
+    last = last.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.lit(None).cast("int"))
+    stream = job(events.unionByName(last))
+    run_once(stream, name, folder=folder)
+    end.write.mode("append").parquet(closing)
+    return read_back(spark, run_once(stream, name, folder=folder)).drop("batch")
+
+
 def read_back(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(target)
 
