@@ -228,6 +228,30 @@ def test_full_texts_are_found_whole_and_inside_documents(spark):
     assert (300, "document", "BSD-2-Clause") in found and not any(d == 301 for d, _, _ in found)
 
 
+def test_licences_in_comments_and_runs_of_lines(spark):
+    import textwrap
+
+    mit = [t for i, k, t in KNOWN if (i, k) == ("MIT", "text")][0].replace("<year> <holder>", "2020 Me\nAll rights reserved.")
+    lines = textwrap.fill(mit, 70, replace_whitespace=False).split("\n")
+    rows = [(k, "int main;\n" + "\n".join((mark + x).rstrip() for x in lines) + "\nreturn 0;") for k, mark in enumerate(("# ", " * ", "// ", "-- ", ""))]
+    rows += [(10, "before\n" + mit.replace("\n\n", "\n") + "\nafter"), (11, "x\nAll rights reserved.\ny"), (12, "Copyright 2020 Me\nAll rights reserved.\ntext")]
+    rows += [(13, mit[:-20]), (14, "word " * 200_000 + "\nMIT License\n" * 50_000), (15, "Permission\nis\nhereby")]
+    frame = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, digest string, row int")
+    found = [(r.doc_id, r.unit, r.line_no, r.license_id) for r in license_scan(frame).collect()]
+    assert sorted(f for f in found if f[0] < 10) == [(k, "block", None, "MIT") for k in range(5)]
+    assert sorted(f for f in found if f[0] >= 10) == [(10, "block", None, "MIT"), (11, "line", 2, "proprietary")]
+    assert license_scan(frame.limit(0)).collect() == []
+    own = spark.createDataFrame([("own", "text", "two words"), ("none", "text", "!!"), ("null", "text", None)], "license_id string, kind string, text string")
+    mine = spark.createDataFrame([(1, "TWO\n# words\n"), (2, "a\ntwo words")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.unit, r.license_id) for r in license_scan(mine, own).collect()) == [(1, "document", "own"), (2, "line", "own")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [r for r in rows if r[0] != 14])
+    names = ["doc_id", "unit", "line_no", "license_id", "kind", "digest"]
+    got = sorted(map(str, (tuple(r[n] for n in names) for r in license_scan(frame).collect())))
+    assert got == sorted(map(str, con.execute(license_sql()).fetchall()))
+
+
 # -- operator 4 --
 
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1><nav><a href=/>Home</a></nav></header>
