@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions import arrays as A
 from leafmill.functions import boilerplate as B
 from leafmill.functions import rules as R
 from leafmill.functions.text import blank_to_null, col, dedupe_key, let, norm, one_of, starts_any, token_key, url_host, words
@@ -87,50 +88,61 @@ def inside(x, r) -> Column:
 
 
 def outermost(els) -> Column:
-    els = col(els)
-    return F.filter(els, lambda e: ~F.exists(els, lambda o: inside(e, o)))
+    """Elements that no earlier one contains.  ``els`` ascend by open, so the largest end so far tells."""
+    return let(els, lambda es: let(A.reach_of(es), lambda index: F.filter(es, lambda e: ~A.reached(index, e.open, e.open))))
 
 
-def covered(pos, ranges) -> Column:
-    return F.exists(col(ranges), lambda r: (pos > r.open) & (pos < r.end))
+REMOVED_SUMS = {"raw_len": None, "raw_link": None, "n_p": ["p"], "n_h": HEADING_TAGS, "n_li": ["li"]}
+SUMS = "struct<" + ",".join(f"{name}:int" for name in REMOVED_SUMS) + ">"
 
 
 def without(els, removed) -> Column:
-    """Elements outside the removed ranges, statistics lowered by what was removed inside them."""
+    """Elements outside the removed ranges, statistics lowered by what was removed inside them.
+
+    ``removed`` are outermost ranges and so disjoint; what lies inside an element is a run of them, a difference of two
+    running sums whose places are found by binary search.
+    """
     removed = col(removed)
 
-    def adjust(e):
-        gone = F.filter(removed, lambda r: inside(r, e))
+    def own(r, field, tags):
+        return r[field] + (one_of(r.tag, tags).cast("int") if tags else F.lit(0))
 
-        def less(field, own=None):
-            return F.aggregate(
-                gone,
-                e[field],
-                lambda a, r: a - r[field] - (own(r).cast("int") if own is not None else F.lit(0)),
-            )
+    def add(total, r):
+        return F.struct(*[(total[f] + own(r, f, tags)).alias(f) for f, tags in REMOVED_SUMS.items()])
 
-        return (
-            e.withField("raw_len", less("raw_len"))
-            .withField("raw_link", less("raw_link"))
-            .withField("n_p", less("n_p", lambda r: r.tag == "p"))
-            .withField("n_h", less("n_h", lambda r: one_of(r.tag, HEADING_TAGS)))
-            .withField("n_li", less("n_li", lambda r: r.tag == "li"))
-        )
+    def lowered(index, sums):
+        def adjust(e):
+            def less(run):
+                low, high = F.get(sums, run["from"]), F.get(sums, run["to"])
+                for f in REMOVED_SUMS:
+                    yield f, e[f] - (high[f] - low[f])
 
-    survivors = F.filter(
-        col(els), lambda e: ~F.exists(removed, lambda r: (e.open >= r.open) & (e.open < r.end))
-    )
-    return F.when(F.size(removed) == 0, col(els)).otherwise(F.transform(survivors, adjust))
+            def change(run):
+                changed = e
+                for f, value in less(run):
+                    changed = changed.withField(f, value)
+                return F.when(run["to"] > run["from"], changed).otherwise(e)
+
+            return let(A.opened_between(index["opens"], e.open, e.end), change)
+
+        survivors = F.filter(col(els), lambda e: ~A.reached(index, e.open + 1, e.open))
+        return F.transform(survivors, adjust)
+
+    nothing = F.struct(*[F.lit(0).alias(f) for f in REMOVED_SUMS]).cast(SUMS)
+    sums = F.concat(F.array(nothing), A.running(removed, nothing, add, SUMS))
+    done = let(A.reach_of(removed), lambda index: let(sums, lambda total: lowered(index, total)))
+    return F.when(F.size(removed) == 0, col(els)).otherwise(done)
 
 
 def mute(txt, removed) -> Column:
     """Text pieces inside removed ranges become empty; indexes stay valid."""
-    return F.when(F.size(col(removed)) == 0, col(txt)).otherwise(
-        F.transform(
-            col(txt),
-            lambda t: t.withField("piece", F.when(covered(t.pos, removed), F.lit("")).otherwise(t.piece)),
+
+    def silent(index):
+        return F.transform(
+            col(txt), lambda t: t.withField("piece", F.when(A.reached(index, t.pos, t.pos), F.lit("")).otherwise(t.piece))
         )
-    )
+
+    return F.when(F.size(col(removed)) == 0, col(txt)).otherwise(let(A.reach_of(removed), silent))
 
 
 def pieces(e, txt="txt") -> Column:
@@ -258,6 +270,7 @@ def prepare(pages: DataFrame, *carry: str) -> DataFrame:
         ),
     )
     df = df.withColumn("_divs", F.filter("els3", lambda e: (e.tag == "div") & (text_len(e) >= 40)))
+    df = df.withColumn("_opens", F.transform("_divs", lambda d: d.open))
     block = F.filter(
         "els3",
         lambda e: (one_of(e.tag, HEADING_TAGS + ["p", "pre"]) & (e.quote == 0))
@@ -268,7 +281,7 @@ def prepare(pages: DataFrame, *carry: str) -> DataFrame:
             & (text_len(e) >= 45)
             & ~marker_has(e.marker, R.UI_MARKER_PHRASES)
             & (link_density(e, 1.0) <= PRUNE_DENSITY)
-            & ~F.exists("_divs", lambda d: inside(d, e))
+            & let(A.opened_between(F.col("_opens"), e.open, e.end), lambda run: run["to"] == run["from"])
         ),
     )
     with_text = F.transform(block, lambda e: e.withField("text", join_pieces(pieces(e, "txt3"))))
@@ -276,36 +289,37 @@ def prepare(pages: DataFrame, *carry: str) -> DataFrame:
         (F.length(e.text) >= 45) & (words(e.text) >= 8) & e.text.rlike(r"\p{Ll}") & e.text.rlike("[.!?,]")
     )
     df = df.withColumn("block_els", F.filter(with_text, lambda e: (e.text != "") & like_text(e)))
-    return df.drop("_noisy", "_ui", "_divs", "els", "txt")
-
-
-def in_pruned(pos, container, pruned="pruned") -> Column:
-    return F.exists(
-        col(pruned), lambda p: inside(p, container) & (pos >= p.open) & (pos < p.end)
-    )
+    return df.drop("_noisy", "_ui", "_divs", "_opens", "els", "txt")
 
 
 def container_blocks(container, prune: bool = True) -> Column:
-    """Usable, distinct blocks inside one container."""
+    """Usable, distinct blocks inside one container.
+
+    Pruned ranges ascend by open: those inside the container, and those inside a block, are runs found by binary search.
+    """
     items = F.filter("block_els", lambda b: (b.open > container.open) & (b.open < container.end))
     if prune:
-        items = F.filter(items, lambda b: ~in_pruned(b.open, container))
-        items = F.transform(
-            items,
-            lambda b: F.struct(
-                b.open.alias("pos"),
-                b.tag.alias("tag"),
-                b.marker.alias("marker"),
-                F.when(
-                    F.exists("pruned", lambda p: inside(p, b)),
-                    join_pieces(
-                        F.filter(pieces(b, "txt3"), lambda t: ~in_pruned(t.pos, b))
+
+        def kept_text(b, run, pruned):
+            within = let(
+                A.reach_of(F.slice(pruned, run["from"] + 1, run["to"] - run["from"])),
+                lambda index: join_pieces(F.filter(pieces(b, "txt3"), lambda t: ~A.reached(index, t.pos + 1, t.pos))),
+            )
+            return F.when(run["to"] > run["from"], within).otherwise(b.text)
+
+        def kept(pruned):
+            return let(
+                A.reach_of(pruned),
+                lambda index: F.transform(
+                    F.filter(items, lambda b: ~A.reached(index, b.open + 1, b.open)),
+                    lambda b: F.struct(
+                        b.open.alias("pos"), b.tag.alias("tag"), b.marker.alias("marker"),
+                        let(A.opened_between(index["opens"], b.open, b.end), lambda run: kept_text(b, run, pruned)).alias("text"),
                     ),
-                )
-                .otherwise(b.text)
-                .alias("text"),
-            ),
-        )
+                ),
+            )
+
+        items = let(F.filter("pruned", lambda p: inside(p, container)), kept)
     else:
         items = F.transform(
             items,
@@ -632,12 +646,9 @@ def site_rule_blocks() -> Column:
 
 def prune_text(container) -> Column:
     """Whole text of a pruned container."""
-    return join_pieces(
-        F.filter(
-            F.filter("txt3", lambda t: (t.pos > container.open) & (t.pos < container.end)),
-            lambda t: ~in_pruned(t.pos, container),
-        )
-    )
+    texts = F.filter("txt3", lambda t: (t.pos > container.open) & (t.pos < container.end))
+    pruned = F.filter("pruned", lambda p: inside(p, container))
+    return let(A.reach_of(pruned), lambda index: join_pieces(F.filter(texts, lambda t: ~A.reached(index, t.pos + 1, t.pos))))
 
 
 def sentence_blocks(source) -> Column:
