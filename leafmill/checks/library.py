@@ -55,6 +55,26 @@ SELECT event_id, CASE WHEN pre <> '' AND found > 0 THEN st + found - 1 ELSE st E
 
 PROG_CANON = f"CASE WHEN regexp_matches(source_label, '^https?://') THEN {CANON} ELSE source_label END"
 
+LOG = f"""{ACTS}, nar AS (SELECT event_id, user_id, event_type, at_ms, k, title, summary, block, off, 'https://example.org/b/' || page_id % 5 AS lab FROM acts),
+ch AS (SELECT *, 'web|' || lab AS lkey, CASE WHEN event_type = 'purchase' THEN 'add' WHEN k % 5 = 0 THEN 'remove' ELSE 'done' END AS op,
+   lead({{'at': at_ms, 'seq': event_id}}) OVER w AS nxt FROM nar WHERE event_type IN ('purchase', 'signup') WINDOW w AS (PARTITION BY user_id, lab ORDER BY at_ms, event_id)),
+lf AS (SELECT *, coalesce(count(*) FILTER (op = 'remove') OVER (PARTITION BY user_id, lkey ORDER BY at_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS life FROM ch),
+st AS (SELECT *, count(*) FILTER (op = 'add') OVER w AS adds, min(at_ms) FILTER (op = 'add') OVER w AS added_at,
+   arg_max(title, (at_ms, event_id)) FILTER (op = 'add') OVER w AS t, arg_max(summary, (at_ms, event_id)) FILTER (op = 'add') OVER w AS s FROM lf WINDOW w AS (PARTITION BY user_id, lkey, life ORDER BY at_ms, event_id)),
+lv AS (SELECT user_id, lkey, lab, t, s, added_at, coalesce(arg_max(k % 2, (at_ms, event_id)) FILTER (op = 'done') OVER (PARTITION BY user_id, lkey, life ORDER BY at_ms, event_id), 0) AS is_done,
+   op, at_ms, event_id, nxt FROM st WHERE adds > 0),
+lvs AS (SELECT * FROM lv WHERE op <> 'remove'),
+del AS (SELECT e.event_id, e.user_id, e.lab, e.at_ms, EXISTS (SELECT 1 FROM lvs v WHERE v.user_id = e.user_id AND v.lab = e.lab AND (v.at_ms, v.event_id) < (e.at_ms, e.event_id)
+   AND (v.nxt IS NULL OR (v.nxt.at, v.nxt.seq) > (e.at_ms, e.event_id))) AS preserved FROM nar e WHERE event_type = 'error'),
+cl AS (SELECT * FROM nar WHERE event_type = 'click'),
+ends AS (SELECT a.*, least((SELECT min((b.at_ms, b.event_id)) FROM cl b WHERE b.user_id = a.user_id AND b.lab = a.lab AND b.block = a.block AND abs(b.off - a.off) < 4 AND (b.at_ms, b.event_id) > (a.at_ms, a.event_id)),
+   (SELECT min((b.at_ms + 3600000, b.event_id)) FROM cl b WHERE b.k % 7 = 3 AND b.user_id = a.user_id AND b.lab = a.lab AND b.block = a.block AND b.off = a.off AND b.at_ms = a.at_ms),
+   (SELECT min((d.at_ms, d.event_id)) FROM del d WHERE NOT preserved AND d.user_id = a.user_id AND d.lab = a.lab AND (d.at_ms, d.event_id) > (a.at_ms, a.event_id))) AS e FROM cl a),
+bv AS (SELECT user_id, lab, block, off, at_ms, event_id, e, NULL AS label, (at_ms, event_id) AS f FROM ends
+  UNION ALL SELECT a.user_id, a.lab, a.block, a.off, a.at_ms, a.event_id, e, 'New label ' || b.k, (b.at_ms + 1800000, b.event_id) FROM ends a JOIN cl b USING (user_id, lab, block, off, at_ms)
+    WHERE b.k % 7 IN (1, 2) AND (e IS NULL OR (b.at_ms + 1800000, b.event_id) < e)),
+bvs AS (SELECT *, least(lead(f) OVER (PARTITION BY user_id, lab, block, off, at_ms, event_id ORDER BY f), e) AS t FROM bv)"""
+
 CHECKS = {
     "s05_document_kinds": f"WITH {ACTS} SELECT DISTINCT source_label, kind, regexp_matches(lower(trim(source_label)), '^(?:content|file)://|\\.pdf$|/pdf/')::int AS session_pdf FROM acts",
     "s06_oversize_inputs": "SELECT page_id, octet_length(encode(html)) AS bytes, CASE WHEN octet_length(encode(html)) <= 6000 THEN 'accepted' ELSE 'quarantined' END AS route FROM pages",
@@ -65,6 +85,10 @@ CHECKS = {
    sum((regexp_replace(url, '//www\\.', '//', 'g') LIKE '%//www.%' OR 'www.' || {D.url_host("regexp_replace(url, '//www\\.', '//', 'g')")} = 'www.' || {D.url_host('url')})::int) AS kept_www FROM pages GROUP BY 1""",
     "j03_history": f"WITH {HIST} SELECT user_id, key, title, source_label, at_ms AS opened_at FROM hist",
     "j04_reading_list": f"WITH {ACTS}, {LIST} SELECT user_id, key, title, summary, added_at, is_done FROM rl",
+    "j04_reading_list_log": f"""WITH {LOG} SELECT user_id, lkey AS key, t AS title, s AS summary, lab AS source_label, added_at, is_done,
+   at_ms AS from_at, event_id AS from_seq, nxt.at AS to_at, nxt.seq AS to_seq FROM lvs""",
+    "j05_bookmark_log": f"""WITH {LOG} SELECT user_id, lab AS source_label, block, off AS "offset", at_ms AS created_at, event_id AS seq, label, f[1] AS from_at, f[2] AS from_seq, t[1] AS to_at, t[2] AS to_seq FROM bvs""",
+    "j12_cascade_log": f"""WITH {LOG} SELECT d.event_id, d.user_id, d.lab AS source_label, preserved, (SELECT count(*) FROM bvs b WHERE b.user_id = d.user_id AND b.lab = d.lab AND b.t[1] = d.at_ms AND b.t[2] = d.event_id) AS bookmarks_gone FROM del d""",
     "j05_bookmarks": f'WITH {ACTS}, {BM}, {upsert("bm", "source_label")} SELECT user_id, source_label, block, off AS "offset", event_id FROM bms',
     "j06_nearest_bookmarks": f"""WITH {ACTS}, {BM}, t AS (SELECT event_id AS target_id, user_id, 'https://example.org/b/' || page_id % 5 AS source_label, block, off, 'a passage number ' || k % 5 || ' on page' AS ts FROM acts WHERE event_type = 'view'),
  c AS (SELECT target_id, b.off AS boff, abs(b.off - t.off) AS d, b.created_at, b.event_id FROM t JOIN (SELECT *, {SNIP} AS sn FROM bm) b USING (user_id, source_label, block)

@@ -92,3 +92,31 @@ def entries(units: DataFrame, key: str, fan_in: int = FAN_IN) -> DataFrame:
         over = found.select(key, F.col("place").alias("above"), "entry")
         found = parts.join(over, [key, "above"]).select(key, F.explode(_passed("parts", F.col("entry"))).alias("u")).select(key, "u.*")
     return found.select(key, (F.col("place") + F.lit(low or 0)).alias("place"), "entry")
+
+
+COMBINED = {
+    "max": (F.max, F.greatest),
+    "min": (F.min, F.least),
+    "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
+}
+
+
+def carried(
+    rows: DataFrame, keys: list[str], at: str, order: list[str], values: dict[str, tuple[str, Column]], cell_ms: int, after: bool = False
+) -> DataFrame:
+    """The rows with one column for each of ``values``: the max, min or sum of a value over the rows before it in its group,
+    or behind it.
+
+    ``keys`` have no nulls and ``order`` begins with the time ``at`` in milliseconds.  One window goes over the rows of a time
+    cell and one over the cells, so a group of any size is many tasks; of a cell only its totals are shuffled further.
+    """
+    frame = (1, Window.unboundedFollowing) if after else (Window.unboundedPreceding, -1)
+    rows = rows.withColumns({name: value for name, (_, value) in values.items()}).withColumn("cell", F.floor(F.col(at) / cell_ms))
+    cells = rows.groupBy(*keys, "cell").agg(*[COMBINED[kind][0](name).alias(name) for name, (kind, _) in values.items()])
+    over = Window.partitionBy(*keys).orderBy("cell").rowsBetween(*frame)
+    cells = cells.select(*keys, "cell", *[COMBINED[kind][0](name).over(over).alias(f"far_{name}") for name, (kind, _) in values.items()])
+    inside = Window.partitionBy(*keys, "cell").orderBy(*order).rowsBetween(*frame)
+    near = rows.withColumns({name: COMBINED[kind][0](name).over(inside) for name, (kind, _) in values.items()})
+    joined = near.join(cells, [*keys, "cell"])
+    combined = {name: COMBINED[kind][1](F.col(name), F.col(f"far_{name}")) for name, (kind, _) in values.items()}
+    return joined.withColumns(combined).drop("cell", *[f"far_{name}" for name in values])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import epoch_ms, url_host
+from leafmill.operators import changes as C
 from leafmill.operators import library as J
 from leafmill.operators import sentences as S
 from leafmill.operators import web as W
@@ -224,6 +225,63 @@ def delete_cascade(spark, sf):
     )
 
 
+# ----- the change log --------------------------------------------------------------------------
+HOUR_MS = 3_600_000
+
+
+def _narrow(spark, sf):
+    """Acts on five sources of a user, so that the log has many changes of one entry."""
+    label = F.concat(F.lit("https://example.org/b/"), (F.col("page_id") % 5).cast("string"))
+    rows = acts(spark, sf).withColumn("source_label", label).withColumn("kind", F.lit("WEB"))
+    return rows.withColumn("key", J.entry_key()).withColumn("seq", F.col("event_id"))
+
+
+def _list_versions(a):
+    """Purchases add, sign-ups mark, each fifth of them removes."""
+    gone = F.col("k") % 5 == 0
+    op = F.when(F.col("event_type") == "purchase", "add").otherwise(F.when(gone, "remove").otherwise("done"))
+    changes = a.filter("event_type in ('purchase', 'signup')").select(
+        "user_id", "key", "at", "seq", op.alias("op"), "title", "summary", "source_label", (F.col("k") % 2).alias("done")
+    )
+    return C.reading_list_versions(changes)
+
+
+def _cascades(a, versions):
+    """Errors delete a history item."""
+    deletes = a.filter("event_type = 'error'").select("user_id", "source_label", "at", "seq")
+    return C.cascades(deletes, versions)
+
+
+def _bookmark_versions(a, cascades):
+    """Clicks bookmark; some are renamed half an hour later, some deleted after an hour."""
+    click = a.filter("event_type = 'click'").withColumn("created_at", F.col("at"))
+    named = click.filter("k % 7 in (1, 2)").select(
+        *C.IDENTITY, (F.col("at") + HOUR_MS // 2).alias("at"), "seq", F.concat(F.lit("  New  label "), F.col("k").cast("string")).alias("new_label")
+    )
+    gone = click.filter("k % 7 = 3").select(*C.IDENTITY, (F.col("at") + HOUR_MS).alias("gone_at"), F.col("seq").alias("gone_seq"))
+    return C.bookmark_versions(click, named, gone, cascades.filter(~F.col("preserved")))
+
+
+def reading_list_log(spark, sf):
+    return _list_versions(_narrow(spark, sf))
+
+
+def bookmark_log(spark, sf):
+    a = _narrow(spark, sf)
+    return _bookmark_versions(a, _cascades(a, _list_versions(a)))
+
+
+def cascade_log(spark, sf):
+    """Deleted history items, whether the list kept their source, and the bookmarks that went with it."""
+    a = _narrow(spark, sf)
+    told = _cascades(a, _list_versions(a))
+    went = _bookmark_versions(a, told).select("user_id", "source_label", F.col("to_at").alias("at"), F.col("to_seq").alias("seq"))
+    lost = went.groupBy("user_id", "source_label", "at", "seq").agg(F.count("*").alias("bookmarks_gone"))
+    return told.join(lost, ["user_id", "source_label", "at", "seq"], "left").select(
+        F.col("seq").alias("event_id"), "user_id", "source_label", "preserved", F.coalesce("bookmarks_gone", F.lit(0)).alias("bookmarks_gone")
+    )
+
+
 def _known(a):
     """Sources that protect a stored document: history, bookmarks, reading list, last opened."""
     return J.known_sources(J.history(opens(a)), full_bookmarks(a), reading_list(a), last_labels(a))
@@ -341,6 +399,8 @@ QUERIES = {
     "j02_www_groups": www_groups,
     "j03_history": history_rows,
     "j04_reading_list": reading_list_rows,
+    "j04_reading_list_log": reading_list_log,
+    "j05_bookmark_log": bookmark_log,
     "j05_bookmarks": bookmark_rows,
     "j06_nearest_bookmarks": nearest_bookmarks,
     "j07_bookmark_spans": bookmark_spans,
@@ -349,6 +409,7 @@ QUERIES = {
     "j10_bookmark_search": bookmark_search,
     "j11_reading_list_split": reading_list_split,
     "j12_delete_cascade": delete_cascade,
+    "j12_cascade_log": cascade_log,
     "j13_protected_keys": protected_keys,
     "j14_orphans": orphans,
     "j15_retention": retention,
