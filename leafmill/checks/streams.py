@@ -30,6 +30,21 @@ SELECT response_id, t AS text FROM w WHERE n = len(ps)"""
 THROTTLE = f"""WITH RECURSIVE {EV}, acc AS (SELECT user_id, min(ms) AS t FROM ev GROUP BY user_id UNION ALL SELECT a.user_id, min(e.ms) FROM acc a JOIN ev e ON e.user_id = a.user_id AND e.ms >= a.t + 21600000 GROUP BY a.user_id, a.t)
  SELECT a.user_id, arg_min(e.event_id, (e.ts, e.event_id)) AS event_id FROM acc a JOIN ev e ON e.user_id = a.user_id AND e.ms = a.t GROUP BY a.user_id, a.t"""
 
+_KINDS = {
+    "bat": ("click", "k::varchar"), "chg": ("click", "(k % 2 = 0)::varchar"), "v": ("purchase", "3 + k / 10"), "a": ("purchase", "(k - 50) / 100"),
+    "tmp": ("error", "printf('%.1f', 20 + k / 10)"), "mem": ("signup", "(k * 10)::varchar"), "thr": ("signup", "(k + 1)::varchar"), "acc": ("signup", "(k % 3 = 0)::varchar"),
+    "sm": ("error", "'step \"' || k || '\" '"), "pb": ("view", "CASE k % 3 WHEN 0 THEN 'speaking' WHEN 1 THEN 'paused' ELSE 'idle' END"),
+}
+_LAST = ", ".join(f"arg_max({v}, {{'a': ms, 'b': event_id}}) FILTER (event_type = '{t}') AS {n}" for n, (t, v) in _KINDS.items())
+_CARRY = ", ".join(f"last_value({n} IGNORE NULLS) OVER w AS {n}" for n in _KINDS)
+TELEMETRY = f"""WITH {EV}, s AS (SELECT user_id, ms - ms % 5000 AS win, sum(k) AS busy, {_LAST} FROM ev GROUP BY ALL),
+c AS (SELECT user_id, win, busy, win - lag(win) OVER w AS wall, (win - min(win) OVER w) // 1000 AS el, {_CARRY} FROM s WINDOW w AS (PARTITION BY user_id ORDER BY win)),
+d AS (SELECT *, ((20000 * busy + wall) // (2 * wall))::bigint AS h FROM c)
+SELECT user_id, strftime(make_timestamp(win * 1000), '%Y-%m-%dT%H:%M:%SZ') AS timestamp_iso, el::varchar AS elapsed_seconds, coalesce(bat, '') AS battery_percent, coalesce(chg, '') AS is_charging,
+  coalesce(printf('%.3f', v), '') AS voltage_volts, coalesce(printf('%.6f', a), '') AS current_amps, coalesce(printf('%.3f', abs(a) * v), '') AS draw_watts, coalesce(tmp, '') AS battery_temp_c,
+  coalesce((h // 100) || '.' || lpad((h % 100)::varchar, 2, '0'), '') AS process_cpu_percent, coalesce(mem, '0') AS process_memory_mb, coalesce(thr, '0') AS thread_count,
+  coalesce(acc, 'false') AS accessibility_service_enabled, coalesce(sm, 'idle') AS summary_status, coalesce(pb, 'idle') AS playback_status FROM d"""
+
 CHECKS = {
     "t03_capture_sessions": SESSIONS,
     "t03_capture_sessions_stream": SESSIONS,
@@ -47,6 +62,7 @@ CHECKS = {
  SELECT doc_id, 'Report ' || doc_id AS title, 'WEB' AS kind, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS page_count, p AS paragraphs, n AS n_blocks, CASE WHEN doc_id % 6 = 0 THEN n END AS shown, NULL::varchar AS backend,
   CASE WHEN doc_id % 8 = 0 THEN 'A text' END AS summary, body FROM g""",
     "s09_telemetry_csv": "SELECT event_id, event_type, round(value, 2) AS value, props || ' \"end\"' AS note FROM events",
+    "s09_telemetry_samples": TELEMETRY,
     "t01_samples": f"""WITH {EV}, s AS (SELECT ms // 5000 * 5000 AS window_ms, user_id, arg_max(value, {{'a': ts, 'b': event_id}}) AS level, arg_max(k, {{'a': ts, 'b': event_id}}) AS cur, count(*) AS n, sum(k) AS busy FROM ev GROUP BY ALL),
  c AS (SELECT *, sum(busy) OVER w AS total FROM s WINDOW w AS (PARTITION BY user_id ORDER BY window_ms))
  SELECT window_ms, user_id, level, round(abs(cur) * level, 4) AS watts, n, round(100.0::double * (total - lag(total) OVER w) / (window_ms - lag(window_ms) OVER w), 6) AS cpu FROM c WINDOW w AS (PARTITION BY user_id ORDER BY window_ms)""",

@@ -37,7 +37,7 @@ def sum_before(rows: DataFrame, group: str, place: str, value: str, cell: int =
 
     One window sums inside cells of places and one over the cells, so no window holds a whole large group.
     """
-    rows = rows.withColumn("cell", F.expr(f"{place} div {cell}"))
+    rows = written(rows.withColumn("cell", F.expr(f"{place} div {cell}")), "sums")
     earlier = (Window.unboundedPreceding, -1)
     cells = rows.groupBy(group, "cell").agg(F.sum(value).alias("in_cell"))
     up_to = F.coalesce(F.sum("in_cell").over(Window.partitionBy(group).orderBy("cell").rowsBetween(*earlier)), F.lit(0))
@@ -108,10 +108,12 @@ def carried(
     or behind it.
 
     ``keys`` have no nulls and ``order`` begins with the time ``at`` in milliseconds.  One window goes over the rows of a time
-    cell and one over the cells, so a group of any size is many tasks; of a cell only its totals are shuffled further.
+    cell and one over the cells, so a group of any size is many tasks; of a cell only its totals are shuffled further.  The rows
+    are written, since both windows read them and calls follow each other.
     """
     frame = (1, Window.unboundedFollowing) if after else (Window.unboundedPreceding, -1)
     rows = rows.withColumns({name: value for name, (_, value) in values.items()}).withColumn("cell", F.floor(F.col(at) / cell_ms))
+    rows = written(rows, "carried")
     cells = rows.groupBy(*keys, "cell").agg(*[COMBINED[kind][0](name).alias(name) for name, (kind, _) in values.items()])
     over = Window.partitionBy(*keys).orderBy("cell").rowsBetween(*frame)
     cells = cells.select(*keys, "cell", *[COMBINED[kind][0](name).over(over).alias(f"far_{name}") for name, (kind, _) in values.items()])

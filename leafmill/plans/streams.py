@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.text import epoch_ms
 from leafmill.operators import cleanup as C
+from leafmill.operators import telemetry as M
 from leafmill.operators.blocks import line_blocks, peel_plain_text
 from leafmill.plans.inputs import cited_blocks, given_title, model_paragraphs
 from leafmill.session import checkpoint_root
@@ -210,6 +211,29 @@ def telemetry_csv(spark, sf):
     return back
 
 
+def _readings(events):
+    """Each kind of event as one kind of reading; every event costs ``k`` ms."""
+    is_a = lambda kind, value: F.when(F.col("event_type") == kind, value)
+    k = F.col("k")
+    return events.select(
+        "user_id", epoch_ms("ts").alias("at"), F.col("event_id").alias("seq"), k.cast("long").alias("busy_ms"),
+        is_a("click", k).alias("battery_percent"), is_a("click", k % 2 == 0).alias("charging"),
+        is_a("purchase", 3 + k / 10).alias("voltage"), is_a("purchase", (k - 50) / 100).alias("current"),
+        is_a("error", 20 + k / 10).alias("temperature"), is_a("signup", (k * 10).cast("long")).alias("memory_mb"),
+        is_a("signup", k + 1).alias("threads"), is_a("signup", k % 3 == 0).alias("accessible"),
+        is_a("error", F.concat(F.lit('step "'), k.cast("string"), F.lit('"\n'))).alias("summary_status"),
+        is_a("view", M.playback_status(k % 3 == 0, k % 3 == 1)).alias("playback"),
+    )
+
+
+def telemetry_samples(spark, sf):
+    """All fourteen columns of every sample, written as quoted lines and read back."""
+    path = f"{checkpoint_root(spark)}/telemetry-{uuid.uuid4().hex}"
+    events = read_table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    store.write_samples_csv(M.sample_fields(M.telemetry_samples(_readings(events), T.SAMPLE_SECONDS)), path)
+    return store.read_samples_csv(spark, path)
+
+
 def plain_documents(spark, sf):
     docs = read_documents(spark, sf)
     docs = docs.withColumn("given_title", given_title(F.col("doc_id"), F.col("text"), F.col("source")))
@@ -225,6 +249,7 @@ QUERIES = {
     "s07_versioned_store": versioned_store,
     "s08_json_round_trip": json_round_trip,
     "s09_telemetry_csv": telemetry_csv,
+    "s09_telemetry_samples": telemetry_samples,
     "t01_samples": sampled,
     "t02_session_dedupe": deduped,
     "t03_capture_sessions": sessions,

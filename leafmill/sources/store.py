@@ -17,8 +17,9 @@ RECORD = (
     f"summary:struct<modelId:string,promptVersion:int,durationMs:bigint,sourceSignature:string,text:string>>"
 )
 SAMPLE_COLUMNS = [
-    "at_ms", "elapsed_ms", "level", "charging", "temperature", "voltage", "current", "watts",
-    "cpu_percent", "memory_mb", "screen_on", "status", "model_status", "note",
+    "timestamp_iso", "elapsed_seconds", "battery_percent", "is_charging", "voltage_volts", "current_amps", "draw_watts",
+    "battery_temp_c", "process_cpu_percent", "process_memory_mb", "thread_count", "accessibility_service_enabled",
+    "summary_status", "playback_status",
 ]
 BOX_SCHEMA = "text STRING, top INT, `left` INT, bottom INT, `right` INT, isHeading BOOLEAN, isClickable BOOLEAN"
 
@@ -86,7 +87,16 @@ def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
 def write_samples_csv(samples: DataFrame, path: str) -> None:
     """Every field quoted, quotes doubled, line breaks turned into blanks."""
     flat = [F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), "[\r\n]", " ").alias(c) for c in samples.columns]
-    samples.select(*flat).write.mode("append").csv(path, quoteAll=True, escape='"', emptyValue="", header=True)
+    samples.select(*flat).write.mode("append").csv(
+        path, quoteAll=True, escape='"', emptyValue="", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+
+
+def read_samples_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Samples of ``write_samples_csv`` with a user before the fourteen columns; fields are text, empty ones stay empty."""
+    schema = ", ".join(["user_id long", *[f"{c} string" for c in SAMPLE_COLUMNS]])
+    rows = spark.read.csv(path, header=True, quote='"', escape='"', schema=schema, mode="FAILFAST")
+    return rows.fillna("", SAMPLE_COLUMNS)
 
 
 def csv_field(c) -> Column:

@@ -13,9 +13,11 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from leafmill.functions.text import col
 from leafmill.operators.library import latest
+from leafmill.operators.ordering import carried
 
 # --- fixed value: seconds of a sample ---
 SAMPLE_SECONDS = 5
+DAY_MS = 86_400_000
 
 
 def watermarked(events: DataFrame, delay: str | None) -> DataFrame:
@@ -45,14 +47,14 @@ def samples(events: DataFrame, seconds: int = SAMPLE_SECONDS, delay: str | None
     )
 
 
-def cpu_percent(rows: DataFrame) -> DataFrame:
-    """100 * change of busy time / change of wall time against the previous sample of the user."""
-    w = Window.partitionBy("user_id").orderBy("window_ms")
-    total = F.sum("busy").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    wall = F.col("window_ms") - F.lag("window_ms").over(w)
-    rows = rows.withColumn("_total", total).withColumn("_wall", wall)
-    used = F.col("_total") - F.lag("_total").over(w)
-    return rows.withColumn("cpu", 100.0 * used / F.col("_wall")).drop("_total", "_wall")
+def cpu_percent(rows: DataFrame, cell_ms: int = DAY_MS) -> DataFrame:
+    """100 * busy time / wall time since the previous sample of the user, which is carried over time cells.
+
+    Samples without a user have no previous one.
+    """
+    known = carried(rows.filter("user_id IS NOT NULL"), ["user_id"], "window_ms", ["window_ms"], {"_was": ("max", F.col("window_ms"))}, cell_ms)
+    rows = known.unionByName(rows.filter("user_id IS NULL").withColumn("_was", F.lit(None).cast("long")))
+    return rows.withColumn("cpu", 100.0 * F.col("busy") / (F.col("window_ms") - F.col("_was"))).drop("_was")
 
 
 def status(events: DataFrame, delay: str | None = None) -> DataFrame:
