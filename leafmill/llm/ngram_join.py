@@ -144,7 +144,9 @@ def _packed_batch(rows: list[dict]) -> pa.RecordBatch:
 
 
 def _deal(place_of: np.ndarray, owner: np.ndarray, keys, tokens, ranks=None) -> Iterator[dict]:
-    """Packed rows, one for each place, of tokens that lie in the order of their owners."""
+    """Packed rows, one for each place, of tokens that lie in the order of their owners; none without tokens."""
+    if not len(place_of):
+        return
     order = np.argsort(place_of, kind="stable")
     places, begins = np.unique(place_of[order], return_index=True)
     for place, part in zip(places, np.split(order, begins[1:]), strict=True):

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import held_out, table
+from leafmill.llm.common import held_out, saved, table
 from leafmill.llm.decontamination import decontaminate
 from leafmill.llm.fingerprints import fingerprints
 from leafmill.llm.html_text import extract_text
@@ -93,8 +93,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page written to WARC archives and read back."""
-    return read_archives(write_archives(table(spark, sf_dir, "pages"))).select(
+    """Every page written to WARC archives, which are stored, and read back from there."""
+    return read_archives(saved(write_archives(table(spark, sf_dir, "pages")), "archives")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"
     )
 

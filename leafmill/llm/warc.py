@@ -7,7 +7,9 @@ session uses, and a lost task is simply written again.  ``read_warc`` takes the
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
@@ -25,7 +27,7 @@ EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 ARCHIVES = "archive string, data binary"
 RECORDS = (
-    "page_id long, url string, payload_bytes long, payload_digest string, record_type string, "
+    "page_id long, record_id string, url string, payload_bytes long, payload_digest string, record_type string, "
     "refers_to long, payload binary, intact boolean"
 )
 CHUNK = 1 << 16
@@ -90,8 +92,28 @@ def _fields(head: bytes) -> dict[str, str]:
     return out
 
 
+def holds(field: str | None, data: bytes) -> bool | None:
+    """Whether a digest field (algorithm and value, in hexadecimal or base 32) is that of the bytes; None without a known one."""
+    name, _, value = (field or "").partition(":")
+    if name.lower() not in ("sha256", "sha1", "md5", "sha512") or not value:
+        return None
+    made = hashlib.new(name.lower(), data).digest()
+    return value.lower() == made.hex() or value.upper().rstrip("=") == base64.b32encode(made).decode().rstrip("=")
+
+
+def _page(record_id: str) -> int | None:
+    """The page of a record that was written here, else None."""
+    own = record_id.strip("<>")
+    number = own.removeprefix(ID_PREFIX)
+    return int(number) if own.startswith(ID_PREFIX) and re.fullmatch(r"-?[0-9]+", number) else None
+
+
 def parse(content: bytes) -> dict:
-    """One record: its fields, framed by Content-Length, with both digests checked."""
+    """One record of any writer: its fields, framed by Content-Length, with the digests that it names checked.
+
+    ``page_id`` and ``refers_to`` are null where the record ids are not those of ``write_archives``; ``record_id`` has the id as it
+    stands.  ``intact`` is null if the record has no digest.
+    """
     head, found, rest = content.partition(b"\r\n\r\n")
     if not found or not head.startswith(b"WARC/"):
         raise BadArchive("a member without a record header")
@@ -101,22 +123,23 @@ def parse(content: bytes) -> dict:
         raise BadArchive("the block is not as long as its header says")
     block = rest[:length]
     http, _, payload = block.partition(b"\r\n\r\n")
-    kind = fields["warc-type"]
-    intact = fields.get("warc-block-digest", "") == "sha256:" + hashlib.sha256(block).hexdigest()
-    digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
+    kind = fields.get("warc-type", "")
+    checks = [holds(fields.get("warc-block-digest"), block)]
     if kind == "response":
-        intact = intact and hashlib.sha256(payload).hexdigest() == digest
-    own = fields["warc-record-id"].strip("<>").removeprefix(ID_PREFIX)
-    target = fields.get("warc-refers-to", "").strip("<>").removeprefix(ID_PREFIX)
+        checks.append(holds(fields.get("warc-payload-digest"), payload))
+    known = [c for c in checks if c is not None]
+    record_id = fields.get("warc-record-id", "")
+    size = _fields(http).get("content-length", "")
     return {
-        "page_id": int(own) if own else None,
-        "url": unquote(fields["warc-target-uri"]) if "warc-target-uri" in fields else None,
-        "payload_bytes": int(_fields(http).get("content-length", len(payload))),
-        "payload_digest": digest,
+        "page_id": _page(record_id),
+        "record_id": record_id.strip("<>") or None,
+        "url": unquote(fields["warc-target-uri"].strip("<>")) if "warc-target-uri" in fields else None,
+        "payload_bytes": int(size) if size.isdigit() else len(payload),
+        "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha256:"),
         "record_type": kind,
-        "refers_to": int(target) if target else None,
+        "refers_to": _page(fields.get("warc-refers-to", "")),
         "payload": payload if kind == "response" else None,
-        "intact": intact,
+        "intact": all(known) if known else None,
     }
 
 
@@ -207,6 +230,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
 SCHEMA = pa.schema(
     [
         ("page_id", pa.int64()),
+        ("record_id", pa.string()),
         ("url", pa.string()),
         ("payload_bytes", pa.int64()),
         ("payload_digest", pa.string()),

@@ -141,7 +141,8 @@ def test_pipeline_stages_against_brute_force(spark):
             items = [plain(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
             assert gone == {i for i, t in before.items() if any(x in plain(t) for x in items)}
     last = corpus_pipeline.STAGES[-1][1](spark, kept, SF).collect()
-    assert len(last) == kept.count() and all(r.lossless for r in last)
+    assert len(last) == kept.count() and all(r.lossless and r.n_pieces == len(r.piece_ids) for r in last)
+    assert sorted(map(str, (tuple(r)[: len(docs.columns)] for r in last))) == sorted(map(str, map(tuple, kept.collect())))
 
 
 def test_rows_of_null_or_repeated_ids_are_judged_alone(spark):
@@ -171,3 +172,13 @@ def test_stages_of_awkward_rows(spark):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.unionByName(extra), SF).count() > 0, name
         stage(spark, docs.limit(0), SF).count()
+
+
+def test_near_duplicates_keep_maps_and_clashing_columns(spark):
+    rows = [(1, "a b c d e f", {"k": 1}, 5), (2, "a b c d e f", {"k": 2}, 6), (2, "a b c d e f", {"k": 2}, 6), (3, "other", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_key map<string,int>, piece_ids int")
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.row_key, r.piece_ids) for r in kept.collect()) == [(1, {"k": 1}, 5), (3, None, None)]
+    coded = corpus_pipeline.sentencepiece(spark, docs, SF)
+    assert coded.columns == ["doc_id", "text", "row_key", "piece_ids", "n_pieces", "lossless"] and coded.count() == 4

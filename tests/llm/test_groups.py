@@ -236,3 +236,26 @@ def test_each_record_is_a_member_and_damage_is_seen(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(data)
     rows = read_warc(spark, str(tmp_path)).orderBy("page_id").collect()
     assert [(r.page_id, r.record_type, r.payload_bytes, r.refers_to) for r in rows] == [(1, "response", 5, None), (2, "revisit", 5, 1)]
+
+
+def test_records_of_other_writers(spark, tmp_path):
+    import base64
+    import gzip
+    import hashlib
+
+    def member(fields, block):
+        head = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", len(block))])
+        return gzip.compress(b"WARC/1.0\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n")
+
+    block = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n<p>hello</p>"
+    sha1 = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    named = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:92283950-ef2f-4d72-b224-f54c6ec90bb0>"), ("WARC-Target-URI", "http://e.org/a")]
+    data = member([("WARC-Type", "warcinfo")], b"software: other\r\n")
+    data += member([*named, ("WARC-Block-Digest", sha1(block)), ("WARC-Payload-Digest", sha1(b"<p>hello</p>"))], block)
+    data += member([*named, ("WARC-Payload-Digest", sha1(b"else"))], block) + member(named, block) + member([("WARC-Type", "request"), named[1]], b"GET / HTTP/1.1\r\n\r\n")
+    (tmp_path / "b.warc.gz").write_bytes(data)
+    rows = read_warc(spark, str(tmp_path)).collect()
+    assert [r.intact for r in rows] == [True, False, None]
+    assert {(r.page_id, r.record_id, r.url, bytes(r.payload), r.payload_bytes) for r in rows} == {
+        (None, "urn:uuid:92283950-ef2f-4d72-b224-f54c6ec90bb0", "http://e.org/a", b"<p>hello</p>", 12)
+    }
