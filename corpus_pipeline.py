@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import saved, table
 from leafmill.llm.decontamination import decontaminate
 from leafmill.llm.ngram_join import ngram_join
+from leafmill.llm.pieces import encode_pieces
 from leafmill.llm.quality import learn_quality, score_quality
-from leafmill.llm.queries import PIECES, configured, piece_digest
+from leafmill.llm.queries import DROPOUT, PIECES, SEED, configured
 from leafmill.llm.toxicity import learn_scorer, score_toxicity
 
 
@@ -30,45 +31,69 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).filter("keep").drop("expected_grade", "tail_probability", "keep")
 
 
-def row_key() -> Column:
-    """A key of a row: hash of id and text, since ids may be null or repeat.  Only equal rows share it."""
-    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+def row_key(side: int = 0) -> Column:
+    """A key of a row: 64-bit hash of id and text, since ids may be null or repeat.  Equal rows share it."""
+    return F.xxhash64(*([F.lit(side)] if side else []), F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that the documents do not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id, of these the smallest row key.
 
     A row without a doc_id stays only if no row of its group has one.  Different documents with one doc_id are documents
-    of their own; rows of equal id and text are one.
+    of their own; rows of equal id and text are one, that with the smallest other columns as JSON.  Two rows are told apart by
+    128 bits, so different documents whose first keys collide both stay.
     """
-    keyed = docs.withColumn("row_key_", row_key())
-    groups = ngram_join(keyed.select(F.col("row_key_").alias("doc_id"), "text")).select(
-        F.col("doc_id").alias("row_key_"), F.col("component_id").alias("group_")
+    key = unused(docs, "row_key")
+    keyed = docs.withColumn(key, row_key())
+    groups = ngram_join(keyed.select(F.col(key).alias("doc_id"), "text")).select(
+        F.col("doc_id").alias("row_key"), F.col("component_id").alias("group")
     )
-    ids = keyed.select("row_key_", "doc_id").distinct()
+    ids = keyed.select(F.col(key).alias("row_key"), "doc_id").distinct()
     low = (
         groups.distinct()
-        .join(ids, "row_key_")
-        .groupBy("group_")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key_")).alias("first"))
-        .select("first.row_key_")
+        .join(ids, "row_key")
+        .groupBy("group")
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")).alias("first"))
+        .select(F.col("first.row_key").alias(key))
     )
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    kept = keyed.join(low, "row_key_", "left_semi").groupBy("row_key_").agg(F.min(F.struct("doc_id", "text", *others)).alias("row"))
-    return kept.select("row.*").select(*docs.columns)
+    order = F.to_json(F.struct(*others)) if others else F.lit("")
+    row = F.min_by(F.struct(*docs.columns), order).alias("row")
+    kept = keyed.join(low, key, "left_semi").groupBy(key, row_key(1).alias("second_key")).agg(row)
+    return kept.select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item; each row is judged by its own text."""
-    keyed = docs.withColumn("row_key_", row_key())
-    texts = keyed.select(F.col("row_key_").alias("doc_id"), "text")
-    found = decontaminate(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row_key_")).distinct()
-    return keyed.join(found, "row_key_", "left_anti").select(*docs.columns)
+    key = unused(docs, "row_key")
+    keyed = docs.withColumn(key, row_key())
+    texts = keyed.select(F.col(key).alias("doc_id"), "text")
+    found = decontaminate(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(found, key, "left_anti").select(*docs.columns)
+
+
+ENCODED = ("piece_ids", "n_pieces", "lossless")
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document left, encoded with merge-dropout and decoded again."""
-    return piece_digest(docs.select("doc_id", "text"), public_tokenizers.path(PIECES))
+    """The corpus: every document left with all its columns, its piece ids under merge-dropout, their number, and whether they
+    decode to the text again (a null text is empty).  Columns of these names are replaced."""
+    rows = docs.drop(*ENCODED)
+    back = unused(rows, "decoded")
+    coded = encode_pieces(rows, public_tokenizers.path(PIECES), SEED, DROPOUT, into="piece_ids", decoded=back)
+    return coded.select(
+        *rows.columns,
+        "piece_ids",
+        F.size("piece_ids").cast("long").alias("n_pieces"),
+        (F.col(back) == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
 
 
 STAGES = [
