@@ -10,7 +10,7 @@ CANON = (
     "regexp_extract(source_label, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1) || rtrim(regexp_extract(source_label, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/')) ELSE "
     + D.token_key("source_label") + " END"
 )
-KEY = f"CASE WHEN kind = 'PDF' THEN 'pdf|' || {D.token_key('title')} || '|' || {D.token_key('substr(summary, 1, 100)')} ELSE 'web|' || {CANON} END"
+KEY = f"CASE WHEN kind = 'PDF' THEN 'pdf|' || {D.token_key('title')} || '|' || {D.token_key('summary')} ELSE 'web|' || {CANON} END"
 ACTS = f"""acts0 AS (SELECT e.*, (props->>'$.k')::int AS k, epoch_us(ts) // 1000 AS at_ms FROM events e),
 acts1 AS (SELECT a.*, p.page_id, rtrim(regexp_extract(p.url, '^[^?#]*'), '/') AS base FROM acts0 a JOIN pages p ON p.page_id = (a.event_id * 7 + a.k) % (SELECT count(*) FROM pages)),
 acts2 AS (SELECT *, CASE WHEN page_id % 6 = 0 THEN base || '.pdf' WHEN event_id % 3 = 1 THEN base || '?utm=' || k WHEN event_id % 3 = 2 THEN base || '/' ELSE base END AS source_label FROM acts1),

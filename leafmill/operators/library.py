@@ -65,9 +65,11 @@ def keep_www(current, target) -> Column:
     return F.when(old.startswith("www.") & (F.concat(F.lit("www."), new) == old), kept).otherwise(col(target))
 
 
-def entry_key(kind="kind", source="source_label", title="title", summary="summary") -> Column:
-    """Dedupe key of history and reading list: web by canonical source, paged by title and summary."""
-    paged = F.concat(F.lit("pdf|"), token_key(title), F.lit("|"), token_key(F.substring(col(summary), 1, 100)))
+def entry_key(kind="kind", source="source_label", title="title", summary="summary", chars: int | None = None) -> Column:
+    """Dedupe key of history and reading list: web by canonical source, paged by title and whole summary, or by the first
+    ``chars`` characters of it if a number is given."""
+    begun = F.substring(col(summary), 1, chars) if chars else col(summary)
+    paged = F.concat(F.lit("pdf|"), token_key(title), F.lit("|"), token_key(begun))
     return F.when(col(kind) == "PDF", paged).otherwise(F.concat(F.lit("web|"), canonical_source(source)))
 
 

@@ -96,3 +96,12 @@ def test_a_bookmark_alone_protects_a_document(spark):
     known = J.known_sources(nobody, marked, nobody, nobody)
     assert [tuple(r) for r in J.orphan_report(store, known).collect()] == [(1, 1, 10)]
     assert [r.source_label for r in J.evictions(store, known, 0, 0).collect()] == ["b"]
+
+
+def test_paged_keys_take_the_whole_summary(spark):
+    from leafmill.operators import library as J
+
+    rows = [("PDF", "a.pdf", "T", "word " * 30 + end) for end in ("one", "two")]
+    frame = spark.createDataFrame(rows, "kind string, source_label string, title string, summary string")
+    assert frame.select(J.entry_key()).distinct().count() == 2
+    assert frame.select(J.entry_key(chars=100)).distinct().count() == 1
