@@ -96,7 +96,7 @@ CHECKS = {
  SELECT target_id, boff AS "offset" FROM c QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY d, created_at DESC, event_id DESC) = 1""",
     "j07_bookmark_spans": f"WITH {CITED}, {SPAN}",
     "j08_section_enrichment": f"""WITH {CITED}, {POS}, s AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS block,
-   coalesce(last_value(CASE WHEN type = 'Heading' THEN substr({D.collapse('text')}, 1, 120) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos), 'Report ' || doc_id) AS found FROM blocks)
+   coalesce(last_value(CASE WHEN type = 'Heading' THEN {D.collapse('text')} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos), 'Report ' || doc_id) AS found FROM blocks)
  SELECT p.event_id, CASE WHEN event_id % 4 = 0 THEN 'Kept ' || k ELSE found END AS section FROM pos p LEFT JOIN s USING (doc_id, block)""",
     "j09_history_overview": f"""WITH {HIST}, {LIST}, {BM}, {upsert('bm', 'full_label')}, n AS (SELECT user_id, full_label AS source_label, count(*) AS bookmarks FROM bms GROUP BY ALL), l AS (SELECT DISTINCT user_id, source_label, 1 AS listed FROM rl)
  SELECT user_id, kind, source_label, coalesce(bookmarks, 0) AS bookmarks, coalesce(listed, 0) AS listed FROM hist LEFT JOIN n USING (user_id, source_label) LEFT JOIN l USING (user_id, source_label)""",

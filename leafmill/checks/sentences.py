@@ -171,7 +171,7 @@ o AS (SELECT *, coalesce(sum(length(c)) OVER (PARTITION BY doc_id, pos ORDER BY
 SELECT doc_id, pos, s, (s + length(c))::int AS e FROM o WHERE regexp_matches(c, '^\\[\\s*\\d') OR (regexp_matches(c, '^\\([^()]*\\)$') AND {is_citation('c', INLINE_AUTHOR, False)})""",
     "n05_back_matter_cut": f"WITH {CITED}, {BEFORE} SELECT doc_id, pos, type, text FROM body",
     "n06_abbreviations": f"WITH {CITED} SELECT doc_id, pos, {spoken('text')} AS spoken FROM blocks",
-    "n08_sections": f"""WITH {CITED} SELECT doc_id, pos, type, coalesce(last_value(CASE WHEN type = 'Heading' THEN substr({D.collapse('text')}, 1, 120) END IGNORE NULLS)
+    "n08_sections": f"""WITH {CITED} SELECT doc_id, pos, type, coalesce(last_value(CASE WHEN type = 'Heading' THEN {D.collapse('text')} END IGNORE NULLS)
       OVER (PARTITION BY doc_id ORDER BY pos), 'Report ' || doc_id::varchar) AS section FROM blocks""",
     "n09_skim": SKIM,
     "n11_listing": f"""WITH {CITED}, k AS (SELECT * FROM blocks WHERE doc_id % 3 <> 0 OR (type = 'Heading' AND doc_id % 9 <> 0)),

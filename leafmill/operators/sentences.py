@@ -47,7 +47,6 @@ INLINE_PARENS = (
 )
 INLINE_NUMBERS = r"\[\s*\d+(?:\s*[-,;–—]\s*\d+)*\s*\]"
 CONCLUSION_WORDS = ["conclusion", "discussion", "final remarks", "closing"]
-SECTION_CHARS = 120
 # first rule wins where two match at one place
 ABBREVIATIONS = [
     (r"mr\.", "Mister"), (r"mrs\.", "Misses"), (r"ms\.", "Miss"), (r"dr\.", "Doctor"),
@@ -225,14 +224,16 @@ def citation_spans(text) -> Column:
     )
 
 
-def section_of(blocks, title) -> Column:
-    """Blocks with ``section``: the last heading at or before the block, else the title."""
+def section_of(blocks, title, chars: int | None = None) -> Column:
+    """Blocks with ``section``: the last heading at or before the block, else the title; whole, or the first ``chars``
+    characters if a number is given."""
+    name = lambda text: F.substring(collapse(text), 1, chars) if chars else collapse(text)
     start = F.struct(
-        F.substring(collapse(title), 1, SECTION_CHARS).alias("now"), F.array().alias("out")
+        name(title).alias("now"), F.array().alias("out")
     ).cast("struct<now:string,out:array<struct<pos:int,type:string,section:string>>>")
 
     def step(acc, b):
-        now = F.when(b.type == "Heading", F.substring(collapse(b.text), 1, SECTION_CHARS)).otherwise(acc.now)
+        now = F.when(b.type == "Heading", name(b.text)).otherwise(acc.now)
         return F.struct(
             now.alias("now"),
             F.concat(
