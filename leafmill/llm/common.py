@@ -79,6 +79,23 @@ def salt_of(*columns: str, parts: int) -> F.Column:
     return F.pmod(F.xxhash64(*columns), F.lit(parts)).cast("int")
 
 
+def hot_join(rows: DataFrame, facts: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``facts``, which has one row per key and says in ``size`` how many of the rows have it.
+
+    Keys with more than one part in 4 x partitions of all rows are at most 4 x partitions many, so their facts are
+    broadcast and their rows stay where they are; the rows of all other keys are shuffled.  ``size`` is dropped.
+    """
+    parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = facts.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    bound = max(1, total // parts)
+    hot = facts.filter(F.col(size) > bound).drop(size)
+    cold = facts.filter(F.col(size) <= bound).drop(size)
+    return (
+        rows.join(F.broadcast(hot), key)
+        .unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how), allowMissingColumns=False)
+    )
+
+
 def learning_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
     """A bounded, repeatable sample of labelled documents: (text, label).
 

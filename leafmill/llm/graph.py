@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import saved
+from leafmill.llm.common import hot_join, saved
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -15,8 +15,8 @@ def _signature(edges: DataFrame) -> tuple:
 
 def _stars(directed: DataFrame) -> DataFrame:
     """(a, b, m): every pair with the smallest key in the closed neighbourhood of ``a``."""
-    low = directed.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return directed.join(low, "a")
+    low = saved(directed.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "stars")
+    return hot_join(directed, low.select("a", F.least("a", "m").alias("m"), "n"), "a", "n")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round links all larger neighbours of a node to its smallest one, then all smaller ones, until
     nothing changes; the number of rounds grows with the logarithm of the longest path.  Minima are
-    combined before the shuffle and the joins back are plain sort-merge joins, so a hub is split by AQE.
+    combined before the shuffle, and the joins back shuffle no neighbours of a hub (``hot_join``).
     Edges with a null or with equal ends are ignored.  Every round is written to the shared folder.
     """
     edges = saved(edges.select("a", "b").filter("a <> b").distinct(), "edges")

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import U64, mix, saved, slices
+from leafmill.llm.common import U64, hot_join, mix, saved, slices
 from leafmill.llm.graph import components
 
 # --- fixed values: what separates words, and what lower case means ---
@@ -542,16 +542,22 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     classes = keyed.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
     total = keyed.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     links = components(shingle_links(docs, total, words, percent))
-    joined = links.join(classes, F.col("node") == F.col("key"))
-    tops = joined.groupBy("root").agg(F.min("low").alias("top"), F.sum("n").alias("many"))
+    joined = saved(classes.join(links, F.col("key") == F.col("node"), "left").drop("node"), "joined")
+    tops = saved(
+        joined.filter("root is not null")
+        .groupBy("root")
+        .agg(F.min("low").alias("top"), F.sum("n").alias("many"), F.count("*").alias("members")),
+        "tops",
+    )
     # classes that hold several documents or have links; all others are their own component
-    wide = (
-        classes.join(links, F.col("key") == F.col("node"), "left")
-        .join(tops, "root", "left")
-        .select("key", F.coalesce("top", "low").alias("component"), F.coalesce("many", "n").alias("many"))
+    wide = saved(
+        hot_join(joined, tops, "root", "members", "left")
+        .select("key", F.coalesce("top", "low").alias("component"), F.coalesce("many", "n").alias("many"), "n")
         .filter("many > 1")
+        .drop("many"),
+        "wide",
     )
-    return keyed.join(wide, "key", "left").select(
+    return hot_join(keyed, wide, "key", "n", "left").select(
         "doc_id",
         "n_shingles",
         F.coalesce("component", "doc_id").alias("component_id"),

@@ -137,7 +137,8 @@ class Scorer:
             start = end - size + 1
             if start < done or (start and low[start - 1].isalnum()):
                 continue
-            begin = max(low.rfind(mark, 0, start) for mark in ".!?;:\n") + 1
+            # the last clause ended at a mark, so nothing before it is searched again
+            begin = max(low.rfind(mark, max(done, 0), start) for mark in ".!?;:\n") + 1
             stop = CLAUSE_END.search(low, end + 1)
             done = stop.start() if stop else len(low)
             classes, weights = [], []

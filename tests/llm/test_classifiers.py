@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -42,6 +43,10 @@ def test_clauses_and_words():
     assert len(found) == 3 and found[0][2] > found[1][2]
     assert scorer.clauses("") == [] and scorer.clauses("losers closer") == []
     assert scorer.score(0) < 0.5 < scorer.score(2)
+    # one mark only: the other marks are not looked for from the start of the text at every clause
+    began = time.monotonic()
+    assert len(scorer.clauses("you loser.  " * 200_000)) == 200_000
+    assert time.monotonic() - began < 30
 
 
 def test_held_out_toxicity(spark):

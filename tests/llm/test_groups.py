@@ -12,6 +12,7 @@ import pytest
 from leafmill.checks.compare import compare, duck
 from leafmill.llm import ngram_join as N
 from leafmill.llm import queries as Q
+from leafmill.llm.common import hot_join
 from leafmill.llm.decontamination import decontaminate, templates
 from leafmill.llm.graph import components
 from leafmill.llm.ngram_join import ngram_join
@@ -118,6 +119,18 @@ def test_star_rounds(spark):
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 102: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    hubs = [(5, i) for i in range(1000, 3000)] + [(2, i) for i in range(3000, 3500)] + [(2, 1000)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(hubs, "a long, b long")).collect()}
+    assert got == {i: 2 for i in (2, 5, *range(1000, 3500))}
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_of_hot_keys(spark, how):
+    rows = spark.createDataFrame([(1, i) for i in range(900)] + [(i, i) for i in range(2, 300)] + [(None, 0)], "k long, v long")
+    facts = spark.createDataFrame([(1, "a", 900)] + [(i, "b", 1) for i in range(2, 200)], "k long, f string, n long")
+    got = sorted((tuple(r) for r in hot_join(rows, facts, "k", "n", how).select("k", "v", "f").collect()), key=str)
+    assert got == sorted((tuple(r) for r in rows.join(facts, "k", how).select("k", "v", "f").collect()), key=str)
+    assert hot_join(rows, facts.limit(0), "k", "n", how).count() == (1199 if how == "left" else 0)
 
 
 # -- operator 1 --
