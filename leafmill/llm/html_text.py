@@ -2,9 +2,9 @@
 
 The standard library's parser streams events; text between block tags becomes a line with its count of
 characters and tags.  The text-to-tag ratio per line is smoothed by a Gaussian, lines are clustered by a
-threshold, and the element that holds the content cluster is the content region: its lines are the
-article, short ones included.  Lines inside menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments never count.
+threshold, runs of paragraphs and headings that touch the cluster join it, and the element that holds the cluster
+is the content region: its lines are the article, short ones included.  Lines inside menus, headers, footers, sidebars,
+notices, adverts, forms and reader comments never count.
 """
 
 from __future__ import annotations
@@ -56,12 +56,18 @@ NAMES = frozenset(
 KEPT_TAGS = frozenset("html body main article".split())
 # words beside a name that tell a state of the page ("has-sidebar", "sharing-enabled"), not what the element is
 STATES = frozenset("has no not with without enabled disabled".split())
+# ids that sections of papers and manuals have, too
+SECTIONS = frozenset("commentary copyright discussion legal notice notices search".split())
 # whole classes of an article that is a reader's comment
 REMARKS = frozenset("comment reply".split())
 WORDS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+def words_of(name: str) -> list[str]:
+    return WORDS.findall(CAMEL.sub(" ", name).lower())
+
+
 def apart(tag: str, attributes: dict[str, str | None], inside: bool) -> bool:
     """Whether an element stands beside the article.  ``inside``: an article is open, where a header is a part of it."""
     if tag in APART or (tag == "header" and not inside):
@@ -74,17 +80,22 @@ def apart(tag: str, attributes: dict[str, str | None], inside: bool) -> bool:
 
 
 def named_apart(tag: str, attributes: dict[str, str | None]) -> bool:
-    """Whether an element is called something beside the article, or is a form; ``way_back`` may overrule it."""
-    names = f"{attributes.get('class') or ''} {attributes.get('id') or ''}".split()
+    """Whether an element is called something beside the article, or is a form; ``way_back`` may overrule it.
+
+    Ids of headings and sections are mostly made from the text of a heading: that of a heading silences nothing, and that
+    of a section only where it has no other words.
+    """
+    classes, ids = (attributes.get("class") or "").split(), (attributes.get("id") or "").split()
     if tag in KEPT_TAGS:
-        return tag == "article" and any(n.lower() in REMARKS for n in names)
+        return tag == "article" and any(n.lower() in REMARKS for n in classes + ids)
     if tag == "form":
         return True
-    for name in names:
-        words = WORDS.findall(CAMEL.sub(" ", name).lower())
+    section = tag == "section" or (tag == "div" and "section" in classes)
+    for name in classes if section or tag in HEADINGS else classes + ids:
+        words = words_of(name)
         if any(w in NAMES for w in words) and not any(w in STATES for w in words):
             return True
-    return False
+    return section and any(all(w in NAMES and w not in SECTIONS for w in words_of(i)) for i in ids if words_of(i))
 
 
 class Lines(HTMLParser):
@@ -100,20 +111,27 @@ class Lines(HTMLParser):
         self.number = 0
         self.parent: list[int] = [0]
         self.tag_of: list[str] = [""]
+        self.kind_of: list[tuple[str, str | None]] = [("", None)]  # tag and class
         self.muted = 0
         self.named: set[int] = set()  # silenced by a name only
         self.held: dict[int, int] = {}  # characters right inside an element, silenced by a name or not
         self.marks: list[int] = []  # article, main and h1 elements that no tag or attribute silences
         self.hard = 0
         self.articles = 0
+        self.at: dict[str, list[int]] = {}  # depths of the open elements of a tag
+        self.blocks: list[int] = []  # depths of the open blocks
+        self.labels: set[int] = set()  # open headings whose id is a name
         self.links = 0
         self.prose = 0
+        self.headings = 0
         self.linked: list[str] = []
         self.text: list[str] = []
         self.tags = 0
         self.lines: list[tuple[str, int, int]] = []  # text, tags, element
         self.is_prose: list[bool] = []  # a heading, or a paragraph that is not mostly links
         self.is_link: list[bool] = []
+        self.is_heading: list[bool] = []
+        self.is_label: list[bool] = []
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -121,36 +139,45 @@ class Lines(HTMLParser):
             link = 2 * len(" ".join("".join(self.linked).split())) > len(text)
             self.lines.append((text, self.tags, self.open[-1][1] if self.open else 0))
             self.is_link.append(link)
-            self.is_prose.append(self.prose > 0 and (not link or any(t in HEADINGS for t, _, _ in self.open)))
+            self.is_prose.append(self.prose > 0 and (not link or self.headings > 0))
+            self.is_heading.append(self.headings > 0)
+            self.is_label.append(bool(self.labels))
             self.tags = 0
         self.text = []
         self.linked = []
 
     def _pop(self) -> None:
         tag, number, mute = self.open.pop()
+        self.at[tag].pop()
+        if tag in BLOCK:
+            self.blocks.pop()
         self.muted -= mute
         self.hard -= mute and number not in self.named
         self.articles -= tag in ("article", "main")
         self.links -= tag == "a"
         self.prose -= tag in PROSE
+        self.headings -= tag in HEADINGS
+        self.labels.discard(number)
+
+    def _pop_to(self, depth: int) -> None:
+        while len(self.open) > depth:
+            self._pop()
+
+    def _depth(self, tags) -> int:
+        """Depth of the innermost open element of these tags, -1 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
 
     def _end(self, tags: str, stop: frozenset) -> None:
-        wanted = tags.split()
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth][0] in stop:
-                return
-            if self.open[depth][0] in wanted:
-                while len(self.open) > depth:
-                    self._pop()
-                return
+        depth = self._depth(tags.split())
+        if depth > self._depth(stop):
+            self._pop_to(depth)
 
     def _leave_head(self, tag: str) -> None:
         """An open head ends where the body begins; its end tag may be left out."""
-        if not self.open or all(t != "head" for t, _, _ in self.open):
+        if not self.at.get("head"):
             return
-        if tag == "body" and all(t not in ("template", "body") for t, _, _ in self.open):
-            while any(t == "head" for t, _, _ in self.open):
-                self._pop()
+        if tag == "body" and not self.at.get("template") and not self.at.get("body"):
+            self._pop_to(self.at["head"][0])
         elif self.open[-1][0] == "head" and tag not in IN_HEAD and tag not in ("head", "html"):
             self._pop()
 
@@ -171,18 +198,25 @@ class Lines(HTMLParser):
         self.number += 1
         attributes = dict(attrs)
         # an article inside an article is a reader's comment
-        hard = tag in SILENT or apart(tag, attributes, self.articles > 0) or (tag == "article" and self.articles > 0 and any(t == "article" for t, _, _ in self.open))
+        hard = tag in SILENT or apart(tag, attributes, self.articles > 0) or (tag == "article" and bool(self.at.get("article")))
         mute = hard or (self.number not in self.released and named_apart(tag, attributes))
         if mute and not hard:
             self.named.add(self.number)
         self.parent.append(self.open[-1][1] if self.open else 0)
         self.tag_of.append(tag)
+        self.kind_of.append((tag, attributes.get("class")))
+        self.at.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCK:
+            self.blocks.append(len(self.open))
         self.open.append((tag, self.number, mute))
         self.muted += mute
         self.hard += hard
         self.articles += tag in ("article", "main")
         self.links += tag == "a"
         self.prose += tag in PROSE
+        self.headings += tag in HEADINGS
+        if tag in HEADINGS and any(w in NAMES for w in words_of(attributes.get("id") or "")):
+            self.labels.add(self.number)
         if not self.hard and tag in ("article", "main", "h1"):
             self.marks.append(self.number)
 
@@ -195,16 +229,11 @@ class Lines(HTMLParser):
             self.flush()
         if not self.muted:
             self.tags += 1
-        if tag == "p" and not any(t == "p" for t, _, _ in self.open):
+        depth = self._depth([tag])
+        # an inline end tag never closes a block around it
+        if depth < 0 or (tag not in BLOCK and tag not in SILENT and self.blocks and self.blocks[-1] > depth):
             return
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth][0] == tag:
-                while len(self.open) > depth:
-                    self._pop()
-                return
-            # an inline end tag never closes a block around it
-            if tag not in BLOCK and tag not in SILENT and self.open[depth][0] in BLOCK:
-                return
+        self._pop_to(depth)
 
     def handle_data(self, data: str) -> None:
         if self.open and self.open[-1][0] == "head" and data.strip():
@@ -238,41 +267,68 @@ def way_back(page: Lines) -> frozenset[int]:
     if not page.named:
         return frozenset()
     count = len(page.parent)
-    chains: list[tuple[int, ...]] = [()] * count  # named elements around an element, itself included
+    above = [0] * count  # the innermost named element around an element, itself included; 0 if there is none
     for element in range(1, count):
-        above = chains[page.parent[element]]
-        chains[element] = (*above, element) if element in page.named else above
+        above[element] = element if element in page.named else above[page.parent[element]]
     gross, free = [0] * count, [0] * count
     for element, size in page.held.items():
         gross[element] = size
-        free[element] = 0 if chains[element] else size
+        free[element] = 0 if above[element] else size
     for element in range(count - 1, 0, -1):
         gross[page.parent[element]] += gross[element]
         free[page.parent[element]] += free[element]
     articles = [e for e in page.marks if page.tag_of[e] != "h1"]
     total = gross[0]
-    if any(not chains[e] and free[e] >= min(200, max(1, total // 50)) for e in articles):
+    if any(not above[e] and free[e] >= min(200, max(1, total // 50)) for e in articles):
         return frozenset()
     titles = [e for e in page.marks if page.tag_of[e] == "h1" and gross[e]]
-    titled = any(not chains[e] for e in titles)
-    released = {e for e in page.named if gross[e] > (0.9 if titled else 0.5) * total}
+    titled = any(not above[e] for e in titles)
+    wanted = [e for e in page.named if gross[e] > (0.9 if titled else 0.5) * total]
     if not titled:
-        if 2 * free[0] < total:
-            released.update(*(chains[e] for e in articles))
-        released.update(*(chains[e] for e in titles))
+        wanted += titles + (articles if 2 * free[0] < total else [])
     # what is released is open only if all around it is
-    released.update(*(chains[e] for e in list(released)))
-    left = sum(size for e, size in page.held.items() if released.issuperset(chains[e]))
+    released: set[int] = set()
+    for element in wanted:
+        element = above[element]
+        while element and element not in released:
+            released.add(element)
+            element = above[page.parent[element]]
+    left = sum(size for e, size in page.held.items() if not above[e] or above[e] in released)
     return frozenset(page.named if not titled and 10 * left < total else released)
 
 
+def trimmed_runs(cluster: np.ndarray, strong: np.ndarray) -> np.ndarray:
+    """The cluster without the lines at the ends of its runs that only their neighbours have carried over the threshold."""
+    sides = []
+    for step in (1, -1):
+        side, met = cluster.copy(), False
+        for k in range(len(cluster))[::step]:
+            met = bool(cluster[k]) and (met or bool(strong[k]))
+            side[k] = met
+        sides.append(side)
+    return sides[0] & sides[1]
+
+
+def joined_runs(cluster: np.ndarray, prose: np.ndarray) -> np.ndarray:
+    """The cluster with every run of prose lines that touches or holds a line of it."""
+    out = cluster.copy()
+    for step in (1, -1):
+        run = False
+        for k in range(len(out))[::step]:
+            run = bool(out[k]) or (run and bool(prose[k]))
+            out[k] = run
+    return out
+
+
 def main_text(html: str, sigma: float = 1.0, share: float = 1.0) -> str:
     """Blocks of the content region in page order, joined by two line ends; empty if there is none.
 
     ``sigma`` is the width of the smoothing in lines; lines whose smoothed ratio exceeds the standard
-    deviation of all ratios are content, and so are headings and paragraphs; lines of links are not.  The region is
-    the innermost article, main, section, div, cell or body that holds ``share`` of the characters of those lines.
-    Containers of nothing but links at its two ends are menus and left out, unless it is an article.
+    deviation of all ratios are the content cluster, lines of links are not, nor are lines at its ends that only their
+    neighbours lift over it; paragraphs and headings next to it join it.  The
+    region is the innermost article, main, section, div, cell or body that holds ``share`` of the characters of those lines.
+    Containers without a line of the cluster at its two ends are menus, head and foot lines and left out, unless it is an
+    article or they hold other lines than links and are of the kind (tag and class) of its content.  A heading whose id is a name ("comments") is left out where no text comes under it.
     """
     page = Lines()
     page.feed(html)
@@ -288,7 +344,11 @@ def main_text(html: str, sigma: float = 1.0, share: float = 1.0) -> str:
     ratio = sizes / np.array([max(1, tags) for _, tags, _ in page.lines])
     smooth = smoothed(ratio, sigma)
     link = np.array(page.is_link)
-    content = ((smooth >= np.std(smooth)) & ~link) | np.array(page.is_prose)
+    prose = np.array(page.is_prose)
+    cluster = (smooth >= np.std(smooth)) & ~link
+    content = joined_runs(trimmed_runs(cluster, prose | (ratio >= np.std(smooth))), prose)
+    if not content.any():
+        content = cluster
     if not content.any():
         content[:] = True
     # characters of the content cluster inside every element
@@ -315,13 +375,17 @@ def main_text(html: str, sigma: float = 1.0, share: float = 1.0) -> str:
     for element in range(region + 1, len(part)):
         around = part[page.parent[element]]
         part[element] = element if around == region else around
-    lines = [(text, part[e], is_link) for (text, _, e), is_link in zip(page.lines, page.is_link, strict=True) if part[e] >= 0]
+    lines = [(text, part[e], k) for k, (text, _, e) in enumerate(page.lines) if part[e] >= 0]
     if not article:
-        menus = {p for _, p, _ in lines if p != region and not held[p]} - {p for _, p, is_link in lines if not is_link}
-        while lines and lines[0][1] in menus:
+        kinds = {page.kind_of[p] for _, p, _ in lines if held[p]}
+        mixed = {p for _, p, k in lines if not link[k] and page.kind_of[p] in kinds}
+        beside = {p for _, p, _ in lines if p != region and not held[p]} - mixed
+        while lines and lines[0][1] in beside:
             del lines[0]
-        while lines and lines[-1][1] in menus:
+        while lines and lines[-1][1] in beside:
             lines.pop()
+    after = [k for _, _, k in lines[1:]] + [-1]
+    lines = [line for line, k in zip(lines, after, strict=True) if not page.is_label[line[2]] or (k >= 0 and not page.is_heading[k])]
     return "\n\n".join(text for text, _, _ in lines)
 
 

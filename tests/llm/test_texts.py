@@ -1,10 +1,13 @@
 """Token counts, pieces, fingerprints, licences and page text against plain versions of the same rules."""
 
 import hashlib
+import itertools
 import os
 import random
+import time
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -24,7 +27,7 @@ from leafmill.llm.fingerprints import (
     likeness,
     same_span,
 )
-from leafmill.llm.html_text import main_text
+from leafmill.llm.html_text import joined_runs, main_text, trimmed_runs
 from leafmill.llm.licences import KNOWN, license_scan, license_sql
 from leafmill.llm.token_counts import merger, token_counts
 
@@ -331,3 +334,66 @@ def test_ids_decode_to_their_texts(spark):
     assert all(r.decoded == r.again == (r.text or "") for r in rows)
     none = spark.createDataFrame([(None,), ([],)], "ids array<int>")
     assert [r.decoded for r in P.decode_pieces(none, MODEL).collect()] == ["", ""]
+
+
+# -- operator 4: names, clusters, depth --
+
+LONG = "A sentence of the article that goes on for a while, so that its line has many characters. " * 3
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<section id="related-work"><h2>Related work</h2><p>{0}</p></section>',
+        '<section id="discussion"><h2>Discussion</h2><p>{0}</p></section>',
+        '<section id="search-algorithms"><p>{0}</p></section>',
+        '<h2 id="legal-notice">Legal notice</h2><p>{0}</p>',
+        '<h2 id="comments">Comments</h2><p>{0}</p>',
+        '<div class="section" id="legal"><p>{0}</p></div>',
+    ],
+)
+def test_sections_named_after_their_headings_stay(part):
+    text = main_text(f"<html><body><article><h1>Title</h1><p>{LONG}</p>{part.format('Words of the section.')}<p>End.</p></article></body></html>")
+    assert text.startswith("Title\n\n") and "Words of the section." in text and text.endswith("\n\nEnd.")
+
+
+def test_named_parts_of_an_article_go():
+    for part in ('<section id="comments"><p>A remark.</p></section>', '<section id="related"><p>A remark.</p></section>',
+                 '<p class="notice">A remark.</p>', '<h2 id="comments">Comments</h2><ol class="commentlist"><li>A remark.</li></ol>'):
+        assert main_text(f"<article><h1>Title</h1><p>{LONG}</p>{part}</article>") == f"Title\n\n{LONG.strip()}"
+
+
+def test_head_and_foot_lines_without_a_known_name_go():
+    body = "".join(f"<p>{LONG}</p>" for _ in range(6))
+    page = f'<body><div class="site-line"><b>The</b> <i>Site</i> <a href="/">Start</a> <a href="/n">News</a> <i>x</i></div><div><h1>Title</h1>{body}</div>' \
+        '<div class="site-bottom"><span>(c)</span> <b>2024</b> <i>Site</i> Inc.</div></body>'
+    text = main_text(page)
+    assert text.startswith("Title\n\nA sentence") and "2024" not in text and text.count("goes on") == 18
+
+
+def test_short_last_blocks_of_an_article_of_divs_stay():
+    assert main_text(f"<body><div>{LONG}</div><div>{LONG}</div><div>The end.</div></body>").endswith("\n\nThe end.")
+
+
+def test_runs_join_the_cluster():
+    rng = random.Random(2)
+    for _ in range(200):
+        n = rng.randrange(1, 12)
+        cluster, prose = (np.array([rng.random() < 0.4 for _ in range(n)]) for _ in range(2))
+        expected = cluster.copy()
+        while True:
+            more = [k for k in range(n) if not expected[k] and prose[k] and any(0 <= j < n and expected[j] for j in (k - 1, k + 1))]
+            if not more:
+                break
+            expected[more] = True
+        assert (joined_runs(cluster, prose) == expected).all()
+        runs = [list(g) for on, g in itertools.groupby(range(n), lambda k: cluster[k]) if on]
+        inner = {k for run in runs for k in run if any(prose[j] for j in run if j <= k) and any(prose[j] for j in run if j >= k)}
+        assert np.flatnonzero(trimmed_runs(cluster, prose)).tolist() == sorted(inner)
+
+
+@pytest.mark.parametrize("tag", ["<div>", "<span>", '<div class="menu">', "<ul><li>", "<b><p>", "<section id='related'><h2>"])
+def test_deep_pages_take_linear_time(tag):
+    began = time.monotonic()
+    main_text(tag * 50_000 + "text")
+    assert time.monotonic() - began < 10
