@@ -42,7 +42,7 @@ FULL = f"{BM}, {upsert('bm', 'full_label')}"
 LAST = "lst AS (SELECT user_id, arg_max(source_label, {'a': at_ms, 'e': event_id}) AS source_label FROM acts GROUP BY user_id)"
 KNOWN = f"""{FULL}, {LAST}, known AS (SELECT user_id, source_label FROM hist UNION SELECT user_id, full_label FROM bms
   UNION SELECT user_id, source_label FROM rl UNION SELECT user_id, source_label FROM lst)"""
-SNIP = "substr(lower(" + D.collapse("snippet") + "), 1, 48)"
+SNIP = "lower(" + D.collapse("snippet") + ")"
 SPAN = f"""{POS},
 nb AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS block, text FROM blocks),
 r AS (SELECT p.*, n.text, CASE WHEN event_id % 2 = 0 THEN substr(text, off + 4, 30) ELSE 'no such text' END AS snippet, least(off, length(text) - 1) AS st FROM pos p JOIN nb n USING (doc_id, block)),

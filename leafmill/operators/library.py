@@ -16,7 +16,7 @@ from leafmill.operators.blocks import peel_plain_text
 # --- fixed values: limits of the library ---
 OFFSET_TOLERANCE = 3
 MATCH_TOLERANCE = 12
-SNIPPET_PREFIX, SNIPPET_MIN = 48, 16
+SNIPPET_MIN = 16
 SPAN_PREFIX, SPAN_CHARS = 96, 220
 QUALITY_MARGIN = 160
 
@@ -163,15 +163,47 @@ def bookmark_rename(bookmarks: DataFrame, renames: DataFrame, chars: int | None
     return bookmarks.join(last, BOOKMARK, "left").withColumn("label", label).drop("_new", "_named")
 
 
-def nearest_bookmark(targets: DataFrame, bookmarks: DataFrame) -> DataFrame:
+def _prefixes(rows: DataFrame, place: list[str], snippet: str, others: DataFrame, other: str, proper: bool) -> DataFrame:
+    """The rows with each beginning ``key`` of their snippet that is as long as a snippet of the other side in their place.
+
+    A place has no more lengths than its longest snippet has characters.
+    """
+    lengths = others.groupBy(*place).agg(F.collect_set(F.length(other)).alias("lengths"))
+    own = F.length(snippet)
+    fits = F.filter("lengths", lambda n: (n < own) if proper else (n <= own))
+    keys = F.transform(fits, lambda n: F.substr(F.col(snippet), F.lit(1), n))
+    return rows.join(lengths, place).withColumn("key", F.explode(keys)).drop("lengths")
+
+
+def _nearest_on_both_sides(asks: DataFrame, marks: DataFrame, group: list[str]) -> DataFrame:
+    """(group, t_offset, near): up to two nearest marks of every asked offset, the last at or before it and the first after.
+
+    ``marks`` has (group, offset, made), ``asks`` (group, t_offset).  Asks and marks of an offset are one row each before the
+    windows, so a window holds at most the offsets of one block of text, however many targets or bookmarks share them.
+    """
+    made = marks.groupBy(*group, "offset").agg(F.max("made").alias("made"))
+    points = made.select(*group, F.col("offset").alias("at"), F.struct("offset", "made").alias("mark"), F.lit(False).alias("asked"))
+    asked = asks.select(*group, F.col("t_offset").alias("at"), F.lit(None).cast(points.schema["mark"].dataType).alias("mark"), F.lit(True).alias("asked"))
+    points = points.unionByName(asked.distinct()).groupBy(*group, "at").agg(F.max("mark").alias("mark"), F.max("asked").alias("asked"))
+    window = Window.partitionBy(*group).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.last("mark", True).over(window.orderBy("at"))
+    after = F.last("mark", True).over(window.orderBy(F.desc("at")))
+    found = points.select(*group, F.col("at").alias("t_offset"), "asked", F.array_compact(F.array(before, after)).alias("near"))
+    return found.filter("asked").select(*group, "t_offset", F.explode("near").alias("near"))
+
+
+def nearest_bookmark(targets: DataFrame, bookmarks: DataFrame, chars: int | None = None, least: int = SNIPPET_MIN) -> DataFrame:
     """Best bookmark per target: same place, offset within 12 or a matching snippet start, nearest first.
 
-    Two bounded routes instead of all pairs of a place: offset cells of 13 characters, and the
-    first 16 characters of the snippet.  Equal offsets are reduced to their newest bookmark first.
+    Snippets match when both have ``least`` characters and one begins with the other; only their first ``chars`` characters
+    count if a number is given.  Two routes, and no pairs of a place: cells of 13 offsets; and the beginnings of the longer
+    snippet as keys, in both directions, with the nearest offset on either side among the bookmarks of a key.  Equal offsets
+    are reduced to their newest bookmark first.  Null snippets match none.
     """
     place = ["user_id", "source_label", "block"]
     width = MATCH_TOLERANCE + 1
-    snippet = F.substring(F.lower(collapse("snippet")), 1, SNIPPET_PREFIX)
+    snippet = F.lower(collapse("snippet"))
+    snippet = F.substring(snippet, 1, chars) if chars else snippet
     t = targets.withColumn("t_snip", snippet).select(*place, "target_id", F.col("offset").alias("t_offset"), "t_snip")
     b = bookmarks.withColumn("snip", snippet)
     by_offset = latest(
@@ -181,18 +213,27 @@ def nearest_bookmark(targets: DataFrame, bookmarks: DataFrame) -> DataFrame:
     near = cells.join(by_offset, [*place, "cell"]).filter(
         F.abs(F.col("offset") - F.col("t_offset")) <= MATCH_TOLERANCE
     )
-    by_text = latest(
-        b.filter(F.length("snip") >= SNIPPET_MIN).select(*place, "snip", "offset", "created_at", "event_id"),
-        [*place, "snip", "offset"], ["created_at", "event_id"],
-    ).withColumn("start", F.substring("snip", 1, SNIPPET_MIN))
-    alike = (
-        t.filter(F.length("t_snip") >= SNIPPET_MIN)
-        .withColumn("start", F.substring("t_snip", 1, SNIPPET_MIN))
-        .join(by_text, [*place, "start"])
-        .filter(F.col("snip").startswith(F.col("t_snip")) | F.col("t_snip").startswith(F.col("snip")))
+    asks = t.filter(F.length("t_snip") >= least)
+    marks = (
+        b.filter(F.length("snip") >= least)
+        .groupBy(*place, "snip", "offset")
+        .agg(F.max(F.struct("created_at", "event_id")).alias("made"))
+    )
+    # the bookmark is as long or longer, or the target is longer
+    longer = F.lit(False).alias("longer")
+    shorter = F.lit(True).alias("longer")
+    ask_keys = asks.withColumn("key", F.col("t_snip")).select("*", longer).unionByName(
+        _prefixes(asks, place, "t_snip", marks, "snip", True).select(*asks.columns, "key", shorter)
     )
+    mark_keys = marks.withColumn("key", F.col("snip")).select("*", shorter).unionByName(
+        _prefixes(marks, place, "snip", asks, "t_snip", False).select(*marks.columns, "key", longer)
+    )
+    group = [*place, "key", "longer"]
+    alike = ask_keys.join(_nearest_on_both_sides(ask_keys, mark_keys, group), [*group, "t_offset"])
     cols = ["target_id", "t_offset", "offset", "created_at", "event_id"]
-    both = near.select(*cols).unionByName(alike.select(*cols))
+    both = near.select(*cols).unionByName(
+        alike.select("target_id", "t_offset", "near.offset", "near.made.created_at", "near.made.event_id")
+    )
     rank = F.struct(
         F.abs(F.col("offset") - F.col("t_offset")).alias("d"), (-F.col("created_at")).alias("c"), (-F.col("event_id")).alias("e")
     )

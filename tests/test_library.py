@@ -105,3 +105,34 @@ def test_paged_keys_take_the_whole_summary(spark):
     frame = spark.createDataFrame(rows, "kind string, source_label string, title string, summary string")
     assert frame.select(J.entry_key()).distinct().count() == 2
     assert frame.select(J.entry_key(chars=100)).distinct().count() == 1
+
+
+def test_nearest_bookmark_against_all_pairs(spark):
+    rng = random.Random(11)
+    long = "the quick brown fox jumps over the lazy dog and then over all of the other animals of the farm " * 2
+
+    def snippet():
+        kind = rng.random()
+        if kind < 0.1:
+            return None if kind < 0.05 else "Short one"
+        text = long[: rng.randrange(10, len(long))] + rng.choice(["", "", "x", "yy"])
+        return text.upper() if rng.random() < 0.3 else text
+
+    marks = [(i, rng.randrange(2), "s", rng.randrange(2), rng.randrange(500), snippet(), rng.randrange(40)) for i in range(300)]
+    asks = [(i, rng.randrange(2), "s", rng.randrange(3), rng.randrange(500), snippet()) for i in range(200)]
+    t = spark.createDataFrame(asks, "target_id long, user_id long, source_label string, block int, offset int, snippet string")
+    b = spark.createDataFrame(marks, "event_id long, user_id long, source_label string, block int, offset int, snippet string, created_at long")
+    for chars in (None, 48):
+        expected = {}
+        for target, user, _, block, at, own in asks:
+            best = []
+            for event, u, _, bl, offset, theirs, made in marks:
+                x, y = (" ".join((v or "").split()).lower()[:chars] for v in (own, theirs))
+                alike = min(len(x), len(y)) >= 16 and (x.startswith(y) or y.startswith(x))
+                if (u, bl) == (user, block) and (abs(offset - at) <= 12 or alike):
+                    best.append((abs(offset - at), -made, -event, offset))
+            if best:
+                expected[target] = (-min(best)[2], min(best)[3])
+        got = {r.target_id: (r.event_id, r.offset) for r in J.nearest_bookmark(t, b, chars).collect()}
+        assert got == expected and len(got) > 100
+    assert J.nearest_bookmark(t, b.limit(0)).count() == 0 and J.nearest_bookmark(t.limit(0), b).count() == 0
