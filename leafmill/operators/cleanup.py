@@ -554,6 +554,68 @@ def run_diagnostics(chunks: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def counted_keys(keys) -> Column:
+    """[(key, count)] of an array of keys, largest first, key as the tie break."""
+    counts = F.transform(
+        F.array_distinct(keys), lambda k: F.struct((-F.size(F.filter(keys, lambda x: x == k))).alias("less"), k.alias("key"))
+    )
+    return F.transform(F.array_sort(counts), lambda c: F.struct(c["key"].alias("key"), (-c["less"]).alias("count")))
+
+
+def chunk_reports(chunks: DataFrame, profile: Profile) -> DataFrame:
+    """(doc_id, chunk, report): what became of each validated chunk, with a report of each changed paragraph in it.
+
+    A rejected or failed chunk keeps its text: it has no cleaned length and no paragraph reports.
+    """
+    accepted = F.col("reason").isNull()
+    finals = F.transform("cleaned", lambda p: F.when(p == DROP, "").otherwise(paragraph(p)))
+    pairs = F.arrays_zip(F.col("idx").alias("i"), F.col("paras").alias("a"), finals.alias("b"))
+    moved = F.when(accepted, F.filter(pairs, lambda z: z["a"] != z["b"])).otherwise(F.slice(pairs, 1, 0))
+    chars = lambda items: F.aggregate(items, F.lit(0), lambda a, p: a + F.length(p))
+    reports = F.transform(
+        "moved",
+        lambda z: F.struct(
+            z["i"].alias("blockIndex"), change_kinds(z["a"], z["b"], profile).alias("changeKinds"),
+            z["a"].alias("beforeText"), z["b"].alias("afterText"),
+        ),
+    )
+    status = F.when(~accepted, "Rejected").when(F.size("moved") > 0, "AcceptedChanged").otherwise("AcceptedUnchanged")
+    report = F.struct(
+        F.element_at("idx", 1).alias("firstBlockIndex"), F.element_at("idx", -1).alias("lastBlockIndex"), status.alias("status"),
+        F.col("reason").alias("rejectionReason"), F.col("failure").alias("failureSummary"),
+        F.size("paras").alias("targetParagraphCount"), F.coalesce(F.length("before"), F.lit(0)).alias("contextBeforeChars"),
+        F.coalesce(F.length("after"), F.lit(0)).alias("contextAfterChars"), chars(F.col("paras")).alias("originalChars"),
+        F.when(accepted, chars(finals)).alias("cleanedChars"), F.size("moved").alias("changedParagraphs"),
+        F.size(F.filter("moved", lambda z: z["b"] == "")).alias("droppedParagraphs"), reports.alias("paragraphReports"),
+    )
+    return chunks.withColumn("moved", moved).select("doc_id", "chunk", report.alias("report"))
+
+
+def run_reports(chunks: DataFrame, profile: Profile, model: str, version: int, backend: str | None = None) -> DataFrame:
+    """(doc_id, diagnostics): the nested record of a clean-up run, paragraphs in chunks in documents, in order.
+
+    The lists hold the chunks of one document, which was one row before.
+    """
+    rows = chunk_reports(chunks, profile)
+    listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "report"))).alias("sorted"))
+    listed = listed.select("doc_id", F.transform("sorted", lambda c: c["report"]).alias("reports"))
+    total = lambda of: F.aggregate("reports", F.lit(0), lambda a, r: a + of(r))
+    rejected = F.filter("reports", lambda r: r["status"] == "Rejected")
+    kinds = F.flatten(F.transform(F.flatten(F.col("reports.paragraphReports")), lambda p: p["changeKinds"]))
+    diagnostics = F.struct(
+        F.lit(model).alias("modelId"), F.lit(version).alias("promptVersion"), F.lit(backend).cast("string").alias("executionBackendLabel"),
+        total(lambda r: r["targetParagraphCount"]).alias("eligibleParagraphs"), F.size("reports").alias("totalChunks"),
+        F.size("reports").alias("attemptedChunks"), (F.size("reports") - F.size(rejected)).alias("acceptedChunks"),
+        F.size(rejected).alias("rejectedChunks"), total(lambda r: r["changedParagraphs"]).alias("changedParagraphs"),
+        total(lambda r: r["droppedParagraphs"]).alias("droppedParagraphs"), total(lambda r: r["originalChars"]).alias("eligibleCharsBefore"),
+        total(lambda r: F.coalesce(r["cleanedChars"], r["originalChars"])).alias("eligibleCharsAfter"),
+        counted_keys(kinds).alias("changeKindCounts"),
+        counted_keys(F.transform(rejected, lambda r: r["rejectionReason"])).alias("rejectionReasonCounts"),
+        F.col("reports").alias("chunkReports"),
+    )
+    return listed.select("doc_id", diagnostics.alias("diagnostics"))
+
+
 def ranked_counts(rows: DataFrame, key: str) -> DataFrame:
     """Count by key, largest first, key as the tie break."""
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), key)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from leafmill.operators import cleanup as C
 from leafmill.operators import sentences as S
 from leafmill.operators.blocks import explode_blocks
+from leafmill.sources.store import from_json_line, to_json_line
 from leafmill.plans.inputs import cited_blocks, model_paragraphs
 
 
@@ -146,6 +147,24 @@ def diagnostics(spark, sf):
     return C.run_diagnostics(_both(lambda p: _rewritten(spark, sf, p)), "profile", "doc_id")
 
 
+def run_reports(spark, sf):
+    """Nested run records as JSON lines and back; the figures of a document are sums over its chunks' reports."""
+    runs = _both(lambda p: C.run_reports(_rewritten(spark, sf, p), p, "cleaner", 1).withColumn("profile", F.lit(p.name)))
+    lines = runs.select("profile", "doc_id", to_json_line(F.struct("diagnostics")).alias("line"))
+    back = lines.withColumn("d", from_json_line("line").getField("diagnostics"))
+    reports = F.col("d.chunkReports")
+    total = lambda of: F.aggregate(reports, F.lit(0), lambda a, r: a + of(r)).cast("long")
+    accepted = lambda r: (r["status"] != "Rejected").cast("int")
+    return back.select(
+        "profile", "doc_id", F.size(reports).cast("long").alias("chunks"), total(lambda r: r["targetParagraphCount"]).alias("eligible"),
+        total(accepted).alias("accepted"), total(lambda r: 1 - accepted(r)).alias("rejected"),
+        total(lambda r: F.size(r["paragraphReports"])).alias("changed"),
+        total(lambda r: F.size(F.filter(r["paragraphReports"], lambda p: p["afterText"] == ""))).alias("dropped"),
+        total(lambda r: r["originalChars"]).alias("chars_before"),
+        total(lambda r: F.coalesce(r["cleanedChars"], r["originalChars"])).alias("chars_after"),
+    )
+
+
 def diagnostics_rollup(spark, sf):
     rows = _both(lambda p: _rewritten(spark, sf, p))
     per_doc = C.run_diagnostics(rows, "profile", "doc_id", "source").withColumn(
@@ -224,6 +243,7 @@ QUERIES = {
     "c11_applied": applied,
     "c12_diagnostics": diagnostics,
     "c12_diagnostics_rollup": diagnostics_rollup,
+    "c12_run_reports": run_reports,
     "c13_rejection_counts": rejection_counts,
     "c14_diffs": diffs,
     "c16_skip_current": skip_current,

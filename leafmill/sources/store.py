@@ -10,11 +10,27 @@ from leafmill.functions.text import blank_to_null, col, collapse
 # --- fixed values: record layout ---
 SCHEMA_VERSION = 15
 BLOCK = "struct<type:string,text:string>"
+COUNTS = "array<struct<key:string,count:int>>"
+PARAGRAPH_REPORT = "struct<blockIndex:int,changeKinds:array<string>,beforeText:string,afterText:string>"
+CHUNK_REPORT = (
+    "struct<firstBlockIndex:int,lastBlockIndex:int,status:string,rejectionReason:string,failureSummary:string,"
+    "targetParagraphCount:int,contextBeforeChars:int,contextAfterChars:int,originalChars:int,cleanedChars:int,"
+    f"changedParagraphs:int,droppedParagraphs:int,paragraphReports:array<{PARAGRAPH_REPORT}>>"
+)
+RUN_NUMBERS = (
+    "totalParagraphs eligibleParagraphs totalChunks attemptedChunks acceptedChunks rejectedChunks changedParagraphs "
+    "droppedParagraphs eligibleCharsBefore eligibleCharsAfter"
+).split()
+DIAGNOSTICS = (
+    "struct<modelId:string,promptVersion:int,executionBackendLabel:string," + "".join(f"{n}:int," for n in RUN_NUMBERS)
+    + f"changeKindCounts:{COUNTS},rejectionReasonCounts:{COUNTS},chunkReports:array<{CHUNK_REPORT}>>"
+)
 RECORD = (
     f"struct<title:string,sourceLabel:string,kind:string,pageCount:int,paragraphCount:int,headingCount:int,"
     f"metadataBlocks:array<{BLOCK}>,footnoteBlocks:array<{BLOCK}>,blocks:array<{BLOCK}>,"
     f"presentation:struct<modelId:string,promptVersion:int,executionBackendLabel:string,blocks:array<{BLOCK}>>,"
-    f"summary:struct<modelId:string,promptVersion:int,durationMs:bigint,sourceSignature:string,text:string>>"
+    f"summary:struct<modelId:string,promptVersion:int,durationMs:bigint,sourceSignature:string,text:string>,"
+    f"diagnostics:{DIAGNOSTICS}>"
 )
 SAMPLE_COLUMNS = [
     "timestamp_iso", "elapsed_seconds", "battery_percent", "is_charging", "voltage_volts", "current_amps", "draw_watts",
@@ -40,9 +56,44 @@ def to_json_line(record) -> Column:
     return F.to_json(col(record))
 
 
+def read_diagnostics(d: Column) -> Column:
+    """Tolerant reading of the nested run record: missing numbers are 0 but for the length of a cleaned chunk, blank strings
+    null, missing lists empty, counts without a key left out, a chunk without a status is accepted and unchanged."""
+    number = lambda c: F.coalesce(c, F.lit(0))
+    listed = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+
+    def counts(c):
+        keyed = F.filter(listed(c, COUNTS), lambda x: blank_to_null(x["key"]).isNotNull())
+        return F.transform(keyed, lambda x: F.struct(x["key"].alias("key"), number(x["count"]).alias("count")))
+
+    def paragraph(p):
+        kinds = F.filter(listed(p["changeKinds"], "array<string>"), lambda k: blank_to_null(k).isNotNull())
+        return F.struct(number(p["blockIndex"]).alias("blockIndex"), kinds.alias("changeKinds"), p["beforeText"], p["afterText"])
+
+    def chunk(c):
+        numbers = ["targetParagraphCount", "contextBeforeChars", "contextAfterChars", "originalChars"]
+        return F.struct(
+            number(c["firstBlockIndex"]).alias("firstBlockIndex"), number(c["lastBlockIndex"]).alias("lastBlockIndex"),
+            F.coalesce(blank_to_null(c["status"]), F.lit("AcceptedUnchanged")).alias("status"),
+            blank_to_null(c["rejectionReason"]).alias("rejectionReason"), blank_to_null(c["failureSummary"]).alias("failureSummary"),
+            *[number(c[n]).alias(n) for n in numbers], c["cleanedChars"],
+            number(c["changedParagraphs"]).alias("changedParagraphs"), number(c["droppedParagraphs"]).alias("droppedParagraphs"),
+            F.transform(listed(c["paragraphReports"], f"array<{PARAGRAPH_REPORT}>"), paragraph).alias("paragraphReports"),
+        )
+
+    whole = F.struct(
+        F.coalesce(d["modelId"], F.lit("")).alias("modelId"), number(d["promptVersion"]).alias("promptVersion"),
+        blank_to_null(d["executionBackendLabel"]).alias("executionBackendLabel"), *[number(d[n]).alias(n) for n in RUN_NUMBERS],
+        counts(d["changeKindCounts"]).alias("changeKindCounts"), counts(d["rejectionReasonCounts"]).alias("rejectionReasonCounts"),
+        F.transform(listed(d["chunkReports"], f"array<{CHUNK_REPORT}>"), chunk).alias("chunkReports"),
+    )
+    return F.when(d.isNotNull(), whole.cast(DIAGNOSTICS))
+
+
 def from_json_line(line) -> Column:
     """Tolerant reading: missing numbers are 0, blank strings null, an empty presentation or a summary
-    without model, signature or text is null, the kind comes from the label when absent."""
+    without model, signature or text is null, the kind comes from the label when absent; diagnostics as in
+    ``read_diagnostics``."""
     from leafmill.sources.corpus import document_kind
 
     r = F.from_json(col(line), RECORD)
@@ -73,6 +124,7 @@ def from_json_line(line) -> Column:
         number(r.headingCount).alias("headingCount"), blocks(r.metadataBlocks).alias("metadataBlocks"),
         blocks(r.footnoteBlocks).alias("footnoteBlocks"), blocks(r.blocks).alias("blocks"),
         presentation.alias("presentation"), summary.alias("summary"),
+        read_diagnostics(r.diagnostics).alias("diagnostics"),
     )
 
 

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from leafmill.operators import cleanup as C
+from leafmill.sources import store
 from tests.helpers import blocks_frame, lit_array, one
 
 LONG = "The council of the town agreed on Monday that the old bridge would be repaired. " * 6
@@ -107,3 +108,36 @@ def test_interface_words_may_be_lost_and_names_may_not(spark):
 def test_tokens_after_the_sixty_fourth_count(spark):
     names = " ".join(f"Name{chr(65 + i // 26)}{chr(97 + i % 26)}" for i in range(100))
     assert len(one(spark, C.protected_tokens(F.lit(names)))) == 100
+
+
+def test_run_reports_survive_json_and_parquet(spark, tmp_path):
+    a, b = "The old bridge would be re- paired in spring.", "Workers start on Monday."
+    rows = [
+        (1, 1, [4], [b], [b], "ctx", None, "token_loss", None),
+        (1, 0, [0, 2], [a, "Share this page"], [a.replace("re- paired", "repaired"), C.DROP], None, b, None, None),
+        (2, 0, [1], [b], [], None, None, "model_failure", "TimeoutError"),
+        (3, 0, [1], [b], [b], None, None, None, None),
+    ]
+    schema = "doc_id long, chunk int, idx array<int>, paras array<string>, cleaned array<string>, before string, after string, reason string, failure string"
+    runs = C.run_reports(spark.createDataFrame(rows, schema).repartition(3), C.WEB, "m", 2)
+    lines = runs.select("doc_id", store.to_json_line(F.struct("diagnostics")).alias("line"))
+    back = lines.select("doc_id", store.from_json_line("line").getField("diagnostics").alias("d"))
+    back.write.parquet(str(tmp_path / "runs"))
+    got = {r.doc_id: r.d for r in spark.read.parquet(str(tmp_path / "runs")).collect()}
+    assert [(c.status, c.firstBlockIndex, c.lastBlockIndex, c.cleanedChars is None) for c in got[1].chunkReports] == [
+        ("AcceptedChanged", 0, 2, False), ("Rejected", 4, 4, True)
+    ]
+    first = got[1].chunkReports[0]
+    assert [(p.blockIndex, p.afterText) for p in first.paragraphReports] == [(0, a.replace("re- paired", "repaired")), (2, "")]
+    assert "dehyphenation" in first.paragraphReports[0].changeKinds and first.paragraphReports[0].beforeText == a
+    assert (first.contextBeforeChars, first.contextAfterChars, first.droppedParagraphs) == (0, len(b), 1)
+    assert (got[1].acceptedChunks, got[1].rejectedChunks, got[1].changedParagraphs, got[1].promptVersion) == (1, 1, 2, 2)
+    assert [tuple(c) for c in got[1].rejectionReasonCounts] == [("token_loss", 1)]
+    assert got[2].chunkReports[0].failureSummary == "TimeoutError" and got[2].eligibleCharsAfter == len(b)
+    assert got[3].chunkReports[0].status == "AcceptedUnchanged" and got[3].changeKindCounts == []
+    # an older record: fields are missing or blank
+    old = '{"diagnostics": {"modelId": "m", "changeKindCounts": [{"key": " "}, {"key": "k"}], "chunkReports": [{"rejectionReason": "", "paragraphReports": [{}]}]}}'
+    d = spark.range(1).select(store.from_json_line(F.lit(old)).getField("diagnostics").alias("d")).first().d
+    assert [tuple(c) for c in d.changeKindCounts] == [("k", 0)] and d.chunkReports[0].status == "AcceptedUnchanged"
+    assert d.chunkReports[0].rejectionReason is None and d.chunkReports[0].paragraphReports[0].changeKinds == []
+    assert spark.range(1).select(store.from_json_line(F.lit('{"title": "x"}')).getField("diagnostics").alias("d")).first().d is None
