@@ -68,3 +68,37 @@ def test_clean_candidate_scores_higher(spark):
     empty = F.array().cast("array<string>")
     score = lambda m, b: one(spark, P.selection_score(m, b, empty))
     assert score(meta, good) > score(P.none(), bad)
+
+
+def test_lists_of_a_document_are_made_once(spark):
+    lines = ["Harbour Notes", "The harbour was quiet and the boats of the town were at rest for the night.", "1 " + "Word " * 3] * 3
+    df = spark.createDataFrame([(1, [lines, lines, lines], "A Title")], "doc_id long, pages array<array<string>>, title string")
+    done = P.clean_lines(df)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    # the argument is a bound variable, not the expression that makes the list
+    assert "array_contains(lambda" in plan
+    assert "array_contains(array_distinct" not in plan and "array_contains(concat" not in plan
+    kept = [x["text"] for x in done.first()["lines"]]
+    # on the first page the line is protected, as the leading lines are
+    assert kept.count("Harbour Notes") == 3 and len(kept) > 3
+
+
+def test_long_lines_are_no_author_lines_and_marks_do_not_count(spark):
+    rows = ["Jane Field1, Sam Hill* and Kim Lake(3)", "Jane Field", "Jane Field, Sam Hill, " + "Kim Lake, " * 6, "", None, "Jane\tField,\nSam Hill"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t string")
+    got = [r["x"] for r in df.select("i", L.author_line("t").alias("x")).orderBy("i").collect()]
+    assert got == [True, False, False, False, False, True]
+    plan = df.select(L.author_line("t").alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("*†‡§∗]+, ") == 1
+
+
+def test_prefixes_are_cut_only_in_front_of_capitals(spark):
+    head = "Harbour University, Department of Rivers, Jane Field"
+    body = "The town had paid for a bridge that would last and the people were glad of it."
+    df = spark.createDataFrame([(f"{head} {body}",), (f"{head} - 12 {body}",), (f"{head} {body.lower()}",)], "t string")
+    got = [r["x"] for r in df.select(L.split_prefix("t", F.lit("A Title")).alias("x")).collect()]
+    assert got[0]["prefix"] == head and got[0]["body"] == body
+    assert got[1] is not None and got[1]["body"].endswith(body)
+    assert got[2]["prefix"].endswith("Jane") and got[2]["body"] == f"Field {body.lower()}"
+    plan = df.select(L.split_prefix("t", F.lit("A Title")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "[^A-Za-z]*[a-z]" in plan
