@@ -141,3 +141,15 @@ def test_run_reports_survive_json_and_parquet(spark, tmp_path):
     assert [tuple(c) for c in d.changeKindCounts] == [("k", 0)] and d.chunkReports[0].status == "AcceptedUnchanged"
     assert d.chunkReports[0].rejectionReason is None and d.chunkReports[0].paragraphReports[0].changeKinds == []
     assert spark.range(1).select(store.from_json_line(F.lit('{"title": "x"}')).getField("diagnostics").alias("d")).first().d is None
+
+
+def test_diffs_validate_once(spark, tmp_path):
+    from leafmill.plans.cleanup import diffs
+
+    docs = [(i, "\n".join([LONG.strip() + f" It cost {i} euro."] * 3), "en", "town") for i in range(6)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = diffs(spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # the branches read the result of the validation: the tokens it needs are not looked for in any of them
+    assert C.IMPORTANT not in plan
+    assert {r["profile"] for r in df.collect()} == {"WEB", "PDF"}
