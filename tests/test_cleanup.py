@@ -153,3 +153,16 @@ def test_diffs_validate_once(spark, tmp_path):
     # the branches read the result of the validation: the tokens it needs are not looked for in any of them
     assert C.IMPORTANT not in plan
     assert {r["profile"] for r in df.collect()} == {"WEB", "PDF"}
+
+
+def test_tokens_are_looked_for_once_a_text(spark):
+    df = spark.createDataFrame([(["a"], ["b"])], "paras array<string>, cleaned array<string>")
+    plan = df.select(C.rejection_reason(C.WEB).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    # before and after, of the whole text and of a paragraph
+    assert plan.count(C.IMPORTANT) == 4
+
+
+def test_unchanged_text_has_lost_nothing(spark):
+    same = "The mayor Jane Field met Sam Hill in May and paid 300 euro for the bridge of the town."
+    assert reason(spark, [same, same], [same, same]) is None
+    assert reason(spark, [same, ""], [same, ""]) == "blank_paragraph"
