@@ -19,18 +19,19 @@ REFERENCE_HEADINGS = [
     "references", "reference list", "bibliography", "works cited", "citations",
     "references and notes", "notes and references", "literature cited",
 ]
+# the dot stands first: what is before it is looked at only where there is one, not at every character
 SHIELD_STEPS = [
-    r"(?<=(?<![\p{L}\d])(?:[A-Z][.․]){1,12}[A-Z])\.(?=(?:[A-Z][.․])*+(?![\p{L}\d]))",
-    r"(?<=(?<![\p{L}\d])[A-Z])\.(?=(?:[A-Z][.․])++(?![\p{L}\d]))",
-    r"(?i)(?<=(?<![\p{L}\d])e)\.(?=g\.(?![\p{L}\d]))",
-    r"(?i)(?<=(?<![\p{L}\d])i)\.(?=e\.(?![\p{L}\d]))",
-    r"(?i)(?<=(?<![\p{L}\d])(?:e․g|i․e|etc|mr|mrs|ms|dr|prof|sr|jr|vs|no))\.(?![\p{L}\d])",
+    r"\.(?<=(?<![\p{L}\d])(?:[A-Z][.․]){1,12}[A-Z]\.)(?=(?:[A-Z][.․])*+(?![\p{L}\d]))",
+    r"\.(?<=(?<![\p{L}\d])[A-Z]\.)(?=(?:[A-Z][.․])++(?![\p{L}\d]))",
+    r"(?i)\.(?<=(?<![\p{L}\d])e\.)(?=g\.(?![\p{L}\d]))",
+    r"(?i)\.(?<=(?<![\p{L}\d])i\.)(?=e\.(?![\p{L}\d]))",
+    r"(?i)\.(?<=(?<![\p{L}\d])(?:e․g|i․e|etc|mr|mrs|ms|dr|prof|sr|jr|vs|no)\.)(?![\p{L}\d])",
 ]
 YEAR = r"\b(?:19|20)\d{2}[a-z]?\b"
 AUTHOR_YEAR = (
     r"\b[A-Z][A-Za-z'`\-]+(?:\s+(?:and|&)\s+[A-Z][A-Za-z'`\-]+)?(?:\s+et al\.?)?(?:,\s*|\s+)(?:19|20)\d{2}[a-z]?\b"
 )
-SUPERSCRIPTS = r"(?<=[\p{L}\]).,;:!?])[¹²³⁰⁴-⁹]+"
+SUPERSCRIPTS = r"[¹²³⁰⁴-⁹](?<=[\p{L}\]).,;:!?][¹²³⁰⁴-⁹])[¹²³⁰⁴-⁹]*"
 REFERENCE_ID = r"[\p{L}\d+]*\d[\p{L}\d+]*"
 BRACKET_LIST = rf"\[\s*{REFERENCE_ID}(?:\s*[-,;–—]\s*{REFERENCE_ID})*\s*\]"
 NUMBER_LIST = r"\(\s*\d{1,3}(?:\s*[-,;–—]\s*\d{1,3})*\s*\)"
