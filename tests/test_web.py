@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+
+from leafmill.operators import html as H
 from leafmill.operators import web as W
 
 P1 = "The council agreed on Monday that the old bridge would be repaired before the winter came."
@@ -72,3 +75,12 @@ def test_one_exchange_for_the_whole_extraction(spark, sf_dir):
     df = all_queries()["w07_container_blocks"](spark, sf_dir)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(page_id") == 1
+
+
+def test_tasks_follow_the_markup(spark):
+    few = spark.createDataFrame([(1, "<p>One</p>")], "page_id long, html string")
+    assert H.page_tasks(few) == spark.sparkContext.defaultParallelism
+    assert H.page_tasks(few.limit(0)) == spark.sparkContext.defaultParallelism
+    many = spark.range(9).select(F.col("id").alias("page_id"), F.repeat(F.lit("x" * 1024), 2048).alias("html"))
+    plan = H.raw_tokens(many)._jdf.queryExecution().optimizedPlan().toString()
+    assert H.page_tasks(many) == 9 and "RepartitionByExpression [page_id" in plan and ", 9" in plan
