@@ -84,3 +84,23 @@ def test_tasks_follow_the_markup(spark):
     many = spark.range(9).select(F.col("id").alias("page_id"), F.repeat(F.lit("x" * 1024), 2048).alias("html"))
     plan = H.raw_tokens(many)._jdf.queryExecution().optimizedPlan().toString()
     assert H.page_tasks(many) == 9 and "RepartitionByExpression [page_id" in plan and ", 9" in plan
+
+
+def test_tokens_are_sorted_once_for_every_order(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>One</p>")], "page_id long, url string, html string")
+
+    def sorts(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("- Sort [")
+
+    assert sorts(H.html_tokens(pages.drop("url"))) == 5
+    assert sorts(H.page_elements(pages.drop("url"))) == 5
+    # the embedded body comes to its page in one order more
+    assert sorts(W.strategies(pages).select("page_id", "sets")) == 6
+
+
+def test_pieces_know_the_text_before_them(spark):
+    html = "<div>One<b>two</b> <i>three&nbsp;</i><i>four</i><br>five<nav> no </nav>six<i></i>, seven<script>x</script>.</div>"
+    rows = H.html_tokens(spark.createDataFrame([(1, html), (2, "a"), (2, None)], "page_id long, html string"))
+    pieces = [r["piece"] for r in rows.filter("page_id = 1 and piece != ''").orderBy("pos").collect()]
+    assert pieces == [" One", "two", " three", " four", " five", " six", ", seven."]
+    assert [r["piece"] for r in rows.filter("page_id = 2 and piece != ''").collect()] == [" a"]
