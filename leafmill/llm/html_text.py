@@ -325,7 +325,8 @@ def main_text(html: str, sigma: float = 1.0, share: float = 1.0) -> str:
 
     ``sigma`` is the width of the smoothing in lines; lines whose smoothed ratio exceeds the standard
     deviation of all ratios are the content cluster, lines of links are not, nor are lines at its ends that only their
-    neighbours lift over it; paragraphs and headings next to it join it.  The
+    neighbours lift over it; paragraphs and headings next to it join it, and so does a line that exceeds it by its own ratio
+    in a sibling of the same kind (tag and class) as the element of a line of it.  The
     region is the innermost article, main, section, div, cell or body that holds ``share`` of the characters of those lines.
     Containers without a line of the cluster at its two ends are menus, head and foot lines and left out, unless it is an
     article or they hold other lines than links and are of the kind (tag and class) of its content.  A heading whose id is a name ("comments") is left out where no text comes under it.
@@ -351,6 +352,10 @@ def main_text(html: str, sigma: float = 1.0, share: float = 1.0) -> str:
         content = cluster
     if not content.any():
         content[:] = True
+    # lines that pass by their own ratio, though short neighbours pull them down, right beside a content line
+    spot = [(page.parent[e], page.kind_of[e]) for _, _, e in page.lines]
+    taken = {at for at, is_content in zip(spot, content, strict=True) if is_content}
+    content |= (ratio >= np.std(smooth)) & ~link & np.array([at in taken for at in spot])
     # characters of the content cluster inside every element
     held = [0.0] * len(page.parent)
     for (_, _, element), size, is_content in zip(page.lines, sizes, content, strict=True):
