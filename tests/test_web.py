@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from leafmill.operators import html as H
@@ -86,6 +87,24 @@ def test_tasks_follow_the_markup(spark):
     assert H.page_tasks(many) == 9 and "RepartitionByExpression [page_id" in plan and ", 9" in plan
 
 
+@pytest.mark.parametrize("step", [W.strategies, W.prepare])
+def test_tasks_grow_with_the_pages(spark, monkeypatch, step):
+    """The first is the step of w16 and w17, the second that of w04 to w07."""
+    monkeypatch.setattr(H, "TASK_BYTES", 8192)
+    html = F.repeat(F.lit("<p>A sentence of a page.</p>"), F.col("id") % 2 * 16 + 32)
+    tasks = []
+    for n in (40, 160):
+        some = spark.range(n).select(F.col("id").alias("page_id"), F.lit("https://example.com/a").alias("url"), html.alias("html"))
+        node, dealt = step(some)._jdf.queryExecution().analyzed(), []
+        while not node.children().isEmpty():
+            if node.nodeName() == "RepartitionByExpression":
+                dealt.append(node.optNumPartitions().get())
+            node = node.children().head()
+        # one exchange, whose partitions have a number and so are not merged later
+        tasks += dealt
+    assert tasks == [n * 40 * len("<p>A sentence of a page.</p>") // 8192 + 1 for n in (40, 160)]
+
+
 def test_tokens_are_sorted_once_for_every_order(spark):
     pages = spark.createDataFrame([(1, "u", "<p>One</p>")], "page_id long, url string, html string")
 
