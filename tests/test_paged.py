@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from leafmill.functions import paged as L
+from leafmill.functions import text as T
 from leafmill.operators import paged as P
 from tests.helpers import lit_array, one
 
@@ -102,3 +103,48 @@ def test_prefixes_are_cut_only_in_front_of_capitals(spark):
     assert got[2]["prefix"].endswith("Jane") and got[2]["body"] == f"Field {body.lower()}"
     plan = df.select(L.split_prefix("t", F.lit("A Title")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert "[^A-Za-z]*[a-z]" in plan
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_kind_of_a_title_line_is_asked_once(spark):
+    pages = [["Journal of Harbour Studies 12", "Bridges and Towns", "of the Old North", "Jane Field, Sam Hill", "Abstract", PROSE]]
+    df = spark.createDataFrame([(1, pages, "file.pdf")], "doc_id long, pages array<array<string>>, given_title string")
+    done = df.select(P.infer_title("pages", "given_title").alias("t"))
+    assert done.first()["t"] == "Bridges and Towns of the Old North"
+    # the words of metadata: once for the run of title lines, once for the second try
+    assert optimized(done).count("research group") == 2
+
+
+def test_words_and_characters_are_counted_in_the_pattern(spark):
+    rows = ["", " ", None, "a", " a b ", "A b\tc D", "é Éa -x 1a", "🙂 b", "one two three four five six"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t string")
+    for n in (1, 2, 3, 6):
+        for fast, slow in [
+            (T.has_words("t", n), T.words("t") >= n),
+            (T.has_words("t", n, r"\p{Ll}"), T.count_of("t", r"(?:^|\s)\p{Ll}") >= n),
+            (T.has_chars("t", n, r"\p{L}", r"\P{L}"), T.count_of("t", r"\p{L}") >= n),
+            (T.length_to("t", n) >= n, F.length("t") >= n),
+        ]:
+            assert df.filter(~fast.eqNullSafe(slow)).collect() == []
+    # no list of words is made for a comparison
+    assert "regexp_extract_all" not in optimized(df.select(L.prose("t"), L.running_candidate("t")))
+
+
+def test_lines_without_odd_characters_are_not_rewritten(spark):
+    rows = ["plain line", "café naïve", "a­b", "end‐ ", "\x01x", "b•c", "■", "x​y", None, ""]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    got = [r[0] for r in df.select(L.repair("t")).collect()]
+    assert got == ["plain line", "café naïve", "ab", "end-", "x", "bc", "■", "xy", None, ""]
+    assert "RLIKE" in optimized(df.select(L.repair("t")))
+
+
+def test_notes_of_a_page_are_cut_once(spark):
+    page = [PROSE, MORE, "", "1 Supplementary data are available at the town hall of Harbour."]
+    df = spark.createDataFrame([(page,)], "page array<string>")
+    done = df.select(P.page_parts(F.col("page")).alias("p"))
+    assert done.first()["p"]["note"] == page[-1] and done.first()["p"]["lines"] == page[:-1]
+    # the filter over the lines compares with a bound list
+    assert "array_contains(CASE" not in optimized(done)
