@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leafmill.functions import rules as R
-from leafmill.functions.text import col, collapse, count_of, has_any, starts_any, words
+from leafmill.functions.text import col, collapse, count_of, has_any, has_words, length_to, starts_any, words
 
 
 def join_lines(c) -> Column:
@@ -28,9 +28,10 @@ def paragraphs(c) -> Column:
 def is_heading(c) -> Column:
     c = col(c)
     return (
-        F.length(c).between(3, 110)
-        & words(c).between(1, 14)
+        length_to(c, 111).between(3, 110)
         & ~c.rlike(r"[.?!]$")
+        & has_words(c, 1)
+        & ~has_words(c, 15)
         & ~c.rlike("(?i)^https?://")
         & c.rlike(r"[\p{Lu}\p{Nd}]")
     )

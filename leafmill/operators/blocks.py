@@ -83,13 +83,20 @@ def drop_leading(blocks, title, metadata: Column | None = None) -> Column:
     if metadata is not None:
         ignored = F.concat(ignored, F.transform(metadata, dedupe_key))
     ignored = F.filter(ignored, lambda k: k != "")
-    flags = F.transform(
-        col(blocks), lambda b: F.array_contains(ignored, dedupe_key(b.text))
-    )
-    first_kept = F.array_position(flags, F.lit(False))
-    return F.when(first_kept == 0, F.slice(col(blocks), 1, 0)).otherwise(
-        F.slice(col(blocks), first_kept.cast("int"), F.size(col(blocks)))
-    )
+
+
+    def cut(keys):
+        # how many blocks lead; below zero once the first block that stays is met: the keys of later ones are not made
+        def step(n, b):
+            repeats = F.array_contains(keys, dedupe_key(b.text))
+            return F.when(n < 0, n).when(F.coalesce(repeats, F.lit(True)), n + 1).otherwise(-n - 1)
+
+        def kept(n):
+            return F.when(n < 0, F.slice(col(blocks), -n, F.size(col(blocks)))).otherwise(F.slice(col(blocks), 1, 0))
+
+        return let(F.aggregate(col(blocks), F.lit(0), step), kept)
+
+    return let(ignored, cut)
 
 
 def continues(left: Column, right: Column) -> Column:

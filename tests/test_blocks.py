@@ -76,3 +76,16 @@ def test_plain_peel_without_any_text(spark):
     df = spark.createDataFrame([(1, "", None)], "doc_id long, text string, given_title string")
     row = K.peel_plain_text(df).first()
     assert row["title"] == "Captured text" and [b["text"] for b in row["blocks"]] == ["Captured text"]
+
+
+def test_leading_repeats_end_at_the_first_other_block(spark):
+    items = [("Heading", "A Title"), ("Paragraph", "a title!"), ("Paragraph", BODY), ("Paragraph", "A Title")]
+    df = blocks_frame(spark, items).withColumn("blocks", K.drop_leading("blocks", "title"))
+    assert texts(df) == [BODY, "A Title"]
+    # keys are made until then only, not as a list of all blocks
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_position(" not in plan
+    only = blocks_frame(spark, items[:2]).withColumn("blocks", K.drop_leading("blocks", "title"))
+    assert texts(only) == []
+    none = blocks_frame(spark, items).withColumn("blocks", K.drop_leading("blocks", F.lit(None).cast("string")))
+    assert len(texts(none)) == 4
