@@ -166,3 +166,27 @@ def test_unchanged_text_has_lost_nothing(spark):
     same = "The mayor Jane Field met Sam Hill in May and paid 300 euro for the bridge of the town."
     assert reason(spark, [same, same], [same, same]) is None
     assert reason(spark, [same, ""], [same, ""]) == "blank_paragraph"
+
+
+def test_pairs_behind_the_first_fault_are_not_judged_and_same_texts_once(spark):
+    rows = spark.createDataFrame([(["a b", LONG], ["a b", LONG])], "paras array<string>, cleaned array<string>")
+    plan = rows.select(C.rejection_reason(C.PDF).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    # a fold that stops takes the place of a list of all answers
+    assert "element_at(filter(transform(arrays_zip" not in plan
+    same = "The bridge held [3] in May, as Jane Field had said, and the town of Harbour was glad."
+    pair = one(spark, C.validation_pair(F.lit(same), F.lit(same), C.PDF))
+    assert pair["a"] == pair["b"] and "[3]" not in pair["a"]
+
+
+def test_tokens_are_those_of_all_runs(spark):
+    texts = ["12Ab 1a2B AB ab Ab_c A Bc's 3,4 5. NATO-style O'Neil x-Ray McDonald 7% Émile Abé 2024", "", None, "'-A-'", "1a NASA1 Ab"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    old = F.array_distinct(
+        F.filter(F.regexp_extract_all("t", F.lit(C.WORD_RUN), F.lit(0)), lambda t: (F.length(t) >= 2) & t.rlike(C.IMPORTANT) & ~F.lower(t).isin(C.IGNORED_IMPORTANT))
+    )
+    assert df.filter(~C.important_tokens("t").eqNullSafe(old)).collect() == []
+    bare = F.transform(F.regexp_extract_all("t", F.lit(C.NAME_RUN), F.lit(0)), lambda t: F.regexp_replace(t, r"^['’.\-]+|['’.\-]+$", ""))
+    names = F.array_distinct(F.filter(bare, lambda t: (F.length(t) >= 3) & t.rlike(C.PROTECTED) & ~F.lower(t).isin(C.IGNORED_PROTECTED)))
+    assert df.filter(~C.protected_tokens("t").eqNullSafe(names)).collect() == []
+    # runs without a capital are not taken out of the text
+    assert C.CAPITAL_RUN in df.select(C.protected_tokens("t").alias("p"))._jdf.queryExecution().optimizedPlan().toString()
