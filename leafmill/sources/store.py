@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import blank_to_null, col, collapse
+from leafmill.functions.text import blank_to_null, col, collapse, let
 
 # --- fixed values: record layout ---
 SCHEMA_VERSION = 15
@@ -59,6 +59,11 @@ def to_json_line(record) -> Column:
 def read_diagnostics(d: Column) -> Column:
     """Tolerant reading of the nested run record: missing numbers are 0 but for the length of a cleaned chunk, blank strings
     null, missing lists empty, counts without a key left out, a chunk without a status is accepted and unchanged."""
+    # bound: a line that is read here would be parsed anew for every field
+    return let(d, _tolerant)
+
+
+def _tolerant(d: Column) -> Column:
     number = lambda c: F.coalesce(c, F.lit(0))
     listed = lambda c, kind: F.coalesce(c, F.array().cast(kind))
 

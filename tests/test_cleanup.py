@@ -168,6 +168,21 @@ def test_unchanged_text_has_lost_nothing(spark):
     assert reason(spark, [same, ""], [same, ""]) == "blank_paragraph"
 
 
+def _documents(spark, folder, n=6):
+    docs = [(i, "\n".join([LONG.strip() + f" It cost {i} euro."] * 3), "en", "town") for i in range(n)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_run_records_are_parsed_once(spark, tmp_path):
+    from leafmill.plans.cleanup import run_reports
+
+    df = run_reports(spark, _documents(spark, tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 2  # one of each profile
+    assert df.count() == 12
+
+
 def test_pairs_behind_the_first_fault_are_not_judged_and_same_texts_once(spark):
     rows = spark.createDataFrame([(["a b", LONG], ["a b", LONG])], "paras array<string>, cleaned array<string>")
     plan = rows.select(C.rejection_reason(C.PDF).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
