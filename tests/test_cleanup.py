@@ -174,6 +174,17 @@ def _documents(spark, folder, n=6):
     return str(folder)
 
 
+def test_reasons_are_computed_once_for_their_counts(spark, tmp_path):
+    from leafmill.plans.cleanup import rejection_counts, validation
+
+    sf = _documents(spark, tmp_path, 40)
+    df = rejection_counts(spark, sf)
+    # one validation of each profile; a filter on the reason would be pushed down and judge each chunk a second time
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("paragraph_count_mismatch") == 2
+    want = {r["reason"]: r["count"] for r in validation(spark, sf).filter("reason is not null").groupBy("reason").count().collect()}
+    assert want and {r["reason"]: r["n"] for r in df.collect()} == want
+
+
 def test_run_records_are_parsed_once(spark, tmp_path):
     from leafmill.plans.cleanup import run_reports
 
