@@ -89,3 +89,16 @@ def test_leading_repeats_end_at_the_first_other_block(spark):
     assert texts(only) == []
     none = blocks_frame(spark, items).withColumn("blocks", K.drop_leading("blocks", F.lit(None).cast("string")))
     assert len(texts(none)) == 4
+
+
+def test_lower_case_of_a_block_is_made_once_for_all_rules(spark):
+    from leafmill.functions import boilerplate as B
+
+    long = "share this " + "and the town was glad of the bridge " * 20
+    rows = ["Share Print Email", "Comments", BODY, "Copyright 2024 Dow Jones", "Menu | Home | Sport", "x", "", None, long, "Site index, privacy policy"]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    got = [r[0] for r in df.select(B.is_boilerplate("t", F.lit(False))).collect()]
+    assert got == [True, True, False, True, True, True, False, None, True, True]
+    plan = df.select(B.is_boilerplate("t", F.lit(False)).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    # once for the rules, once for the tokens of the few blocks that have a listed word
+    assert plan.count("lower(") == 2
